@@ -63,7 +63,7 @@ def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, passes: int, rat
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, positives: int = 1500, unlabelled: int = 4000, max_bytes: int = 1 << 14, features: int = 1000, passes: int = 40, rate: float = 0.02, decay: float = 1e-3, prior_factor: float = 1.25) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, positives: int = 1500, unlabelled: int = 4000, max_bytes: int = 1 << 14, features: int = 1000, passes: int = 40, rate: float = 0.02, decay: float = 1e-3, prior_factor: float = 1.2) -> ToxicityModel:
     """Fit on at most ``positives`` toxic and ``unlabelled`` other documents of at most ``max_bytes`` bytes outside the held-out fold.
 
     ``prior_factor`` scales the prior taken from the labels: an estimate that is
@@ -80,11 +80,12 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, folds: int = 3, hel
         other = toxic
     width = len(FAMILIES) << BITS
     cp, cu = (np.bincount(present(x, FAMILIES)[1], minlength=width).astype(float) for x in (toxic, other))
-    p, u = (cp + 0.5) / (len(toxic) + 1), (cu + 0.5) / (len(other) + 1)
-    # of an n-gram that only toxic text holds, the share among the unlabelled is prior times that among positives
-    clean = np.maximum(u - prior / prior_factor * p, 0.1 / len(other))
-    lift = np.log(p / clean)
-    score = np.where((cp >= 3) & (lift > 1), lift * np.sqrt(cp), 0)
+    # of an n-gram that only toxic text holds, the share among the unlabelled is the prior times that among positives
+    n_p, n_u, share = len(toxic), len(other), prior / prior_factor
+    clean = (np.maximum(cu - share * n_u * cp / n_p, 0) + 1) / ((1 - share) * n_u)
+    apart = (cp - n_p * clean) / np.sqrt(n_p * clean + n_p * n_p * clean / n_u + 1)  # in standard errors
+    lift = np.log((cp + 0.5) / n_p / clean)
+    score = np.where((cp >= 3) & (lift > 1) & (apart >= 4), lift * np.sqrt(cp), 0)
     kept = np.argsort(-score, kind="stable")[:features]
     kept = kept[score[kept] > 0]
     chosen = Selected.of(FAMILIES, kept)
