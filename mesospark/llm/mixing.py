@@ -53,11 +53,17 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, domain: Column, *, pe
     together = pa.chunked_array([c for d in domains for c in texts[d].chunks])
     y = np.repeat(np.arange(len(domains)), [len(texts[d]) for d in domains])
     row, bucket = present(together, FAMILIES)
-    held = np.zeros((len(domains), len(FAMILIES) << BITS), np.float32)
-    np.add.at(held, (y[row], bucket), 1)
-    share = held / np.bincount(y)[:, None]
-    apart = share.var(0) / (share.mean(0) * (1 - share.mean(0)) + 0.01)
-    kept = np.argsort(-np.where(held.sum(0) >= 5, apart, 0), kind="stable")[:features]
+    width = len(FAMILIES) << BITS
+    total, square, seen = np.zeros(width, np.float32), np.zeros(width, np.float32), np.zeros(width, np.float32)
+    for k in range(len(domains)):  # one domain's counts at a time
+        count = np.bincount(bucket[y[row] == k], minlength=width).astype(np.float32)
+        seen += count
+        count /= (y == k).sum()
+        total += count
+        square += count * count
+    mean = total / len(domains)
+    apart = (square / len(domains) - mean * mean) / (mean * (1 - mean) + 0.01)
+    kept = np.argsort(-np.where(seen >= 5, apart, 0), kind="stable")[:features]
     chosen = Selected.of(FAMILIES, kept)
     x = sample_marks(together, chosen, True).astype(np.float32)
     x = np.c_[x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), np.ones(len(x), np.float32)]
