@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mesospark.llm import decontaminate, linededup, mixing, neardup, toxicity
-from mesospark.llm.queries import DOMAIN, labelled_domains
+from mesospark.llm.queries import domain, labelled_domains
 from mesospark.plans.lineage import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +37,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its rate in the mixture; one with rate 0 leaves it."""
-    mixed = mixing.mix(docs.withColumn("_text", F.col("text")), labelled_domains(spark, sf_dir), DOMAIN, keep=["_text", *COLUMNS])
+    mixed = mixing.mix(docs.withColumn("_text", F.col("text")), labelled_domains(spark, sf_dir), domain(), keep=["_text", *COLUMNS])
     return mixed.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in COLUMNS], "domain", "tokens", "rate", "expected_tokens")
 
 

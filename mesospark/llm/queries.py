@@ -45,11 +45,12 @@ def labelled_domains(spark, sf_dir):
     return labels.join(documents.select("doc_id", "lang").filter("lang IS NOT NULL"), "doc_id")
 
 
-DOMAIN = F.concat_ws(":", "lang", F.col("quality").cast("string"))
+def domain():
+    return F.concat_ws(":", "lang", F.col("quality").cast("string"))
 
 
 def op5_mix(spark, sf_dir):
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), DOMAIN)
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), domain())
     return mixed.select("doc_id", "domain", "tokens", "rate", "expected_tokens")
 
 
