@@ -300,17 +300,17 @@ def _potential_query(name, potential, params, select, style="pair", digits=3):
         return values.groupBy("key").agg(*[(F.round(F.sum(v), digits) + 0.0).alias(k) for k, v in out.items()])
 
 
-_potential_query("F01", P.HARMONIC, {"k": F.lit(2.5), "r0": F.lit(1.2)}, {"u": "2.5 * (x - 1.2) ** 2", "f": "-5.0 * (x - 1.2)", "d_k": "(x - 1.2) ** 2", "d_r0": "-5.0 * (x - 1.2)"}, "bond")
+_potential_query("F01", P.HARMONIC, {"k": 2.5, "r0": 1.2}, {"u": "2.5 * (x - 1.2) ** 2", "f": "-5.0 * (x - 1.2)", "d_k": "(x - 1.2) ** 2", "d_r0": "-5.0 * (x - 1.2)"}, "bond")
 for _name, _p, _m in (("F02", P.LJ126, 12), ("F03", P.LJ96, 9)):
-    _potential_query(_name, _p, {"epsilon": F.lit(0.5), "sigma": F.lit(1.5)}, {
+    _potential_query(_name, _p, {"epsilon": 0.5, "sigma": 1.5}, {
         "u": f"4 * 0.5 * ((1.5 / x) ** {_m} - (1.5 / x) ** 6)", "f": f"4 * 0.5 / x * ({_m} * (1.5 / x) ** {_m} - 6 * (1.5 / x) ** 6)",
         "d_epsilon": f"4 * ((1.5 / x) ** {_m} - (1.5 / x) ** 6)", "d_sigma": f"4 * 0.5 / 1.5 * ({_m} * (1.5 / x) ** {_m} - 6 * (1.5 / x) ** 6)"}, digits=2)
 _G = "0.8 / (0.3 * sqrt(2 * pi())) * exp(-((x - 1.2) ** 2) / (2 * 0.3 ** 2))"
-_potential_query("F05", P.GAUSSIAN, {"a": F.lit(0.8), "r0": F.lit(1.2), "s": F.lit(0.3)}, {"u": _G, "f": f"{_G} * (x - 1.2) / 0.09", "d_a": f"{_G} / 0.8", "d_r0": f"{_G} * (x - 1.2) / 0.09", "d_s": f"{_G} * (((x - 1.2) ** 2) / 0.09 - 1) / 0.3"}, "bond")
-_potential_query("F07", P.DOUBLE_GAUSSIAN, {"a": F.lit(1.0), "b": F.lit(0.5), "c": F.lit(-0.4), "d": F.lit(0.2)}, {
+_potential_query("F05", P.GAUSSIAN, {"a": 0.8, "r0": 1.2, "s": 0.3}, {"u": _G, "f": f"{_G} * (x - 1.2) / 0.09", "d_a": f"{_G} / 0.8", "d_r0": f"{_G} * (x - 1.2) / 0.09", "d_s": f"{_G} * (((x - 1.2) ** 2) / 0.09 - 1) / 0.3"}, "bond")
+_potential_query("F07", P.DOUBLE_GAUSSIAN, {"a": 1.0, "b": 0.5, "c": -0.4, "d": 0.2}, {
     "u": "-(exp(-0.5 * x * x) - 0.4 * exp(-0.2 * x * x))", "f": "-2 * x * (0.5 * exp(-0.5 * x * x) - 0.4 * 0.2 * exp(-0.2 * x * x))",
     "d_a": "-exp(-0.5 * x * x)", "d_b": "x * x * exp(-0.5 * x * x)", "d_c": "-exp(-0.2 * x * x)", "d_d": "-0.4 * x * x * exp(-0.2 * x * x)"})
-_potential_query("F08", P.COSINE_SOFT, {"a": F.lit(2.0), "rc": F.lit(3.0)}, {
+_potential_query("F08", P.COSINE_SOFT, {"a": 2.0, "rc": 3.0}, {
     "u": "CASE WHEN x < 3 THEN 2 * (1 + cos(pi() * x / 3)) ELSE 0 END", "f": "CASE WHEN x < 3 THEN 2 * pi() / 3 * sin(pi() * x / 3) ELSE 0 END",
     "d_a": "CASE WHEN x < 3 THEN 1 + cos(pi() * x / 3) ELSE 0 END", "d_rc": "CASE WHEN x < 3 THEN 2 * pi() * x / 9 * sin(pi() * x / 3) ELSE 0 END"})
 
