@@ -25,7 +25,7 @@ def _hash(line):
 
 
 def _lines(text):
-    return F.transform(F.split(text, "\n"), F.trim)
+    return F.transform(F.split(text, "\n"), lambda x: F.trim(x))
 
 
 def line_sites(documents: DataFrame) -> DataFrame:
