@@ -4,10 +4,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions import potentials as P
-from mesospark.operators import forces, neighbors, stats, tables
+from mesospark.operators import forces, stats
 from mesospark.operators.components import connected_components
 from mesospark.plans.lineage import ensure_checkpoint_dir
-from mesospark.plans.trajectory import BONDS, CUTOFF, HAT, PAIRS, SITES, SPECTRAL, TABLE, W01_SQL, _bonds, _coefficients, _gradients, _inter, _table, query
+from mesospark.plans.trajectory import BONDS, CUTOFF, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, query
 from mesospark.sources import adapters as A
 from mesospark.sources import dump
 
