@@ -108,26 +108,23 @@ def marked(data: np.ndarray, offsets: np.ndarray, chosen: Selected, repeats: boo
     return out[:, 1:]
 
 
-def present(texts: pa.ChunkedArray, families) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs over all buckets, for choosing features in a bounded sample."""
+def document_counts(texts: pa.ChunkedArray, families) -> np.ndarray:
+    """How many texts of a bounded sample hold each bucket, family-major; a window of texts is in memory at a time."""
     data, offsets = utf8(texts)
-    rows, buckets = [], []
+    out = np.zeros(len(families) << BITS, np.float32)
     for start, end in row_slices(offsets, WINDOW):
         own = offsets[start : end + 1] - offsets[start]
         piece = data[offsets[start] : offsets[end]]
+        row = np.repeat(np.arange(end - start, dtype=np.int32), np.diff(own))
         for f, family in enumerate(families):
             make, n = FAMILIES[family]
             if len(piece) < n:
                 continue
             h = _buckets(make()[piece], family).astype(np.int64)
-            row = np.repeat(np.arange(end - start), np.diff(own))
             whole = row[: len(h)] == row[n - 1 :]
-            key = np.unique((row[: len(h)][whole] << (BITS + 4)) | (f << BITS) | h[whole])
-            rows.append((key >> (BITS + 4)) + start)
-            buckets.append(key & ((1 << (BITS + 4)) - 1))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(buckets)
+            key = np.unique((row[: len(h)][whole].astype(np.int64) << BITS) | h[whole])
+            out[f << BITS : (f + 1) << BITS] += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
+    return out
 
 
 def sample_marks(texts: pa.ChunkedArray, chosen: Selected, repeats: bool) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesospark.llm.blocks import row_slices, utf8, words
-from mesospark.llm.features import BITS, WINDOW, Linear, Selected, labelled_sample, present, sample_marks, scored, scores
+from mesospark.llm.features import BITS, WINDOW, Linear, Selected, document_counts, labelled_sample, sample_marks, scored, scores
 from mesospark.plans.lineage import cut
 
 FAMILIES = ("letters3", "letters4", "shapes3")
@@ -52,11 +52,10 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, domain: Column, *, pe
     domains = [d for d, _ in counts]
     together = pa.chunked_array([c for d in domains for c in texts[d].chunks])
     y = np.repeat(np.arange(len(domains)), [len(texts[d]) for d in domains])
-    row, bucket = present(together, FAMILIES)
     width = len(FAMILIES) << BITS
     total, square, seen = np.zeros(width, np.float32), np.zeros(width, np.float32), np.zeros(width, np.float32)
     for k in range(len(domains)):  # one domain's counts at a time
-        count = np.bincount(bucket[y[row] == k], minlength=width).astype(np.float32)
+        count = document_counts(texts[domains[k]], FAMILIES)
         seen += count
         count /= (y == k).sum()
         total += count

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mesospark.llm.features import BITS, Linear, Selected, labelled_sample, present, sample_marks, scored, scores
+from mesospark.llm.features import Linear, Selected, document_counts, labelled_sample, sample_marks, scored, scores
 
 FAMILIES = ("shapes2", "shapes3", "shapes4")
 
@@ -71,9 +71,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, folds: int = 5, held
         return QualityModel(None, 0.0, float(np.log((share + 0.01) / (1.01 - share))))
     together = pa.chunked_array(texts[1].chunks + texts[0].chunks)
     y = np.r_[np.ones(n1), -np.ones(n0)]
-    row, bucket = present(together, FAMILIES)
-    width = len(FAMILIES) << BITS
-    c1, c0 = (np.bincount(bucket[side], minlength=width).astype(float) for side in (y[row] > 0, y[row] < 0))
+    c1, c0 = document_counts(texts[1], FAMILIES), document_counts(texts[0], FAMILIES)
     p, q = (c1 + 1) / (n1 + 2), (c0 + 1) / (n0 + 2)
     apart = np.abs(p - q) / np.sqrt((p * (1 - p) / n1 + q * (1 - q) / n0))
     kept = np.argsort(-np.where(c1 + c0 >= 3, apart, 0), kind="stable")[:features]

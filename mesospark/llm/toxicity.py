@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mesospark.llm.blocks import part
-from mesospark.llm.features import BITS, Linear, Selected, labelled_sample, present, sample_marks, scored, scores
+from mesospark.llm.features import Linear, Selected, document_counts, labelled_sample, sample_marks, scored, scores
 
 FAMILIES = ("letters4", "letters5", "letters6")
 
@@ -78,8 +78,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, folds: int = 3, hel
     other = unlabelled_sample(documents, folds, held_out, unlabelled, max_bytes)
     if not len(other):
         other = toxic
-    width = len(FAMILIES) << BITS
-    cp, cu = (np.bincount(present(x, FAMILIES)[1], minlength=width).astype(float) for x in (toxic, other))
+    cp, cu = (document_counts(x, FAMILIES) for x in (toxic, other))
     # of an n-gram that only toxic text holds, the share among the unlabelled is the prior times that among positives
     n_p, n_u, share = len(toxic), len(other), prior / prior_factor
     clean = (np.maximum(cu - share * n_u * cp / n_p, 0) + 1) / ((1 - share) * n_u)
