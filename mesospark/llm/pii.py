@@ -36,15 +36,18 @@ TITLES = {"Mr": "m", "Herr": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Frau": "f",
 SYLLABLES = {"latin": ["ber", "dan", "fel", "gor", "hal", "kin", "lor", "mer", "nor", "per", "ros", "sten", "tal", "vin", "wel", "zan"], "cyrillic": ["бер", "дан", "вол", "гор", "лев", "мар", "нов", "пет"]}
 #: Formats of entities; the first alternative that matches at a place names the kind.
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
+    r"(?P<email>(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
     r"|(?P<awskey>\bAKIA[A-Z0-9]{16}\b)"
     r"|(?P<secret>(?<=token = \")[0-9A-Za-z]{16,}(?=\")|(?<=password=)[^\s\"']{6,})"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]))"
     r"|(?P<phone>(?<!\w)\+?\d{1,3} ?\(\d{2,4}\) ?\d{3}-\d{4}(?!\d))"
     r"|(?P<card>(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-]))"
-    r"|(?P<name>(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bProf\. )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bMme )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=г-н )|(?<=г-жа ))"
+    r"|(?P<name>(?=[A-ZÀ-ÞА-Я])(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bProf\. )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bMme )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=г-н )|(?<=г-жа ))"
     r"[A-ZÀ-ÞА-Я][\w'’]*(?: [A-ZÀ-ÞА-Я][\w'’]*)?)"
 )
+#: Every entity holds an @ or a digit, or stands after one of these.
+_SIGN = re.compile(r"[@\d]")
+_MARKS = ("AKIA", "token = ", "password=", *(f"{t}{dot} " for t in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra", "г-н", "г-жа") for dot in ("", ".")))
 _TITLE = re.compile(r"(\S+?)\.? $")
 
 
@@ -134,8 +137,10 @@ def surrogate(key: bytes, kind: str, entity: str, choice: int = 0) -> str:
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and text of each entity, in order."""
-    out = []
-    for m in PATTERN.finditer(text or ""):
+    out: list = []
+    if not text or not (_SIGN.search(text) or any(m in text for m in _MARKS)):
+        return out
+    for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if kind == "name":
             title = _TITLE.search(text[max(0, m.start() - 8) : m.start()])
