@@ -169,7 +169,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int
         x, q = np.stack(right["v"]), np.stack(left["v"])
         lx, lq, ids, out = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1)), right["id"].to_numpy(), []
         for i, own in enumerate(left["id"].to_numpy()):
-            s = np.where(ids == own, -np.inf, (x @ q[i]) / (lx * lq[i]))
+            # sums by row: a matrix product may round equal vectors differently by their place
+            s = np.where(ids == own, -np.inf, (x * q[i]).sum(1) / (lx * lq[i]))
             top = np.argsort(-s, kind="stable")[:k]  # by the smaller id among equals
             top = top[s[top] > -np.inf]
             out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top], "score": s[top]}))
