@@ -3,8 +3,9 @@
 A HyperLogLog sketch of the sites of each line hash is merged by aggregation.
 Lines whose estimate is near the threshold get an exact distinct count; lines
 on at least ``min_sites`` sites are boilerplate and leave the documents. A
-document that is boilerplate for the most part is a copy of another rather
-than a page with a template round it, and keeps its text.
+document all of whose lines are boilerplate is a copy of others rather than a
+page with a template round it, and keeps its text; any line of its own, however
+short, makes it a page.
 
 Defined cases: lines are parted by newlines and compared without outer blanks;
 blank lines are never boilerplate; a null source is no site; a null text has no
@@ -45,19 +46,19 @@ def boilerplate_lines(documents: DataFrame, min_sites: int) -> DataFrame:
     return sure.union(exact.filter(F.col("n") >= min_sites).select("h"))
 
 
-def remove_boilerplate(documents: DataFrame, *, min_sites: int = 5, max_share: float = 0.5) -> DataFrame:
+def remove_boilerplate(documents: DataFrame, *, min_sites: int = 5) -> DataFrame:
     """documents with ``n_lines`` and ``n_removed`` (long) added and boilerplate lines taken from text.
 
-    Nothing is removed from a document of whose characters boilerplate makes up more than ``max_share``.
+    Nothing is removed from a document that has no line of its own.
     """
     lines = boilerplate_lines(documents, min_sites)
     found = line_sites(documents).select("doc_id", "h").join(lines, "h").groupBy("doc_id").agg(F.collect_set("h").alias("_found"))
     joined = documents.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     parts = F.split("text", "\n")
     is_common = lambda x: (F.trim(x) != "") & F.array_contains(F.col("_found"), _hash(F.trim(x)))
-    size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + F.length(F.trim(x)))
     joined = joined.withColumn("_gone", F.when(F.col("_found").isNotNull(), F.filter(parts, is_common)))
-    cut_ = F.coalesce((F.size("_gone") > 0) & (size(F.col("_gone")) <= max_share * size(parts)), F.lit(False))
+    own = F.size(F.filter(parts, lambda x: F.trim(x) != "")) - F.size("_gone")
+    cut_ = F.coalesce((F.size("_gone") > 0) & (own > 0), F.lit(False))
     out = joined.withColumn("_cut", cut_)
     return out.select(
         *[c for c in documents.columns if c not in ("text", "n_lines", "n_removed")],

@@ -115,6 +115,15 @@ def test_lines(spark):
     assert none.agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_lines_leave_documents_that_are_mostly_boilerplate(spark):
+    passage = sentence(np.random.RandomState(7), 60)
+    rows = [(i, f"{passage}\n" + sentence(np.random.RandomState(i), 40), "en", f"s{i}", 0, "x") for i in range(20)]
+    rows += [(30, f"{passage}\n\n{passage}\nown", "en", "s1", 0, "x"), (31, f"{passage}\n\n{passage}", "en", "s2", 0, "x")]
+    got = {r.doc_id: r for r in linededup.remove_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i].n_removed == 1 and got[i].text == rows[i][1].split("\n")[1] for i in range(20))
+    assert (got[30].n_removed, got[30].text) == (2, "\nown") and got[31].text == rows[21][1] and got[31].n_removed == 0
+
+
 def test_licenses_equal_brute_force(docs, spark):
     lines = ["Released under the MIT License.", "released under the mit license", "Licensed under the Apache License, Version 2.0, and more words", "all rights", "word"]
     rows = [(i, f"before\n{x}\n\nafter") for i, x in enumerate(lines)] + [(9, None), (10, ""), (11, "All rights reserved.")]
