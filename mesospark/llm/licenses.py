@@ -1,16 +1,18 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Each line, each paragraph of several lines and the whole text is a unit. A unit
-of a bigrams reaches a Dice coefficient t with a template of b only if
-``a`` lies between ``b t / (2 - t)`` and ``b (2 - t) / t``; other templates are
-pruned by that, and units without any bigram of a template are left at once.
+Every run of consecutive lines is a unit, from one line to the whole text. A
+unit of a bigrams reaches a Dice coefficient t with a template of b only if
+``a`` lies between ``b t / (2 - t)`` and ``b (2 - t) / t`` and at least
+``b t / (2 - t)`` bigrams are shared; a text that shares fewer is left at once
+for that template. Only units that begin and end with a shared bigram's line
+are scored, as cutting other lines off can't lower the score.
 
 Defined cases: null, empty and wordless texts match nothing; a unit of one word
 has that word as its only "bigram"; repeated rows are scanned each; null ids
 pass through; other columns are ignored.
 """
 
-import re
+import pkgutil
 from collections import defaultdict
 
 import pyarrow as pa
@@ -30,7 +32,10 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "proprietary": ["All rights reserved."],
 }
-_BREAK = re.compile(r"\n[ \t\r]*\n")
+#: Full texts of licences, in license_texts.
+FULL_TEXTS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
+for _name in FULL_TEXTS:
+    TEMPLATES.setdefault(_name, []).append(pkgutil.get_data(__package__, f"license_texts/{_name}.txt").decode())
 
 
 def bigrams(words: list) -> set:
@@ -46,46 +51,102 @@ class Scanner:
             for x in b:
                 self.of[x].append(i)
         t, sizes = threshold, [len(b) for _, b in self.templates]
-        self.bounds = [(n * t / (2 - t), n * (2 - t) / t) for n in sizes]
-        self.least, self.most = min(a for a, _ in self.bounds), max(b for _, b in self.bounds)
-
-    def unit(self, text: str, found: dict[str, float]) -> None:
-        words = words_of(text)
-        if not self.least <= max(1, len(words) - 1) or not words:
-            return
-        own = bigrams(words)
-        if not self.least <= len(own) <= self.most:
-            return
+        self.needed = [n * t / (2 - t) - 1e-9 for n in sizes]
+        self.most = [n * (2 - t) / t + 1e-9 for n in sizes]
+        self.single = any(len(x) == 1 for x in self.of)
+
+    def near(self, words: list) -> list[int]:
+        """The templates of which a text of these words holds enough bigrams."""
         shared: dict[int, int] = defaultdict(int)
-        for x in own:
-            for i in self.of.get(x, ()):
+        own = set(zip(words, words[1:], strict=False))
+        if self.single:
+            own |= {(w,) for w in words}
+        for x in own & self.of.keys():
+            for i in self.of[x]:
                 shared[i] += 1
-        for i, n in shared.items():
-            if self.bounds[i][0] <= len(own) <= self.bounds[i][1]:
-                score = 2 * n / (len(own) + len(self.templates[i][1]))
-                if score >= self.threshold:
-                    name = self.templates[i][0]
-                    found[name] = max(found.get(name, 0.0), score)
+        return [i for i, n in shared.items() if n >= self.needed[i]]
+
+    def runs(self, i: int, lines: list[list]) -> tuple[float, set[int]]:
+        """The best score of a run of the lines with a template (0 below the threshold), and the lines that match it alone."""
+        template, needed, most = self.templates[i][1], self.needed[i], self.most[i]
+        best, alone = 0.0, {k for k, w in enumerate(lines) if len(w) == 1 and (w[0],) in template and len(template) == 1}
+        if alone:
+            return 1.0, alone
+        words = [w for line in lines for w in line]
+        ids: dict = {}
+        pair = [ids.setdefault(x, len(ids)) for x in zip(words, words[1:], strict=False)]
+        hit = {k for x, k in ids.items() if x in template}
+        # the pairs of lines a to b are those from begin[a] to last[b] - 1
+        begin, last, at = [], [], 0
+        for line in lines:
+            begin.append(at)
+            at += len(line)
+            last.append(at - 1)
+        begin.append(len(pair))
+        ends = {k for k, line in enumerate(lines) if any(pair[p] in hit for p in range(max(0, begin[k] - 1), last[k]))}
+        # the next place of each pair: a first line all of whose pairs come again adds nothing
+        again, place = [len(pair)] * len(pair), {}
+        for p in reversed(range(len(pair))):
+            again[p] = place.get(pair[p], len(pair))
+            place[pair[p]] = p
+        # distinct pairs, and shared ones, in the longest window from each line that is not too large
+        held: dict[int, int] = defaultdict(int)
+        stop = shared = 0
+        for k in range(len(lines)):
+            while stop < len(pair) and (pair[stop] in held or len(held) < most):
+                shared += pair[stop] in hit and pair[stop] not in held
+                held[pair[stop]] += 1
+                stop += 1
+            if shared >= needed and any(pair[p] in hit for p in range(begin[k], min(begin[k + 1], len(pair)))):
+                own: set = set()
+                n, p, size = 0, begin[k], -1
+                needs = max((self._beyond(again, p, begin[k + 1]) for p in range(begin[k], min(begin[k + 1], len(pair)))), default=0)
+                for j in range(k, len(lines)):
+                    if p > needs or (j > k and last[j - 1] > needs):
+                        break
+                    while p < last[j]:
+                        if pair[p] not in own:
+                            own.add(pair[p])
+                            n += pair[p] in hit
+                        p += 1
+                    if len(own) > most:
+                        break
+                    if j in ends and len(own) != size:
+                        size, score = len(own), 2 * n / (len(own) + len(template))
+                        if score >= self.threshold:
+                            best = max(best, score)
+                            if j == k:
+                                alone.add(k)
+            for p in range(begin[k], min(begin[k + 1], len(pair))):
+                if p < stop:
+                    held[pair[p]] -= 1
+                    if not held[pair[p]]:
+                        del held[pair[p]]
+                        shared -= pair[p] in hit
+                else:
+                    stop = p + 1
+        return best, alone
+
+    @staticmethod
+    def _beyond(again: list[int], p: int, end: int) -> int:
+        while p < end:
+            p = again[p]
+        return p
 
     def scan(self, text: str | None) -> tuple[dict[str, float], int]:
-        """Best score of each licence found, and the number of lines that match one."""
+        """Best score of each licence found, and the number of lines that match one by themselves."""
         found: dict[str, float] = {}
-        lines = 0
-        if not text:
+        near = self.near(words_of(text)) if text else []
+        if not near:
             return found, 0
-        for paragraph in _BREAK.split(text):
-            parts = [x for x in paragraph.split("\n") if x.strip()]
-            for x in parts:
-                here: dict[str, float] = {}
-                self.unit(x, here)
-                lines += bool(here)
-                for k, v in here.items():
-                    found[k] = max(found.get(k, 0.0), v)
-            if 1 < len(parts) <= 12:
-                self.unit(paragraph, found)
-        if text.count("\n") < 24:
-            self.unit(text, found)
-        return found, lines
+        lines, alone = [w for x in text.split("\n") if (w := words_of(x))], set()
+        for i in near:
+            score, own = self.runs(i, lines)
+            alone |= own
+            if score:
+                name = self.templates[i][0]
+                found[name] = max(found.get(name, 0.0), score)
+        return found, len(alone)
 
 
 def scan_licenses(documents: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:

@@ -141,6 +141,37 @@ def test_licenses_equal_brute_force(docs, spark):
         assert got[i].licenses == sorted(best) and got[i].score == pytest.approx(max(best.values(), default=0))
 
 
+def test_licenses_in_runs_of_lines(spark):
+    full = {name: licenses.TEMPLATES[name][-1] for name in licenses.FULL_TEXTS}
+    rows = [(name, f"Some page\n\nCopyright 2020 A. B.\n\n{text}\nand other words\nfollow it") for name, text in full.items()]
+    grant = licenses.TEMPLATES["MIT"][1].split()
+    rows += [("wrapped", "first\n" + "\n".join(" ".join(grant[i : i + 2]) for i in range(0, len(grant), 2)) + "\nlast line of the paragraph")]
+    rows += [("repeated", "Released under the MIT License.\n" * 3000), ("start", "\n".join(full["GPL-3.0"].split("\n")[:60]))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(got[name].license == name and got[name].score > 0.95 for name in full)
+    assert got["wrapped"].licenses == ["MIT"] and got["repeated"].n_lines == 3000 and got["repeated"].score == 1
+    assert got["start"].licenses == []
+
+
+def test_license_runs_equal_brute_force():
+    rng = np.random.RandomState(6)
+    for t in (0.5, 0.8):
+        for _ in range(150):
+            templates = {str(i): [" ".join(rng.choice(list("abcdef"), rng.randint(1, 9)))] for i in range(3)}
+            lines = [" ".join(rng.choice(list("abcdef"), rng.randint(0, 4))) for _ in range(rng.randint(1, 9))]
+            best, alone = {}, set()
+            for a in range(len(lines)):
+                for b in range(a + 1, len(lines) + 1):
+                    own = licenses.bigrams(decontaminate.words_of(" ".join(lines[a:b])))
+                    for name, (text,) in templates.items():
+                        other = licenses.bigrams(decontaminate.words_of(text))
+                        score = 2 * len(own & other) / (len(own) + len(other))
+                        if own and score >= t:
+                            best[name] = max(best.get(name, 0), score)
+                            alone |= {a} if b == a + 1 else set()
+            assert licenses.Scanner(templates, t).scan("\n".join(lines)) == (best, len(alone))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.RandomState(3)
     x = rng.normal(size=(400, 8))
