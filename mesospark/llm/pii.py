@@ -15,6 +15,7 @@ rows and null ids are treated like any other; other columns pass through.
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -38,16 +39,24 @@ SYLLABLES = {"latin": ["ber", "dan", "fel", "gor", "hal", "kin", "lor", "mer", "
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
     r"|(?P<awskey>\bAKIA[A-Z0-9]{16}\b)"
-    r"|(?P<secret>(?<=token = \")[0-9A-Za-z]{16,}(?=\")|(?<=password=)[^\s\"']{6,})"
+    r"|(?P<secret>(?<=token = \")[0-9A-Za-z]{16,}(?=\"))"
+    r"|(?=[aAbBpPsStT])(?<![A-Za-z0-9])(?:(?i:passw(?:or)?d|pwd)=[\"']?(?P<password>[^\s\"']{5,}[^\s\"'.,;:!?)\]}])"
+    r"|(?i:(?:api|access|secret|private|auth)[_ -]?(?:access[_-]?)?(?:key|token)|client[_-]secret|secret|token|passw(?:or)?d|pwd)[\"']?\s{0,3}(?::|=)\s{0,3}[\"']?(?P<keyed>(?=[^\s\"']*\d)[^\s\"']{5,}[^\s\"'.,;:!?)\]}])"
+    r"|(?i:bearer)\s(?P<bearer>(?=[A-Za-z0-9._~+/=-]*\d)[A-Za-z0-9._~+/-]{16,}=*))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]))"
-    r"|(?P<phone>(?<!\w)\+?\d{1,3} ?\(\d{2,4}\) ?\d{3}-\d{4}(?!\d))"
-    r"|(?P<card>(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<!\w)\+?\d{1,3} ?\(\d{2,4}\) ?\d{3}-\d{4}(?!\d)|(?<![\w+])\+\d(?:[ .()/-]{0,2}\d){7,14}(?!\d)"
+    r"|(?<![\w.+-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+-])(?:1 )?[2-9]\d\d [2-9]\d\d[ -]\d{4}(?![\w-])"
+    r"|(?<![\w.,+-])(?:0\d{1,4}[ /-]\d{5,8}|\(0\d{1,4}\) ?\d{5,8}|0\d(?:[ .-]\d\d){4})(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7})(?![\w-]))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{6,39}(?![\w:]))"
     r"|(?P<name>(?=[A-ZÀ-ÞА-Я])(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bProf\. )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bMme )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=г-н )|(?<=г-жа ))"
     r"[A-ZÀ-ÞА-Я][\w'’]*(?: [A-ZÀ-ÞА-Я][\w'’]*)?)"
 )
 #: Every entity holds an @ or a digit, or stands after one of these.
-_SIGN = re.compile(r"[@\d]")
-_MARKS = ("AKIA", "token = ", "password=", *(f"{t}{dot} " for t in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra", "г-н", "г-жа") for dot in ("", ".")))
+_SIGN = re.compile(r"[@\d]|(?i:passw|pwd)")
+_MARKS = ("AKIA", "token = ", *(f"{t}{dot} " for t in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra", "г-н", "г-жа") for dot in ("", ".")))
 _TITLE = re.compile(r"(\S+?)\.? $")
 
 
@@ -90,6 +99,23 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _iban_check(country: str, rest: str) -> str:
+    """The two check digits of an account."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+
+def _is_iban(entity: str) -> bool:
+    flat = entity.replace(" ", "")
+    return 15 <= len(flat) <= 34 and flat[2:4] == _iban_check(flat[:2], flat[4:])
+
+
+def _is_ipv6(entity: str) -> bool:
+    try:
+        return any(c.isdigit() for c in entity) and bool(ipaddress.IPv6Address(entity))
+    except ValueError:
+        return False
+
+
 def script_of(name: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
 
@@ -130,30 +156,64 @@ def surrogate(key: bytes, kind: str, entity: str, choice: int = 0) -> str:
         while _luhn(re.sub(r"\D", "", out)[:-1]) == int(out[-1]):  # valid ones belong to valid cards: walk on
             out = permuted(key, kind, out)
         return out
+    if kind == "iban":
+        rest = permuted(key, kind + entity[:2], entity[4:])
+        return entity[:2] + _iban_check(entity[:2], rest.replace(" ", "")) + rest
+    if kind == "ipv6":
+        out = permuted(key, kind, entity.lower(), hexadecimal=True)
+        return out.upper() if entity == entity.upper() else out
     if kind == "awskey":
         return entity[:4] + permuted(key, kind, entity[4:])
     return permuted(key, kind, entity, hexadecimal=kind == "secret" and bool(re.fullmatch("[0-9a-f]+", entity)))
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """Start, end, kind and text of each entity, in order."""
+    """Start, end, kind and text of each entity, in order. Further mentions of a titled name count too;
+    one by the last word alone is of kind ``last:`` and has the whole name as its text."""
     out: list = []
     if not text or not (_SIGN.search(text) or any(m in text for m in _MARKS)):
         return out
+    names: dict[str, str] = {}
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
+        start, end, entity = m.start(kind), m.end(kind), m[kind]
+        if kind == "iban" and not _is_iban(entity) or kind == "ipv6" and not _is_ipv6(entity):
+            continue
+        if kind in ("password", "keyed", "bearer"):
+            kind = "secret"
         if kind == "name":
-            title = _TITLE.search(text[max(0, m.start() - 8) : m.start()])
+            title = _TITLE.search(text[max(0, start - 8) : start])
             kind = "name-" + TITLES.get(title[1] if title else "", "n")
-        out.append((m.start(), m.end(), kind, m[0]))
-    return out
+            names.setdefault(entity, kind)
+        out.append((start, end, kind, entity))
+    return _with_mentions(text, out, names) if names else out
+
+
+def _with_mentions(text: str, out: list, names: dict[str, str]) -> list:
+    mentions = {n: (k, n) for n, k in names.items()}
+    last: dict[str, set] = {}
+    for n in names:
+        if " " in n:
+            last.setdefault(n.rpartition(" ")[2], set()).add(n)
+    for word, whole in last.items():  # a last word that several names have says nothing
+        if word not in mentions and len(whole) == 1:
+            n = next(iter(whole))
+            mentions[word] = ("last:" + names[n], n)
+    taken, more, i = sorted((a, b) for a, b, *_ in out), [], 0
+    found = re.compile(r"(?<![\w'’@.-])(?:" + "|".join(map(re.escape, sorted(mentions, key=lambda n: (-len(n), n)))) + r")(?![\w@-])")
+    for m in found.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or m.end() <= taken[i][0]:
+            more.append((m.start(), m.end(), *mentions[m[0]]))
+    return sorted(out + more)
 
 
 def entity_table(documents: DataFrame) -> DataFrame:
     """``kind, entity``: the distinct entities of the corpus."""
     def run(batches):
         for batch in batches:
-            found = sorted({(k, e) for t in batch.column(0).to_pylist() for _, _, k, e in entities(t)})
+            found = sorted({(k, e) for t in batch.column(0).to_pylist() for _, _, k, e in entities(t) if not k.startswith("last:")})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=["kind", "entity"])
 
     return documents.select("text").filter("text IS NOT NULL").mapInArrow(run, "kind string, entity string").distinct()
@@ -193,7 +253,9 @@ def replaced(text: str | None, key: bytes, chosen: dict, memo: dict) -> tuple[st
         if (kind, entity) not in memo:
             if len(memo) > 100_000:
                 memo.clear()
-            memo[kind, entity] = surrogate(key, kind, entity, chosen.get((kind, entity), 0))
+            whole = kind.removeprefix("last:")
+            new = surrogate(key, whole, entity, chosen.get((whole, entity), 0))
+            memo[kind, entity] = new if whole == kind else new.rpartition(" ")[2]
         out += [text[last:a], memo[kind, entity]]
         last = b
     return "".join([*out, text[last:]]), len(found)

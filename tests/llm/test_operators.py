@@ -223,6 +223,29 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
         assert len({pii.surrogate(key, kind, v) for v in values}) == len(values)
 
 
+def test_common_formats_are_replaced():
+    for entity in (
+        "555-123-4567", "(555) 123-4567", "+1-555-123-4567", "+49 30 1234567", "+44 20 7946 0958", "555.123.4567", "1-800-555-0199", "030 1234567", "(030) 1234567", "01 23 45 67 89", "+9 (999) 999-9999",
+        "3782 822463 10005", "3056-930902-5904", "4111-1111-1111-1111", "2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "078-05-1120",
+    ):
+        text = f"Reach me at {entity}, or never."
+        new, n = pii.replaced(text, b"k", {}, {})
+        assert n == 1 and entity not in new and len(new) == len(text) and new.startswith("Reach me at ") and new.endswith(", or never.")
+    for before, value in (("api_key=", "sk1live9x8y7"), ("API-KEY: ", "abcd1234efgh"), ("secret: ", "9f8e7d6c5b"), ("token: ", "zz81ab22"), ('"access_token": "', "aa11bb22cc"), ("Authorization: Bearer ", "eyJhbGci0iJIUzI1NiJ9.abc-def"), ("Password: ", "hunter22"), ("pwd=", "sesame")):
+        new, n = pii.replaced(f"x {before}{value} y", b"k", {}, {})
+        assert n == 1 and value not in new and new.startswith(f"x {before}")
+    iban = pii.surrogate(b"k", "iban", "GB82 WEST 1234 5698 7654 32")
+    assert pii._is_iban(iban) and pii._is_ipv6(pii.surrogate(b"k", "ipv6", "2001:DB8::1"))
+    for clean in ("At 12:30:45 on 2020-01-02 it was 1,234,567 or 3.14159.", "the secret: nobody knows", "ISBN 978-3-16-148410-0", "std::vector and a::b", "rooms 100 200 3000", "AB12 CDEF 1234 5678"):
+        assert pii.replaced(clean, b"k", {}, {}) == (clean, 0)
+
+
+def test_later_mentions_follow_the_name():
+    new, n = pii.replaced("Mrs Ada Byron came. Ada Byron spoke, and Byron's friend Mr. Kay left. Kay waved. Byronic Kayaks.", b"k", {}, {})
+    ada, kay = pii.surrogate(b"k", "name-f", "Ada Byron"), pii.surrogate(b"k", "name-m", "Kay")
+    assert new == f"Mrs {ada} came. {ada} spoke, and {ada.split()[1]}'s friend Mr. {kay} left. {kay} waved. Byronic Kayaks." and n == 5
+
+
 def test_colliding_names_become_distinct(spark):
     names = [f"Name{chr(97 + i)}" for i in range(26)]
     rows = [(i, f"Mr {n} came") for i, n in enumerate(names)]
