@@ -1,6 +1,8 @@
 """MinHash near-duplicate detection with ProbMinHash signatures.
 
-A document is its set of five-word shingles, weighted 1 + ln(occurrences).
+A document is its set of five-word shingles. The sketch takes weights; here each
+distinct shingle has weight 1, however often it occurs, so that the sketch
+estimates the very similarity that is verified.
 Each shingle runs a Poisson process whose rate is its weight; an arrival goes
 to a random register, and a register keeps the shingle that arrived first. A
 process stops at the time by which every register is filled (early
@@ -120,8 +122,8 @@ def signatures(documents: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in row_slices(offsets, CHUNK):
-                row, s, count, k1, k2 = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                signature = prob_min_hash(row, s, 1 + np.log(count), b - a, bands * rows)
+                row, s, _, k1, k2 = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                signature = prob_min_hash(row, s, np.ones(len(s)), b - a, bands * rows)
                 has = np.isin(np.arange(b - a), row)
                 keys, bits = band_keys(signature[has], bands), nibbles(signature[has])
                 yield pa.RecordBatch.from_arrays(

@@ -66,6 +66,18 @@ def test_near_duplicates_equal_brute_force(docs):
     assert kept == {label[i] for i in label} | {None}
 
 
+def test_near_duplicates_where_one_text_repeats_lines(spark):
+    rng, rows = np.random.RandomState(12), []
+    for i in range(20):
+        text = [f"w{rng.randint(10**6)}" for _ in range(60)]
+        # the repeated run ends where it begins, so that its repeats make no new shingles
+        ring = text[:10]
+        head = " ".join(ring * 2 + text[10:])
+        rows += [(2 * i, head), (2 * i + 1, " ".join(ring * 1000 + text[10:]))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.near_duplicate_classes(docs.limit(0)).count() == 0
 
