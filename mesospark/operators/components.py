@@ -1,6 +1,6 @@
 """Connected components by alternating star contraction."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mesospark.plans.lineage import cut
@@ -21,22 +21,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_passes: int = 60) -> DataFrame:
     """Label every endpoint with the smallest id that it is connected to.
 
-    ``edges`` holds two id columns of one orderable type. Nulls, self links and
+    ``edges`` holds two id columns of one orderable type; it is read several
+    times, so an expensive input should be cut first. Nulls, self links and
     repeated or reversed links add nothing (a node that only has a self link is
     absent from the result). Returns ``id, component`` for every linked node;
     an empty input gives an empty result. Each pass is two joins on node ids
-    and is checkpointed; the number of passes is logarithmic for long chains.
+    and is checkpointed, and a sum over its rows, taken as they are written,
+    tells whether anything moved; the number of passes is logarithmic for long chains.
     """
-    e = (
-        edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
-        .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .distinct()
+    e = edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).select(
+        F.greatest(left, right).alias("u"), F.least(left, right).alias("v")
     )
-    e, before = cut(e), None
+    before = None
     for _ in range(max_passes):
-        e = cut(_small_star(_large_star(e)))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        seen = Observation()
+        e = cut(_small_star(_large_star(e)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = seen.get
+        if now == before or not now["n"]:
             break
         before = now
     else:
