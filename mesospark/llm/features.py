@@ -5,16 +5,20 @@ n-grams and looking up the selected ones are array operations over the bytes
 of a whole record batch; a document's features are found over its whole text.
 """
 
-from dataclasses import dataclass
+import pickle
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesospark.llm.blocks import WINDOW, part, row_slices, utf8, words
 
 BITS = 20
+_READ = "the text that is read"
 
 
 def letters_lut() -> np.ndarray:
@@ -41,19 +45,27 @@ FAMILIES = {f"letters{n}": (letters_lut, n) for n in (2, 3, 4, 5, 6, 8, 11)} | {
 
 @dataclass
 class Selected:
-    """Hash bucket -> index of a kept feature (0: none), by family."""
+    """Which hash buckets are kept as features: bucket numbers, family-major. Lookup tables are made where they are used."""
 
     families: tuple[str, ...]
-    tables: dict[str, np.ndarray]
-    size: int
+    kept: np.ndarray
+    _tables: dict = field(default_factory=dict, repr=False, compare=False)
 
-    @classmethod
-    def of(cls, families, kept: np.ndarray) -> "Selected":
-        """kept: bucket numbers, family-major."""
-        tables = {f: np.zeros(1 << BITS, np.int16) for f in families}
-        for i, bucket in enumerate(kept):
-            tables[families[bucket >> BITS]][bucket & ((1 << BITS) - 1)] = i + 1
-        return cls(tuple(families), tables, len(kept))
+    @property
+    def size(self) -> int:
+        return len(self.kept)
+
+    def table(self, family: str) -> np.ndarray:
+        """Bucket -> index of the kept feature, from 1 (0: none)."""
+        if family not in self._tables:
+            own = np.flatnonzero(self.kept >> BITS == self.families.index(family))
+            table = np.zeros(1 << BITS, np.int16)
+            table[self.kept[own] & ((1 << BITS) - 1)] = own + 1
+            self._tables[family] = table
+        return self._tables[family]
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": {}}
 
 
 def _buckets(codes: np.ndarray, family: str) -> np.ndarray:
@@ -98,7 +110,7 @@ def marked(data: np.ndarray, offsets: np.ndarray, chosen: Selected, repeats: boo
         for a, piece in _windows(data, n):
             if len(piece) < n:
                 continue
-            found = chosen.tables[family][_buckets(make()[piece], family)]
+            found = chosen.table(family)[_buckets(make()[piece], family)]
             at = np.flatnonzero(found)
             row = np.searchsorted(offsets, a + at, "right") - 1
             inside = a + at + n <= offsets[row + 1]
@@ -133,9 +145,9 @@ def sample_marks(texts: pa.ChunkedArray, chosen: Selected, repeats: bool) -> np.
     return np.concatenate(parts) if parts else np.zeros((0, chosen.size + 4 * repeats), bool)
 
 
-def scores(batch: pa.RecordBatch, text: str, model: "Linear") -> np.ndarray:
+def scores(texts, model: "Linear") -> np.ndarray:
     """Rows x outputs: weights of the features that each whole text holds, plus the bias."""
-    data, offsets = utf8(batch.column(text))
+    data, offsets = utf8(texts)
     out = np.empty((len(offsets) - 1, len(model.bias)), np.float32)
     for a, b in row_slices(offsets, WINDOW):
         x = marked(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.chosen, model.repeats).astype(np.float32)
@@ -154,36 +166,72 @@ class Linear:
     unit: bool = False  # rows scaled to unit length
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, value: Column, folds: int, held_out: int, per_value: int, max_bytes: int, values: list) -> dict:
-    """Texts of up to ``per_value`` learnable rows for each value, lowest hash of the id first.
+def share_of(id_column: str, seed: int) -> Column:
+    """A keyed hash of the id as a number from 0 up to 1."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def bounded_share(wanted: int, there: int) -> float:
+    """The share of rows to draw by hash, so low that ``wanted`` is passed once in tens of thousands of draws."""
+    return 1.0 if there <= wanted else max(0.0, wanted - 4 * wanted**0.5) / there
 
-    Only ids and labels are ordered; the texts of the chosen ids alone come to
-    the driver, at most ``per_value * max_bytes`` bytes a value. Rows with a
-    null id, label or text and texts over ``max_bytes`` bytes are not learnt from.
+
+def labelled_ids(labels: DataFrame, value: Column, folds: int, held_out: int, per_value: int, max_values: int) -> tuple[DataFrame, dict]:
+    """``doc_id, value`` of about ``per_value`` learnable ids for each value, drawn by a hash of the id, and how many there are of each.
+
+    Rows with a null id or value and those of the held-out fold are not learnt
+    from; an id with several values has the greatest.
     """
-    spark = documents.sparkSession
     learnt = labels.select("doc_id", value.alias("value")).filter(F.col("value").isNotNull() & (part("doc_id", folds) != held_out))
     learnt = learnt.groupBy("doc_id").agg(F.max("value").alias("value"))
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    out = {}
-    for v in values:
-        ids = learnt.filter(F.col("value") == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_value)
-        ids = spark.createDataFrame(ids.select("doc_id").toArrow()) if not ids.isEmpty() else ids.select("doc_id")
-        found = texts.join(F.broadcast(ids), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        out[v] = found.column("text")
-    return out
+    counts = {r[0]: r[1] for r in learnt.groupBy("value").count().limit(max_values + 1).collect()}
+    if len(counts) > max_values:
+        raise ValueError(f"more than {max_values} values to learn: raise the limit or merge some")
+    share = F.lit(0.0)
+    for v, n in counts.items():
+        share = F.when(F.col("value") == F.lit(v), bounded_share(per_value, n)).otherwise(share)
+    return learnt.filter(share_of("doc_id", 0) < share), counts
+
+
+def labelled_texts(documents: DataFrame, ids: DataFrame, max_bytes: int) -> DataFrame:
+    """``doc_id, text, value`` of the ids (a bounded number), in one scan of documents; a repeated id counts once."""
+    texts = documents.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes)
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("value").alias("value"))
 
 
-def scored(documents: DataFrame, model, fields: str, rows_of, keep=("doc_id", "text")) -> DataFrame:
-    """documents with computed columns: rows_of(batch, model) -> list of Arrow arrays, one for each of ``fields``."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(*keep)
-    passed = [f"`{c}` {t}" for c, t in source.dtypes if c != "text"]
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]):
+    """fit over a bounded sample, in order of its first column, in one task; only what it returns comes to the driver."""
+    first = sample.columns[0]
+
+    def run(batches):
+        got = list(batches)
+        if got:
+            model = pickle.dumps(fit(pa.Table.from_batches(got).sort_by(first)))
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else fit(sample.limit(0).toArrow())
+
+
+def texts_of(table: pa.Table, value, most: int) -> pa.ChunkedArray:
+    """At most ``most`` texts of the rows with a value."""
+    return table.filter(pc.equal(table.column("value"), value)).column("text").slice(0, most)
+
+
+def scored(documents: DataFrame, model, fields: str, rows_of, keep=("doc_id",), text: str = "text") -> DataFrame:
+    """The kept columns with computed ones: rows_of(batch, model) -> list of Arrow arrays, one for each of ``fields``.
+
+    The model goes along with the tasks; it holds a bounded number of weights.
+    """
+    read = text if text in keep else _READ
+    source = documents.select(*keep, *([] if text in keep else [F.col(text).alias(_READ)]))
+    passed = [f"`{c}` {t}" for c, t in source.dtypes if c != _READ]
+    names = [*keep, *(x.split()[0] for x in fields.split(","))]
+    if len(set(names)) < len(names):
+        raise ValueError(f"rename columns before they are kept: {names}")
 
     def run(batches):
         for batch in batches:
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"] + [x.split()[0] for x in fields.split(",")]
-            yield pa.RecordBatch.from_arrays(kept + rows_of(batch, held.value), names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + rows_of(batch.column(read), model), names=names)
 
     return source.mapInArrow(run, ", ".join([*passed, fields]))

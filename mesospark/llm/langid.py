@@ -6,8 +6,9 @@ bytes, all of them are classified in batches, and their posteriors are averaged
 with the number of letters in each window as weight.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0;
-a null lang is never learnt from; repeated rows are predicted each; other
-columns are ignored. With no learnable language every text gives ``und``.
+a null lang is never learnt from, texts of one id count once when learning;
+repeated rows are predicted each, null ids too; other columns are ignored. With
+no learnable language every text gives ``und``.
 """
 
 from dataclasses import dataclass
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mesospark.llm.blocks import part, utf8
-from mesospark.llm.features import letters_lut, scored
+from mesospark.llm.features import bounded_share, fitted, letters_lut, scored, share_of
 
 WIDTHS = (2, 3, 4)
-STRIDE = 2  # convolutions start at every second byte
+STRIDE = 1  # convolutions start at every byte
 UNKNOWN = "und"
 
 
@@ -117,31 +118,46 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], *, filters: int =
     return LanguageModel(languages, params[:3], params[3], params[4], params[5], x.shape[1])
 
 
-def fit_languages(documents: DataFrame, *, folds: int = 3, held_out: int = 1, per_language: int = 500, max_bytes: int = 1 << 14, max_languages: int = 64, windows_each: int = 4, length: int = 256, **training) -> LanguageModel | None:
-    """Fit on at most ``per_language`` documents of each of the ``max_languages`` most frequent languages outside the held-out fold."""
-    spark = documents.sparkSession
-    known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (part("doc_id", folds) != held_out))
-    languages = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
-    if not languages:
-        return None
-    texts = documents.select("doc_id", "text", "lang").filter(F.octet_length("text").between(32, max_bytes))
-    rng, xs, ys = np.random.RandomState(3), [], []
-    for k, lang in enumerate(languages):
-        ids = known.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        ids = spark.createDataFrame(ids.toArrow(), "doc_id " + dict(documents.dtypes)["doc_id"]).distinct()
-        got = texts.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        data, offsets = utf8(got.column("text"))
-        if not len(data):
-            continue
-        codes = letters_lut()[data]
-        row = rng.randint(0, len(offsets) - 1, windows_each * (len(offsets) - 1))
-        room = np.maximum(offsets[row + 1] - offsets[row] - length, 0)
-        start = offsets[row] + (rng.rand(len(row)) * (room + 1)).astype(np.int64)
-        xs.append(_take(codes, start, offsets[row + 1], length))
-        ys.append(np.full(len(row), k))
-    if not xs:
-        return None
-    return train(np.concatenate(xs), np.concatenate(ys), languages, **training)
+def fit_languages(documents: DataFrame, *, folds: int = 3, held_out: int = 1, per_language: int = 500, max_bytes: int = 1 << 14, max_languages: int = 256, windows_each: int = 4, length: int = 256, **training) -> LanguageModel | None:
+    """Fit on at most ``per_language`` documents of each language outside the held-out fold.
+
+    Two scans: one counts the languages, one draws documents by a hash of the id
+    and cuts windows from them; the windows alone, a bounded number, meet in the
+    task that trains. Over ``max_languages`` languages are an error.
+    """
+    known = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (part("doc_id", folds) != held_out))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise the limit or merge some")
+    share, languages = F.lit(0.0), sorted(counts)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, bounded_share(per_language, n)).otherwise(share)
+    drawn = known.filter(F.octet_length("text").between(1, max_bytes) & (share_of("doc_id", 0) < share))
+    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.*")
+
+    def cut_windows(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            codes, n = letters_lut()[data], batch.num_rows
+            room = np.maximum(np.diff(offsets) - length, 0)
+            row = np.repeat(np.arange(n), windows_each)
+            start = offsets[row] + room[row] * np.tile(np.arange(windows_each), n) // max(1, windows_each - 1)
+            x = _take(codes, start, offsets[row + 1], length)
+            new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1])) if n else np.zeros(0, bool)
+            row, x = row[new], np.ascontiguousarray(x[new])
+            cells = pa.Array.from_buffers(pa.binary(length), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("lang").take(pa.array(row)), cells], names=["doc_id", "lang", "window"])
+
+    def fit(table):
+        at = {lang: k for k, lang in enumerate(languages)}
+        y = np.array([at[x] for x in table.column("lang").to_pylist()], np.int64)
+        if not len(y):
+            return None
+        x = np.frombuffer(b"".join(table.column("window").to_pylist()), np.uint8).reshape(len(y), length)
+        return train(x, y, languages, **training)
+
+    sample = drawn.mapInArrow(cut_windows, f"doc_id {dict(documents.dtypes)['doc_id']}, lang string, window binary")
+    return fitted(sample, fit) if languages else None
 
 
 _FORWARD: dict = {}
@@ -177,8 +193,8 @@ def predict(column, model: LanguageModel | None, at_once: int = 256) -> tuple[li
     return names, np.where(plain, np.clip(share[np.arange(n), best], 0, 1), 0.0)
 
 
-def _rows(batch: pa.RecordBatch, model) -> list:
-    names, score = predict(batch.column("text"), model)
+def _rows(texts, model) -> list:
+    names, score = predict(texts, model)
     return [pa.array(names, pa.string()), pa.array(score)]
 
 

@@ -15,6 +15,7 @@ labelled rows there is one domain, ``all``. A document whose rate is 0 leaves
 the mixture.
 """
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesospark.llm.blocks import row_slices, utf8, words
-from mesospark.llm.features import BITS, WINDOW, Linear, Selected, document_counts, labelled_sample, sample_marks, scored, scores
+from mesospark.llm.features import BITS, WINDOW, Linear, Selected, document_counts, fitted, labelled_ids, labelled_texts, sample_marks, scored, scores, texts_of
 from mesospark.plans.lineage import cut
 
+log = logging.getLogger(__name__)
 FAMILIES = ("letters3", "letters4", "shapes3")
 
 
@@ -41,15 +43,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit_domains(documents: DataFrame, labelled: DataFrame, domain: Column, *, per_domain: int = 300, max_bytes: int = 1 << 14, max_domains: int = 32, features: int = 1500, passes: int = 150, rate: float = 0.1, decay: float = 1e-4) -> DomainModel:
-    """Fit on at most ``per_domain`` labelled documents of each of the ``max_domains`` most frequent domains."""
-    known = labelled.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
-    counts = sorted((r[0], r[1]) for r in known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(max_domains).collect())
-    texts = labelled_sample(documents, known, F.col("domain"), 1, -1, per_domain, max_bytes, [d for d, _ in counts]) if counts else {}
-    counts = [(d, n) for d, n in counts if len(texts[d])]
-    if len(counts) < 2:
-        return DomainModel([counts[0][0] if counts else "all"], np.ones(1), None)
-    domains = [d for d, _ in counts]
+def fit_domains(documents: DataFrame, labelled: DataFrame, domain: Column, *, per_domain: int = 300, max_bytes: int = 1 << 14, max_domains: int = 64, features: int = 1500, passes: int = 150, rate: float = 0.1, decay: float = 1e-4) -> DomainModel:
+    """Fit on at most ``per_domain`` labelled documents of each domain; over ``max_domains`` domains are an error."""
+    ids, counts = labelled_ids(labelled, domain, 1, -1, per_domain, max_domains)
+
+    def fit(table):
+        return _fit({d: texts_of(table, d, per_domain) for d in sorted(counts)}, counts, features, passes, rate, decay)
+
+    return fitted(labelled_texts(documents, ids, max_bytes), fit) if counts else DomainModel(["all"], np.ones(1), None)
+
+
+def _fit(texts: dict, counts: dict, features: int, passes: int, rate: float, decay: float) -> DomainModel:
+    domains = [d for d in texts if len(texts[d])]
+    if len(domains) < 2:
+        return DomainModel(domains or ["all"], np.ones(1), None)
     together = pa.chunked_array([c for d in domains for c in texts[d].chunks])
     y = np.repeat(np.arange(len(domains)), [len(texts[d]) for d in domains])
     width = len(FAMILIES) << BITS
@@ -63,7 +70,7 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, domain: Column, *, pe
     mean = total / len(domains)
     apart = (square / len(domains) - mean * mean) / (mean * (1 - mean) + 0.01)
     kept = np.argsort(-np.where(seen >= 5, apart, 0), kind="stable")[:features]
-    chosen = Selected.of(FAMILIES, kept)
+    chosen = Selected(FAMILIES, kept)
     x = sample_marks(together, chosen, True).astype(np.float32)
     x = np.c_[x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), np.ones(len(x), np.float32)]
     w, m, v = (np.zeros((x.shape[1], len(domains)), np.float32) for _ in range(3))
@@ -71,17 +78,17 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, domain: Column, *, pe
     for t in range(1, passes + 1):
         p = _softmax(x @ w)
         p[np.arange(len(y)), y] -= 1
-        g = x.T @ (p * weight) / len(y) + decay * w
+        g = x.T @ (p * weight).astype(np.float32) / len(y) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    shares = np.array([n for _, n in counts], float)
+    shares = np.array([counts[d] for d in domains], float)
     return DomainModel(domains, shares / shares.sum(), Linear(chosen, w[:-1], w[-1], repeats=True, unit=True))
 
 
-def _posteriors(batch: pa.RecordBatch, model: DomainModel) -> list:
-    p = _softmax(scores(batch, "text", model.linear).astype(np.float64)) if model.linear else np.ones((batch.num_rows, 1))
-    data, offsets = utf8(batch.column("text"))
-    tokens = np.zeros(batch.num_rows, np.int64)
+def _posteriors(texts, model: DomainModel) -> list:
+    p = _softmax(scores(texts, model.linear).astype(np.float64)) if model.linear else np.ones((len(texts), 1))
+    data, offsets = utf8(texts)
+    tokens = np.zeros(len(texts), np.int64)
     for a, b in row_slices(offsets, WINDOW):
         row = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]
         tokens[a:b] = np.bincount(row, minlength=b - a)
@@ -89,8 +96,8 @@ def _posteriors(batch: pa.RecordBatch, model: DomainModel) -> list:
     return [pa.array(tokens), pa.ListArray.from_arrays(pa.array(sizes), pa.array(p.ravel()))]
 
 
-def posteriors(documents: DataFrame, model: DomainModel, keep=("doc_id", "text")) -> DataFrame:
-    """The kept columns but text, with ``tokens long, p array<double>`` in the order of ``model.domains``."""
+def posteriors(documents: DataFrame, model: DomainModel, keep=("doc_id",)) -> DataFrame:
+    """The kept columns with ``tokens long, p array<double>`` in the order of ``model.domains``."""
     return scored(documents, model, "tokens long, p array<double>", _posteriors, keep)
 
 
@@ -129,36 +136,52 @@ def targets_of(model: DomainModel, temperature: float) -> dict[str, float]:
     return dict(zip(model.domains, flat / flat.sum(), strict=True))
 
 
-def solve(soft: DataFrame, model: DomainModel, targets: dict[str, float], *, passes: int = 30, tolerance: float = 1e-5) -> list[np.ndarray]:
-    """The gradients whose steps give the rates. Targets are shares of the tokens there are."""
+@dataclass
+class Solution:
+    """The gradients whose steps give the rates, and the largest distance from a target that they leave, as a share of all tokens."""
+
+    gradients: list[np.ndarray]
+    gap: float
+
+
+def solve(soft: DataFrame, model: DomainModel, targets: dict[str, float], *, passes: int = 30, tolerance: float = 1e-5) -> Solution:
+    """Projected gradient steps until every total is within the tolerance, no step moves one, or the passes end.
+
+    Targets are shares of the tokens there are; targets that no non-negative
+    rates meet leave a gap.
+    """
     k = len(model.domains)
     start = _totals(soft, k, [])
     mass, second = start[:k], start[k:].reshape(k, k)
     wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
     if not mass.sum() or not wanted.sum():
-        return []
+        return Solution([], 0.0)
     wanted = wanted / wanted.sum() * mass.sum()
     scale = 1 / np.maximum(mass, 1e-6 * mass.sum())  # distances are relative to what a domain has
     half = np.sqrt(scale)
     step = 1 / max(np.linalg.eigvalsh(half[:, None] * second * half).max(), 1e-12)
-    gradients, totals = [], mass
+    gradients, totals, gap = [], mass, mass - wanted
     for _ in range(passes):
-        gap = totals - wanted
         if np.abs(gap).max() <= tolerance * mass.sum():
             break
         gradients.append(step * scale * gap)
         totals = _totals(soft, k, gradients)[:k]
-        if np.abs(totals - wanted - gap).max() <= 1e-9 * mass.sum():
+        before, gap = gap, totals - wanted
+        if np.abs(gap - before).max() <= 1e-9 * mass.sum():
             break
-    return gradients
+    return Solution(gradients, float(np.abs(gap).max() / mass.sum()))
+
 
+def mix(documents: DataFrame, labelled: DataFrame, domain: Column, *, temperature: float = 0.7, targets: dict[str, float] | None = None, keep=("doc_id",), passes: int = 30, **fitting) -> DataFrame:
+    """The kept columns with ``domain string, tokens long, p array<double>, rate double, expected_tokens double``.
 
-def mix(documents: DataFrame, labelled: DataFrame, domain: Column, *, temperature: float = 0.7, targets: dict[str, float] | None = None, keep=("doc_id", "text"), passes: int = 30, **fitting) -> DataFrame:
-    """The kept columns but text, with ``domain string, tokens long, p array<double>, rate double, expected_tokens double``."""
+    What the last pass leaves of the distance to the targets is logged.
+    """
     model = fit_domains(documents, labelled, domain, **fitting)
     soft = cut(posteriors(documents, model, keep))
-    gradients = solve(soft, model, targets or targets_of(model, temperature), passes=passes)
-    k, domains = len(model.domains), model.domains
+    solved = solve(soft, model, targets or targets_of(model, temperature), passes=passes)
+    log.info("mixing: %d steps leave %.2g of all tokens as the largest gap", len(solved.gradients), solved.gap)
+    k, domains, gradients = len(model.domains), model.domains, solved.gradients
 
     def run(batches):
         for batch in batches:
