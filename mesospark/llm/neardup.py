@@ -13,9 +13,10 @@ exact Jaccard similarity of their shingle sets.
 Texts with the same words are one node before banding. In a bucket every node
 is compared with one pivot first; only nodes of one bucket that are still in
 different components are joined further, and only where the shingles that they
-share with any node at all leave room for the threshold. So no bucket is
-expanded into all pairs, and every candidate pair is compared, connected
-already, or too far apart by count.
+share with any node at all leave room for the threshold, and whose registers
+agree to within seven standard deviations of it. So no bucket is expanded into
+all pairs, and every candidate pair is compared, connected already, or too far
+apart by count or sketch.
 
 Defined cases: null, empty and wordless texts and null ids are never duplicates
 of anything; texts of under five words are one shingle; repeated rows of one id
@@ -33,6 +34,7 @@ from mesospark.plans.lineage import cut
 
 SHINGLE = 5
 CHUNK = 1 << 21
+DEVIATIONS = 7  # of the share of registers that agree, below the threshold, at which a pair of one bucket is left out: about 1e-12 of those at the threshold
 SMALL = 256  # sets of so many shingles are compared within the join, larger ones after it
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -174,49 +176,67 @@ def _shared(sets: DataFrame, threshold: float) -> DataFrame:
     return counted.filter(F.col("shared") >= threshold * F.col("total")).select("node", "total", "shared", "few")
 
 
-def near_duplicate_classes(documents: DataFrame, *, threshold: float = 0.8, bands: int = 36, rows: int = 6) -> DataFrame:
-    """``doc_id, class_id``: one row for each row of documents with a non-null id; class_id is the least id of its class.
-
-    36 bands of 6 registers find a pair of similarity 0.8 with probability 0.99998.
-    """
-    registers = bands * rows
-    signed = cut(signatures(documents, bands, rows))
-    texts = cut(signed.filter(F.size("bands") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
-    keys = texts.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(keys.join(buckets.drop("n"), "key"))
-    nodes = members.select("node").distinct()
-    sets = cut(shingle_sets(documents, nodes))
-    tested = cut(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    edges = cut(verified(tested, sets, threshold))
-    component = cut(connected_components(edges, "a", "b"))
-    placed = members.select("key", "node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    placed = cut(placed.join(split, "key"))
-    wanted = placed.select("node").distinct()
-    shared = _shared(sets.join(wanted, "node", "left_semi"), threshold).join(texts.select("node", "bits"), "node")
-    placed = cut(placed.join(shared, "node"))
+def _apart(placed: DataFrame, tested: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """``a, b``: pairs of one bucket in different components that counts, registers and small sets leave possible."""
     one, two = (placed.select("key", *(F.col(c).alias(c[0] + x) for c in ("node", "component", "total", "shared", "bits", "few"))) for x in "ab")
     least, common = F.least("sa", "sb"), F.size(F.array_intersect("fa", "fb"))
-    # five deviations below the threshold, of the share of registers that agree
-    floor = registers * (threshold - 5 * (threshold * (1 - threshold) / registers) ** 0.5)
-    apart = one.join(
+    floor = registers * (threshold - DEVIATIONS * (threshold * (1 - threshold) / registers) ** 0.5)
+    pairs = one.join(
         two,
         (one.key == two.key) & (F.col("na") > F.col("nb")) & (F.col("ca") != F.col("cb"))
         & (least >= threshold * (F.col("ta") + F.col("tb") - least)) & (_agreeing("ba", "bb", registers) >= floor)
         & (F.coalesce(common >= threshold * (F.col("ta") + F.col("tb") - common), F.lit(True))),
     )
-    pairs = cut(apart.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    edges = edges.union(verified(pairs, sets, threshold))
-    component = cut(connected_components(edges, "a", "b"))
+    return pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
 
-    classes = texts.select("k1", "k2", "node").join(component.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
-    found = signed.filter(F.size("bands") > 0).select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
-    return found.union(signed.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id")))
+def _node_components(texts: DataFrame, documents: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """``node, component`` of the texts that have a near duplicate."""
+    keys = texts.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    members = cut(keys.join(buckets.drop("n"), "key"))
+    sets = cut(shingle_sets(documents, members.select("node").distinct()))
+    tested = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    found = connected_components(cut(verified(tested, sets, threshold)), "a", "b").withColumnRenamed("id", "node")
+    placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    placed = cut(placed.join(split, "key"))
+    shared = _shared(sets.join(placed.select("node").distinct(), "node", "left_semi"), threshold).join(texts.select("node", "bits"), "node")
+    more = cut(verified(cut(_apart(cut(placed.join(shared, "node")), tested, threshold, registers)), sets, threshold))
+    if more.isEmpty():
+        return found
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(stars.union(more), "a", "b").withColumnRenamed("id", "node")
+
+
+def near_duplicate_classes(documents: DataFrame, *, threshold: float = 0.8, bands: int = 36, rows: int = 6) -> DataFrame:
+    """``doc_id, class_id``: one row for each row of documents with a non-null id; class_id is the least id of its class.
+
+    36 bands of 6 registers find a pair of similarity 0.8 with probability 0.99998.
+    """
+    signed = cut(signatures(documents, bands, rows))
+    worded = signed.filter(F.size("bands") > 0)
+    texts = cut(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    component = _node_components(texts, documents, threshold, bands * rows)
+    classes = texts.select("k1", "k2", "node").join(component, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
+    found = worded.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
+    found = cut(found.union(signed.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"))))
+    # one id with several texts is one document, and ties their classes together
+    several = found.groupBy("doc_id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("doc_id", "x")
+    ties = cut(found.join(several, "doc_id").select(F.col("class_id").alias("a"), F.col("x").alias("b")).distinct())
+    if ties.isEmpty():
+        return found
+    tied = connected_components(ties, "a", "b").withColumnRenamed("id", "class_id")
+    return found.join(tied, "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("class_id"))
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """documents without all but one row of each class: that of its least id. Rows with a null id stay."""
-    classes = near_duplicate_classes(documents, **options)
-    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    """One row of each class: a row of its least id. Rows with a null id stay."""
+    classes = cut(near_duplicate_classes(documents, **options))
+    gone = classes.filter("class_id <> doc_id").select("doc_id")
+    repeated = cut(classes.filter("class_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    kept = documents.join(gone.distinct(), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept
+    one = documents.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(documents.columns).unionByName(one.select(documents.columns))
