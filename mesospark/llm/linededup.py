@@ -16,6 +16,8 @@ alike; other columns pass through.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mesospark.plans.lineage import cut
+
 LG_K = 9
 NEAR = 4 * 1.04 / 2 ** (LG_K / 2)  # four standard errors of the estimate
 
@@ -46,25 +48,41 @@ def boilerplate_lines(documents: DataFrame, min_sites: int) -> DataFrame:
     return sure.union(exact.filter(F.col("n") >= min_sites).select("h"))
 
 
-def remove_boilerplate(documents: DataFrame, *, min_sites: int = 5) -> DataFrame:
+def _found(documents: DataFrame, lines: DataFrame, broadcast_limit: int, salts: int) -> DataFrame:
+    """``id, common``: the boilerplate hashes of each document that has any.
+
+    A line may be in a great many documents. So many hashes as the limit are
+    small enough to send to every task; more are joined by hash, each of them
+    once for each of a few salts, and a document's salt says which one it meets.
+    """
+    lines = cut(lines)
+    rows = line_sites(documents).select(F.col("doc_id").alias("id"), "h")
+    if lines.count() <= broadcast_limit:
+        met = rows.join(F.broadcast(lines), "h")
+    else:
+        salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["h", "salt"])
+    return met.groupBy("id").agg(F.collect_set("h").alias("common"))
+
+
+def remove_boilerplate(documents: DataFrame, *, min_sites: int = 5, broadcast_limit: int = 1 << 18, salts: int = 16) -> DataFrame:
     """documents with ``n_lines`` and ``n_removed`` (long) added and boilerplate lines taken from text.
 
-    Nothing is removed from a document that has no line of its own.
+    Nothing is removed from a document that has no line of its own. Columns that
+    are named like the added ones are replaced; any other name may occur.
     """
-    lines = boilerplate_lines(documents, min_sites)
-    found = line_sites(documents).select("doc_id", "h").join(lines, "h").groupBy("doc_id").agg(F.collect_set("h").alias("_found"))
-    joined = documents.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    parts = F.split("text", "\n")
-    is_common = lambda x: (F.trim(x) != "") & F.array_contains(F.col("_found"), _hash(F.trim(x)))
-    joined = joined.withColumn("_gone", F.when(F.col("_found").isNotNull(), F.filter(parts, is_common)))
-    own = F.size(F.filter(parts, lambda x: F.trim(x) != "")) - F.size("_gone")
-    cut_ = F.coalesce((F.size("_gone") > 0) & (own > 0), F.lit(False))
-    out = joined.withColumn("_cut", cut_)
-    return out.select(
-        *[c for c in documents.columns if c not in ("text", "n_lines", "n_removed")],
-        F.when(F.col("_cut"), F.array_join(F.filter(parts, lambda x: ~is_common(x)), "\n")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long"), F.lit(0).cast("long")).alias("n_lines"),
-        F.when(F.col("_cut"), F.size("_gone").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+    found = _found(documents, boilerplate_lines(documents, min_sites), broadcast_limit, salts).alias("f")
+    parts = F.split(F.col("d.text"), "\n")
+    is_common = lambda x: (F.trim(x) != "") & F.array_contains(F.col("f.common"), _hash(F.trim(x)))
+    n_lines = F.size(F.filter(parts, lambda x: F.trim(x) != ""))
+    n_common = F.coalesce(F.when(F.col("f.id").isNotNull(), F.size(F.filter(parts, is_common))), F.lit(0))
+    n_removed = F.when(n_common < n_lines, n_common).otherwise(F.lit(0)).cast("long")
+    passed = [F.col(f"d.`{c}`") for c in documents.columns if c not in ("text", "n_lines", "n_removed")]
+    return documents.alias("d").join(found, F.col("d.doc_id") == F.col("f.id"), "left").select(
+        *passed,
+        F.when(n_removed > 0, F.array_join(F.filter(parts, lambda x: ~is_common(x)), "\n")).otherwise(F.col("d.text")).alias("text"),
+        F.coalesce(F.when(F.col("d.text").isNotNull(), n_lines), F.lit(0)).cast("long").alias("n_lines"),
+        n_removed.alias("n_removed"),
     )
 
 
@@ -74,6 +92,6 @@ common AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTIN
 numbered AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS x FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {documents})),
 marked AS (SELECT n.doc_id, n.i, n.x, c.line IS NOT NULL AS gone FROM numbered n LEFT JOIN common c ON trim(n.x) = c.line),
 per AS (SELECT doc_id, count(*) FILTER (trim(x) <> '') AS n_lines, count(*) FILTER (gone) AS g,
-        coalesce(sum(length(trim(x))) FILTER (gone), 0) <= 0.5 * sum(length(trim(x))) AND count(*) FILTER (gone) > 0 AS cut,
+        count(*) FILTER (gone) > 0 AND count(*) FILTER (gone) < count(*) FILTER (trim(x) <> '') AS cut,
         string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
 """
