@@ -14,7 +14,8 @@ Nothing is shuffled: benchmark windows go to the tasks in blocks of at most
 
 Defined cases: a null or wordless text has no words, no hits and is clean;
 items with null id or without words are ignored, items with one id are one
-item; repeated document rows are judged each; other columns are ignored.
+item; repeated document rows are judged each; other columns are ignored unless
+kept, and a kept one may not have the name of a result.
 """
 
 import hashlib
@@ -22,11 +23,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mesospark.llm.blocks import utf8
+from mesospark.plans.lineage import cut
 
+_READ = "the text that is read"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -123,33 +127,44 @@ class FMIndex:
 
 
 class Patterns:
-    """The distinct windows of a block of items, by length, and the items that hold each."""
+    """The distinct windows of a block of items, by length, and the items that hold each (as numbers of sorted ``items``)."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        windows: dict[tuple[bytes, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        windows: dict[tuple[bytes, ...], set[int]] = {}
         for item, text in items:
             w = words_of(text)
             for i in range(max(1, len(w) - size + 1) if w else 0):
-                windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+                windows.setdefault(tuple(w[i : i + size]), set()).add(number[item])
         self.ids = {w: i + 2 for i, w in enumerate(sorted({x for k in windows for x in k}))}  # 1 parts runs
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
+        ordered = sorted(windows, key=lambda k: (len(k), k))
+        self.by_length: list[np.ndarray] = []
         for n in sorted({len(k) for k in windows}):
-            own = sorted(k for k in windows if len(k) == n)
-            self.by_length.append((np.array([[self.ids[x] for x in k] for k in own], np.int64), [sorted(windows[k]) for k in own]))
+            self.by_length.append(np.array([[self.ids[x] for x in k] for k in ordered if len(k) == n], np.int64))
+        # the owners of window k, in the order of by_length, are owners[begin[k] : begin[k + 1]]
+        self.owners = np.array([i for k in ordered for i in sorted(windows[k])], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum([len(windows[k]) for k in ordered])]).astype(np.int64)
         self.shortest = min((len(k) for k in windows), default=0)
 
 
+def _ragged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges [begin, end): which range, and each number in it."""
+    n = end - begin
+    which = np.repeat(np.arange(len(n)), n)
+    return which, begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Shard:
     """Runs of benchmark words of some documents, with the document and word position of each symbol."""
 
     def __init__(self, patterns: Patterns):
         self.patterns, self.symbols, self.rows, self.at, self.size = patterns, [], [], [], 0
 
-    def add(self, row: int, words: list[bytes]) -> None:
+    def add(self, row: int, codes: np.ndarray) -> None:
+        """codes: the number of each word of a document (1 for words of no window)."""
         if not self.patterns.shortest:
             return
-        get = self.patterns.ids.get
-        codes = np.fromiter((get(w, 1) for w in words), np.int32, len(words))
         known = np.concatenate([[0], (codes > 1).view(np.int8), [0]])
         edge = np.diff(known)
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
@@ -159,63 +174,77 @@ class Shard:
                 self.at.append(np.arange(a, b + 1))
                 self.size += b - a + 1
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """Document row, first word and length in words of each occurrence, and the items of its window."""
-        empty = np.zeros(0, np.int64)
-        if not self.size:
-            return empty, empty, empty, []
-        index = FMIndex(np.concatenate(self.symbols), len(self.patterns.ids) + 1)
-        rows, at = np.concatenate(self.rows), np.concatenate(self.at)
-        out, items = [], []
-        for windows, owners in self.patterns.by_length:
-            low, high = index.search(windows)
-            which = np.repeat(np.arange(len(windows)), high - low)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            found = index.locate(low[which] + nth)
-            out.append(np.stack([rows[found], at[found], np.full(len(found), windows.shape[1])]))
-            items += [owners[k] for k in which]
-        row, first, n = np.concatenate(out, 1)
-        return row, first, n, items
-
-
-def merged(first: np.ndarray, n: np.ndarray) -> list[int]:
-    """Union of word spans as a flat list begin, end, begin, end..., in order."""
-    out: list[int] = []
-    for a, b in sorted(zip(first.tolist(), (first + n).tolist(), strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-def _scan(batches, patterns: Patterns, shard_words: int):
-    """Each batch with its n_words, spans and items; earlier blocks' spans and items are merged in."""
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        n = batch.num_rows
-        counts, found = np.zeros(n, np.int64), [[] for _ in range(n)]
-        held: list[set] = [set() for _ in range(n)]
-        if "spans" in batch.schema.names:
-            for i, (s, k) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                found[i], held[i] = [(a, b - a) for a, b in zip(s[::2], s[1::2], strict=True)], set(k)
-        raw, shard = data.tobytes(), Shard(patterns)
-
-        def flush(shard=shard):
-            for row, first, length, owners in zip(*shard.hits(), strict=True):
-                found[row].append((int(first), int(length)))
-                held[row].update(owners)
-
-        for i in range(n):
-            w = words_of(raw[offsets[i] : offsets[i + 1]])
-            counts[i] = len(w)
-            shard.add(i, w)
-            if shard.size >= shard_words:
-                flush(shard)
-                shard = Shard(patterns)
-        flush(shard)
-        spans = [merged(*np.array(f, np.int64).T) if f else [] for f in found]
-        yield batch, counts, spans, [sorted(h) for h in held]
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Merged spans (rows of document, begin, end) and the distinct pairs of document and item."""
+        spans, pairs, base = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)], 0
+        if self.size:
+            index = FMIndex(np.concatenate(self.symbols), len(self.patterns.ids) + 1)
+            rows, at = np.concatenate(self.rows), np.concatenate(self.at)
+            for windows in self.patterns.by_length:
+                low, high = index.search(windows)
+                which, places = _ragged(low, high)
+                found = index.locate(places)
+                spans.append(merged(np.stack([rows[found], at[found], at[found] + windows.shape[1]], 1)))
+                once = np.unique(rows[found] * len(windows) + which)
+                doc, window = once // len(windows), once % len(windows) + base
+                own, k = _ragged(self.patterns.begin[window], self.patterns.begin[window + 1])
+                pairs.append(np.stack([doc[own], self.patterns.owners[k]], 1))
+                base += len(windows)
+        return merged(np.concatenate(spans)), np.unique(np.concatenate(pairs), axis=0)
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Union of word spans (rows of document, begin, end), in order; spans that touch become one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    room = spans[:, 2].max() + 2
+    begin, end = spans[:, 0] * room + spans[:, 1], spans[:, 0] * room + spans[:, 2]
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+    last = np.append(first[1:], len(spans)) - 1
+    return np.stack([spans[first, 0], spans[first, 1], reach[last] - spans[first, 0] * room], 1)
+
+
+def _codes(raw: bytes, get) -> np.ndarray:
+    """The numbers of the words of a text, without a list of the words."""
+    return np.fromiter((get(m[0], 1) for m in WORD.finditer(raw.translate(_ASCII_LOWER))), np.int32)
+
+
+def _list_array(rows: np.ndarray, values, n: int) -> pa.Array:
+    """Lists of the values of each of n rows; rows are in order."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _scan(batch: pa.RecordBatch, read: str, patterns: Patterns, shard_words: int, later: bool) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """n_words, spans and items of a batch; those that an earlier block has found are merged in."""
+    data, offsets = utf8(batch.column(read))
+    n = batch.num_rows
+    counts, spans, pairs = np.zeros(n, np.int64), [], []
+    raw, shard, get = data.tobytes(), Shard(patterns), patterns.ids.get
+    for i in range(n):
+        codes = _codes(raw[offsets[i] : offsets[i + 1]], get)
+        counts[i] = len(codes)
+        shard.add(i, codes)
+        if shard.size >= shard_words:
+            for into, x in zip((spans, pairs), shard.hits(), strict=True):
+                into.append(x)
+            shard = Shard(patterns)
+    for into, x in zip((spans, pairs), shard.hits(), strict=True):
+        into.append(x)
+    spans, pairs = np.concatenate(spans), np.unique(np.concatenate(pairs), axis=0)
+    items = pa.array(patterns.items, pa.string()).take(pa.array(pairs[:, 1]))
+    if not later:
+        spans = merged(spans)
+        return pa.array(counts), _list_array(np.repeat(spans[:, 0], 2), pa.array(spans[:, 1:].astype(np.int32).ravel()), n), _list_array(pairs[:, 0], items, n)
+    before, known = batch.column("spans"), batch.column("items")
+    old = np.asarray(before.flatten(), np.int64).reshape(-1, 2)
+    old_row = np.repeat(np.arange(n), np.asarray(pc.list_value_length(before)) // 2)
+    spans = merged(np.concatenate([spans, np.c_[old_row, old]]))
+    new = _list_array(pairs[:, 0], items, n)
+    both = pa.array([sorted({*a, *b}) for a, b in zip(known.to_pylist(), new.to_pylist(), strict=True)], pa.list_(pa.string()))
+    return pa.array(counts), _list_array(np.repeat(spans[:, 0], 2), pa.array(spans[:, 1:].astype(np.int32).ravel()), n), both
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int):
@@ -232,27 +261,44 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int):
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, size: int = 13, block_words: int = 1_000_000, shard_words: int = 1_000_000, keep=("doc_id", "text")) -> DataFrame:
-    """The kept columns with ``n_words long, spans array<int>`` (merged word spans, begin and end in turn) and ``items array<string>``."""
+    """The kept columns with ``n_words long, spans array<int>`` (merged word spans, begin and end in turn) and ``items array<string>``.
+
+    The result of each block but the last is cut, so that the windows of one
+    block alone are held by the driver and the tasks.
+    """
+    if clash := {"n_words", "spans", "items", _READ} & set(keep):
+        raise ValueError(f"rename columns before they are kept: {sorted(clash)}")
     spark = documents.sparkSession
-    out = documents.select(*keep)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in out.dtypes), "n_words long, spans array<int>, items array<string>"])
-    blocks = 0
-    for block in benchmark_blocks(benchmark, block_words):
-        out, blocks = _pass(spark, out, keep, schema, Patterns(block, size), shard_words), blocks + 1
-    return out if blocks else _pass(spark, out, keep, schema, Patterns([], size), shard_words)
+    out = documents.select(*keep, *([] if "text" in keep else [F.col("text").alias(_READ)]))
+    block, held = None, None
+    for following in _then_none(benchmark_blocks(benchmark, block_words)):
+        if block is not None:
+            out, used = _pass(spark, out, keep, Patterns(block, size), shard_words, held is not None, following is not None)
+            if following is not None:
+                out = cut(out)
+                used.destroy()
+            held = used
+        block = following
+    return out if held else _pass(spark, out, keep, Patterns([], size), shard_words, False, False)[0]
 
 
-def _pass(spark, df, keep, schema, patterns, shard_words):
+def _then_none(blocks):
+    yield from blocks
+    yield None
+
+
+def _pass(spark, df: DataFrame, keep, patterns: Patterns, shard_words: int, later: bool, with_text: bool):
     held = spark.sparkContext.broadcast(patterns)
+    read = "text" if "text" in keep else _READ
+    names = [*keep, *([_READ] if with_text and read == _READ else [])]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in names), "n_words long, spans array<int>, items array<string>"])
 
     def run(batches):
-        for batch, counts, spans, items in _scan(batches, held.value, shard_words):
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(counts), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=[*keep, "n_words", "spans", "items"],
-            )
+        for batch in batches:
+            found = _scan(batch, read, held.value, shard_words, later)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], names=[*names, "n_words", "spans", "items"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema), held
 
 
 def judged(found: DataFrame) -> DataFrame:
