@@ -3,7 +3,8 @@
 Centroids come from a balanced clustering of a bounded sample. A graph over
 them is held in memory by each task and searched best-first. Vectors near a
 boundary are replicated to several lists; a query's lists are those whose
-centroid is within a ratio of the nearest centroid's distance. Lists over a
+centroid is within a ratio of the nearest centroid's distance, and a few nearest
+ones in any case; a query that finds too few neighbours is asked of all lists. Lists over a
 size limit are split by a hash of the id, so that no task gets an unbounded
 list whatever the vectors are. Candidates are scored exactly in double
 precision.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mesospark.llm.features import bounded_share, fitted, share_of
 from mesospark.plans.lineage import cut
 
 
@@ -44,7 +46,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def balanced_centroids(x: np.ndarray, lists: int, passes: int = 12, weight: float = 0.05, seed: int = 1) -> np.ndarray:
     """Unit centroids; a list's size over the mean is charged against its similarity."""
     rng = np.random.RandomState(seed)
-    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
+    distinct = np.unique(x, axis=0)  # copies would make equal centroids
+    c = distinct[rng.choice(len(distinct), min(lists, len(distinct)), replace=False)].copy()
     charge = np.zeros(len(c), np.float32)
     for _ in range(passes):
         at = np.concatenate([(x[a : a + 4096] @ c.T - charge).argmax(1) for a in range(0, len(x), 4096)])
@@ -53,7 +56,7 @@ def balanced_centroids(x: np.ndarray, lists: int, passes: int = 12, weight: floa
         total = np.zeros_like(c)
         np.add.at(total, at, x)
         empty = size == 0
-        total[empty] = x[rng.randint(0, len(x), int(empty.sum()))]
+        total[empty] = distinct[rng.randint(0, len(distinct), int(empty.sum()))]
         norm = np.sqrt((total * total).sum(1, keepdims=True))
         c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c)
     return c.astype(np.float32)
@@ -118,24 +121,58 @@ def posting_lists(x: np.ndarray, graph: CentroidGraph, replicas: int, ratio: flo
     return out
 
 
-def query_lists(x: np.ndarray, graph: CentroidGraph, probes: int, ratio: float) -> list[list[int]]:
+def query_lists(x: np.ndarray, graph: CentroidGraph, probes: int, ratio: float, least: int) -> list[list[int]]:
+    """The lists within the ratio of the nearest centroid's distance, and the ``least`` nearest in any case."""
     order, s = graph.search(x, probes)
-    d = _distance(s)
-    return [row[dist <= ratio * dist[0]].tolist() for row, dist in zip(order, d, strict=True)]
+    near = _distance(s) <= ratio * _distance(s)[:, :1]
+    near[:, :least] = True
+    return [row[go].tolist() for row, go in zip(order, near, strict=True)]
 
 
-def fit_graph(vectors: DataFrame, *, sample: int = 20_000, per_list: int = 256, max_lists: int = 2048) -> CentroidGraph | None:
-    """Fit on at most ``sample`` vectors, those with the lowest hash of the id."""
+def fit_graph(vectors: DataFrame, *, sample: int = 40_000, per_list: int = 256, max_lists: int = 4096) -> CentroidGraph | None:
+    """Fit in one task on at most ``sample`` vectors, drawn by a hash of the id."""
     total = vectors.count()
-    got = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v")
-    if not total:
-        return None
-    x = unit(np.array(got.to_pylist(), np.float64)).astype(np.float32)
-    return CentroidGraph.of(balanced_centroids(x, int(np.clip(round(total / per_list), 1, max_lists))))
+    drawn = vectors.filter(share_of("id", 0) < bounded_share(sample, total)).select("id", "v")
+    lists = int(np.clip(round(total / per_list), 1, max_lists))
 
+    def fit(table):
+        if not len(table):
+            return None
+        x = np.array(table.column("v").combine_chunks().flatten(), np.float64).reshape(len(table), -1)
+        return balanced_centroids(unit(x).astype(np.float32), lists)
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int = 4, replica_ratio: float = 1.15, probes: int = 64, probe_ratio: float = 1.5, list_limit: int = 2000, graph: CentroidGraph | None = None) -> DataFrame:
-    """``query_id, rank int, vec_id, score double`` of the k nearest of ``vectors`` for each of ``queries`` (both ``id, v``)."""
+    centroids = fitted(drawn, fit) if total else None
+    return None if centroids is None else CentroidGraph.of(centroids)
+
+
+def _scored(asked: DataFrame, posted: DataFrame, k: int, kind: str) -> DataFrame:
+    """``query_id, vec_id, score``: the k best of each query in each part of each list; both ``id, v, list, part``."""
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"score": float})
+        right = right.sort_values("id", ignore_index=True)
+        x, q = np.stack(right["v"]), np.stack(left["v"])
+        lx, lq, ids, out = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1)), right["id"].to_numpy(), []
+        for i, own in enumerate(left["id"].to_numpy()):
+            # sums by row: a matrix product may round equal vectors differently by their place
+            s = np.where(ids == own, -np.inf, (x * q[i]).sum(1) / (lx * lq[i]))
+            top = np.argsort(-s, kind="stable")[:k]  # by the smaller id among equals
+            top = top[s[top] > -np.inf]
+            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top], "score": s[top]}))
+        return pd.concat(out)
+
+    found = asked.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInPandas(score, f"query_id {kind}, vec_id {kind}, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int = 4, replica_ratio: float = 1.15, probes: int = 64, probe_ratio: float = 1.5, least_probes: int = 8, list_limit: int = 2000, graph: CentroidGraph | None = None) -> DataFrame:
+    """``query_id, rank int, vec_id, score double`` of the k nearest of ``vectors`` for each of ``queries`` (both ``id, v``, both cut).
+
+    A query that finds fewer than k in its lists is asked of all lists.
+    """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)["id"]
     graph = graph or fit_graph(vectors)
@@ -155,28 +192,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int
     schema = f"id {kind}, v array<double>, list array<int>"
     posted = vectors.mapInPandas(listed(lambda x, g: posting_lists(x, g, replicas, replica_ratio)), schema).select("id", "v", F.explode("list").alias("list"))
     posted = cut(posted)
-    asked = queries.mapInPandas(listed(lambda x, g: query_lists(x, g, probes, probe_ratio)), schema).select("id", "v", F.explode("list").alias("list"))
+    asked = cut(queries.mapInPandas(listed(lambda x, g: query_lists(x, g, probes, probe_ratio, least_probes)), schema).select("id", "v", F.explode("list").alias("list")))
+    held.destroy()
     sizes = posted.groupBy("list").agg(F.count("*").alias("n"))  # one row a list, of a bounded number
     splits = cut(sizes.select("list", F.ceil(F.col("n") / list_limit).cast("int").alias("splits")))
-    posted = posted.join(F.broadcast(splits), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int").alias("part"))
     pieces = splits.select(F.col("list").alias("l"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("piece"))
-    asked = asked.join(F.broadcast(pieces), F.col("list") == F.col("l")).select("id", "v", F.col("l").alias("list"), F.col("piece").alias("part"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"score": float})
-        right = right.sort_values("id", ignore_index=True)
-        x, q = np.stack(right["v"]), np.stack(left["v"])
-        lx, lq, ids, out = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1)), right["id"].to_numpy(), []
-        for i, own in enumerate(left["id"].to_numpy()):
-            # sums by row: a matrix product may round equal vectors differently by their place
-            s = np.where(ids == own, -np.inf, (x * q[i]).sum(1) / (lx * lq[i]))
-            top = np.argsort(-s, kind="stable")[:k]  # by the smaller id among equals
-            top = top[s[top] > -np.inf]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top], "score": s[top]}))
-        return pd.concat(out)
-
-    found = asked.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInPandas(score, f"query_id {kind}, vec_id {kind}, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    split = posted.join(F.broadcast(splits), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int").alias("part"))
+
+    def ask(wanted: DataFrame, which) -> DataFrame:
+        sent = wanted.join(F.broadcast(pieces), which).select("id", "v", F.col("l").alias("list"), F.col("piece").alias("part"))
+        return _scored(sent, split, k, kind)
+
+    found = cut(ask(asked, F.col("list") == F.col("l")))
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = cut(queries.join(full, "id", "left_anti"))
+    if short.isEmpty():
+        return found
+    again = ask(short, F.lit(True))  # a few queries, each to every piece of every list
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").union(again)
