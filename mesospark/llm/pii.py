@@ -4,13 +4,19 @@ Digits, letters and hex digits of an entity are replaced by a keyed Feistel
 network over positions of the same kind, so a replacement has the entity's
 format, equal entities get equal replacements anywhere (coreference), and
 distinct entities of one format get distinct ones, as the network is a
-permutation. Valid card numbers stay valid. Names are replaced by names of the
-same gender and script from keyed lists; as such lists are short, collisions
-are looked for over the whole corpus and all but one of a set of colliding
-names move to their next choice until all are distinct.
+permutation. Valid card numbers, account numbers and addresses stay valid, and
+others stay invalid.
+
+Names are replaced by names of the same gender and script from keyed lists. As
+such lists are short, names that meet in one choice are numbered over the whole
+corpus, and all but the first get further syllables that tell their number; no
+two names of a corpus share a replacement, whatever the title before them. A
+name's gender is what its titles say anywhere in the corpus. Documents without
+a titled name take no part in this.
 
 Defined cases: null and empty texts pass through with no entities; repeated
-rows and null ids are treated like any other; other columns pass through.
+rows and null ids are treated like any other; kept columns pass through, and
+none of them may be named ``n_entities``.
 """
 
 import hashlib
@@ -19,7 +25,7 @@ import ipaddress
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesospark.plans.lineage import cut
@@ -57,6 +63,7 @@ PATTERN = re.compile(
 #: Every entity holds an @ or a digit, or stands after one of these.
 _SIGN = re.compile(r"[@\d]|(?i:passw|pwd)")
 _MARKS = ("AKIA", "token = ", *(f"{t}{dot} " for t in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra", "г-н", "г-жа") for dot in ("", ".")))
+_NAMES = "names of the text"
 _TITLE = re.compile(r"(\S+?)\.? $")
 
 
@@ -120,26 +127,48 @@ def script_of(name: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
 
 
-def surrogate(key: bytes, kind: str, entity: str, choice: int = 0) -> str:
-    """The replacement of an entity; ``kind`` of a name is ``name-<gender>``. ``choice`` > 0: another, for collisions."""
-    if kind.startswith("name"):
-        script, gender = script_of(entity), kind[-1]
-        given, n = NAMES[script, gender], _digest(key, kind, entity, choice)
-        out = [given[n % len(given)]]
-        parts, n = SYLLABLES[script], n // len(given)
-        if " " in entity:
-            out.append((parts[n % len(parts)] + parts[n // len(parts) % len(parts)]).capitalize())
-            n //= len(parts) ** 2
-        if choice:  # the lists alone may be too short
-            out[-1] += "".join(parts[n // len(parts) ** i % len(parts)] for i in range(min(choice, 4)))
-        return " ".join(out)
+def name_choice(key: bytes, entity: str, gender: str) -> tuple[str, str]:
+    """The first choice for a name: a given name that is not its own (empty for a name of one word), and a family name of two syllables."""
+    script = script_of(entity)
+    given, parts, n = NAMES[script, gender if gender in "fm" else "n"], SYLLABLES[script], _digest(key, "name", entity)
+    family = parts[n % len(parts)] + parts[n // len(parts) % len(parts)]
+    n //= len(parts) ** 2
+    if " " not in entity:
+        return "", family.capitalize()
+    chosen = given[n % len(given)]
+    return given[(n + 1) % len(given)] if chosen == entity.split()[0] else chosen, family.capitalize()
+
+
+def numbered_name(given: str, family: str, number: int) -> str:
+    """The name of the given number (from 0) of those that meet in one choice: its digits as further syllables.
+
+    No syllable begins another one, so the syllables of a family name can be told apart.
+    """
+    parts, more = SYLLABLES[script_of(family)], ""
+    while number:
+        number, digit = divmod(number, len(parts))
+        more += parts[digit]
+    return f"{given} {family}{more}".strip()
+
+
+def _valid_ip(entity: str) -> bool:
+    return all(str(int(x)) == x and int(x) < 256 for x in entity.split("."))
+
+
+def surrogate(key: bytes, kind: str, entity: str) -> str:
+    """The replacement of an entity that is no name."""
     if kind == "email":
         local, _, domain = entity.rpartition("@")
-        return f"{permuted(key, kind + domain, local)}@{domain}"
+        labels = domain.split(".")
+        host = ".".join([*(permuted(key, "domain", x) for x in labels[:-1]), labels[-1]])
+        return f"{permuted(key, kind + domain, local)}@{host}"
     if kind == "ip":
+        if not _valid_ip(entity):
+            out = permuted(key, kind, entity)
+            while _valid_ip(out):  # valid ones belong to valid addresses: walk on
+                out = permuted(key, kind, out)
+            return out
         octets = [int(x) for x in entity.split(".")]
-        if max(octets) > 255:
-            return permuted(key, kind, entity)
         for turn in range(4):
             one, two = ((0, 1), (2, 3)) if turn % 2 else ((2, 3), (0, 1))
             mask = _digest(key, kind, turn, octets[two[0]], octets[two[1]])
@@ -169,11 +198,11 @@ def surrogate(key: bytes, kind: str, entity: str, choice: int = 0) -> str:
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and text of each entity, in order. Further mentions of a titled name count too;
-    one by the last word alone is of kind ``last:`` and has the whole name as its text."""
+    one by the last word alone is of kind ``last`` and has the whole name as its text."""
     out: list = []
+    names: dict[str, None] = {}
     if not text or not (_SIGN.search(text) or any(m in text for m in _MARKS)):
         return out
-    names: dict[str, str] = {}
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         start, end, entity = m.start(kind), m.end(kind), m[kind]
@@ -182,15 +211,24 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         if kind in ("password", "keyed", "bearer"):
             kind = "secret"
         if kind == "name":
-            title = _TITLE.search(text[max(0, start - 8) : start])
-            kind = "name-" + TITLES.get(title[1] if title else "", "n")
-            names.setdefault(entity, kind)
+            names[entity] = None
         out.append((start, end, kind, entity))
     return _with_mentions(text, out, names) if names else out
 
 
-def _with_mentions(text: str, out: list, names: dict[str, str]) -> list:
-    mentions = {n: (k, n) for n, k in names.items()}
+def genders(text: str | None) -> dict[str, str]:
+    """The titled names of a text with what their titles say: f, m, n (nothing) or x (both)."""
+    names: dict[str, str] = {}
+    for m in PATTERN.finditer(text or ""):
+        if m.lastgroup == "name":
+            title = _TITLE.search(text[max(0, m.start("name") - 8) : m.start("name")])
+            gender, before = TITLES.get(title[1] if title else "", "n"), names.get(m["name"], "n")
+            names[m["name"]] = gender if before in ("n", gender) else before if gender == "n" else "x"
+    return names
+
+
+def _with_mentions(text: str, out: list, names) -> list:
+    mentions = {n: ("name", n) for n in names}
     last: dict[str, set] = {}
     for n in names:
         if " " in n:
@@ -198,7 +236,7 @@ def _with_mentions(text: str, out: list, names: dict[str, str]) -> list:
     for word, whole in last.items():  # a last word that several names have says nothing
         if word not in mentions and len(whole) == 1:
             n = next(iter(whole))
-            mentions[word] = ("last:" + names[n], n)
+            mentions[word] = ("last", n)
     taken, more, i = sorted((a, b) for a, b, *_ in out), [], 0
     found = re.compile(r"(?<![\w'’@.-])(?:" + "|".join(map(re.escape, sorted(mentions, key=lambda n: (-len(n), n)))) + r")(?![\w@-])")
     for m in found.finditer(text):
@@ -209,68 +247,94 @@ def _with_mentions(text: str, out: list, names: dict[str, str]) -> list:
     return sorted(out + more)
 
 
-def entity_table(documents: DataFrame) -> DataFrame:
-    """``kind, entity``: the distinct entities of the corpus."""
+#: A text with a title, for the reader of Spark's expressions; a first sieve, as PATTERN decides.
+_TITLED = r"(?:^|[^\p{L}\p{N}_])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra|г-н|г-жа)\.? [A-ZÀ-ÞА-Я]"
+
+
+def _text_key(text: str) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def named_texts(documents: DataFrame) -> DataFrame:
+    """``key, entity, gender``: the titled names of each distinct text that has any."""
+
     def run(batches):
         for batch in batches:
-            found = sorted({(k, e) for t in batch.column(0).to_pylist() for _, _, k, e in entities(t) if not k.startswith("last:")})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=["kind", "entity"])
+            found = [genders(t) for t in batch.column("text").to_pylist()]
+            lists = [pa.array([list(d) for d in found], pa.list_(pa.string())), pa.array([list(d.values()) for d in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *lists], names=["a", "b", "names", "genders"])
 
-    return documents.select("text").filter("text IS NOT NULL").mapInArrow(run, "kind string, entity string").distinct()
+    texts = documents.filter(F.col("text").rlike(_TITLED)).select(_text_key("text").alias("key"), "text").select("key.a", "key.b", "text")
+    found = texts.mapInArrow(run, "a long, b long, names array<string>, genders array<string>")
+    return found.select(F.struct("a", "b").alias("key"), F.explode(F.arrays_zip("names", "genders")).alias("x")).select("key", F.col("x.names").alias("entity"), F.col("x.genders").alias("gender")).distinct()
 
 
-def later_choices(documents: DataFrame, key: bytes, limit: int, passes: int = 12) -> dict[tuple[str, str], int]:
-    """The entities that need another choice than their first, so that no two share a replacement.
+def name_table(named: DataFrame, key: bytes) -> DataFrame:
+    """``entity, new``: the names of the corpus and their replacements, all distinct.
 
-    Replacements are compared over the whole corpus; only colliding entities,
-    which short lists of names can have, come to the driver, ``limit`` at most.
+    Names that meet in one choice are numbered in order; choices are spread by a
+    keyed hash over more groups than any list has names, so groups stay even.
     """
-    table, chosen = cut(entity_table(documents)), {}
-    for _ in range(passes):
-        def run(batches, chosen=chosen):
-            for batch in batches:
-                pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                new = [surrogate(key, k, e, chosen.get((k, e), 0)) for k, e in pairs]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "entity", "new"])
-
-        made = table.mapInArrow(run, "kind string, entity string, new string")
-        first = made.groupBy("new").agg(F.min(F.struct("kind", "entity")).alias("first"), F.countDistinct("entity").alias("n")).filter("n > 1")
-        losers = made.join(first, "new").filter("entity <> first.entity AND kind LIKE 'name%'").select("kind", "entity").limit(limit + 1).collect()
-        if not losers:
-            return chosen
-        chosen = chosen | {(r.kind, r.entity): chosen.get((r.kind, r.entity), 0) + 1 for r in losers}
-        if len(chosen) > limit:
-            raise ValueError(f"over {limit} names collide: give longer lists of names")
-    raise ValueError(f"names still collide after {passes} passes")
-
-
-def replaced(text: str | None, key: bytes, chosen: dict, memo: dict) -> tuple[str | None, int]:
+    says = F.collect_set(F.when(F.col("gender") != "n", F.col("gender")))
+    names = named.groupBy("entity").agg(F.when(F.size(says) == 1, says[0]).otherwise(F.lit("n")).alias("gender"))
+
+    def choose(batches):
+        for batch in batches:
+            made = [name_choice(key, e, g) for e, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in made], pa.string()), pa.array([f for _, f in made], pa.string())], names=["entity", "given", "family"])
+
+    def number(batches):
+        for batch in batches:
+            made = [numbered_name(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("given", "family", "number")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(made, pa.string())], names=["entity", "new"])
+
+    chosen = names.mapInArrow(choose, "entity string, given string, family string")
+    nth = (F.row_number().over(Window.partitionBy("given", "family").orderBy("entity")) - 1).alias("number")
+    return chosen.select("entity", "given", "family", nth).mapInArrow(number, "entity string, new string")
+
+
+def replaced(text: str | None, key: bytes, names: dict[str, str], memo: dict) -> tuple[str | None, int]:
+    """The text with its entities replaced, and how many; ``names`` gives the replacements of its titled names."""
     found = entities(text)
     if not found:
         return text, 0
     out, last = [], 0
     for a, b, kind, entity in found:
-        if (kind, entity) not in memo:
-            if len(memo) > 100_000:
-                memo.clear()
-            whole = kind.removeprefix("last:")
-            new = surrogate(key, whole, entity, chosen.get((whole, entity), 0))
-            memo[kind, entity] = new if whole == kind else new.rpartition(" ")[2]
-        out += [text[last:a], memo[kind, entity]]
+        if kind in ("name", "last"):
+            new = names[entity]
+            new = new.rpartition(" ")[2] if kind == "last" else new
+        else:
+            if (kind, entity) not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
+                memo[kind, entity] = surrogate(key, kind, entity)
+            new = memo[kind, entity]
+        out += [text[last:a], new]
         last = b
     return "".join([*out, text[last:]]), len(found)
 
 
-def pseudonymise(documents: DataFrame, key: bytes, *, collision_limit: int = 100_000, keep=("doc_id", "text")) -> DataFrame:
+def pseudonymise(documents: DataFrame, key: bytes, *, keep=("doc_id", "text"), broadcast_limit: int = 1 << 16) -> DataFrame:
     """The kept columns with entities in text replaced, and ``n_entities long``."""
-    chosen = later_choices(documents, key, collision_limit)
-    source = documents.select(*keep)
+    if "n_entities" in keep:
+        raise ValueError("rename n_entities before it is kept")
+    named = cut(named_texts(documents))
+    pairs = F.map_from_entries(F.collect_list(F.struct("entity", "new")))
+    per = cut(named.join(name_table(named, key), "entity").groupBy("key").agg(pairs.alias("names")))
+    n = per.count()  # texts with a titled name
+    source = documents.select(*keep).alias("d")
+    if n:
+        met = F.broadcast(per) if n <= broadcast_limit else per
+        source = source.join(met.alias("p"), _text_key("d.text") == F.col("p.key"), "left").select("d.*", F.col("p.names").alias(_NAMES))
+    types = [f"`{c}` {t}" for c, t in source.dtypes if c != _NAMES]
 
     def run(batches):
         memo: dict = {}
         for batch in batches:
-            done = [replaced(t, key, chosen, memo) for t in batch.column("text").to_pylist()]
+            names = batch.column(_NAMES).to_pylist() if n else [None] * batch.num_rows
+            done = [replaced(t, key, dict(m or ()), memo) for t, m in zip(batch.column("text").to_pylist(), names, strict=True)]
             columns = [pa.array([t for t, _ in done], pa.string()) if c == "text" else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=[*keep, "n_entities"])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in source.dtypes), "n_entities long"]))
+    return source.mapInArrow(run, ", ".join([*types, "n_entities long"]))

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from mesospark.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, pii, quality, toxicity
 from mesospark.llm.blocks import part
+from mesospark.plans.lineage import cut
 
-KEY = b"mesospark surrogate key"
+#: Stands in where the session names no ``mesospark.pii.key``, as in tests.
+KEY = "mesospark surrogate key"
 
 
 def _table(spark, sf_dir, name):
@@ -35,7 +37,7 @@ def op3_toxicity(spark, sf_dir):
 
 
 def op4_decontaminate(spark, sf_dir):
-    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -55,7 +57,7 @@ def op5_mix(spark, sf_dir):
 
 
 def op6_nearest(spark, sf_dir):
-    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    vectors = cut(ann.usable(_table(spark, sf_dir, "embeddings")))
     return ann.nearest(vectors, vectors.filter("id % 50 = 0")).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"), "score")
 
 
@@ -74,7 +76,8 @@ def op9_near_duplicates(spark, sf_dir):
 
 
 def op10_pii(spark, sf_dir):
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"), KEY).select("doc_id", "n_entities", "text")
+    key = spark.conf.get("mesospark.pii.key", KEY).encode()
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key).select("doc_id", "n_entities", "text")
 
 
 OPERATORS = {f.__name__: f for f in (op1_quality, op2_language, op3_toxicity, op4_decontaminate, op5_mix, op6_nearest, op7_lines, op8_licenses, op9_near_duplicates, op10_pii)}
