@@ -1,11 +1,11 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Every run of consecutive lines is a unit, from one line to the whole text. A
-unit of a bigrams reaches a Dice coefficient t with a template of b only if
+A line is parted after each of its sentences, and every run of consecutive parts
+is a unit, from one sentence to the whole text. A unit of a bigrams reaches a Dice coefficient t with a template of b only if
 ``a`` lies between ``b t / (2 - t)`` and ``b (2 - t) / t`` and at least
 ``b t / (2 - t)`` bigrams are shared; a text that shares fewer is left at once
-for that template. Only units that begin and end with a shared bigram's line
-are scored, as cutting other lines off can't lower the score.
+for that template. Only units that begin and end with a shared bigram's
+part are scored, as cutting other parts off can't lower the score.
 
 Defined cases: null, empty and wordless texts match nothing; a unit of one word
 has that word as its only "bigram"; repeated rows are scanned each; null ids
@@ -13,6 +13,7 @@ pass through; other columns are ignored.
 """
 
 import pkgutil
+import re
 from collections import defaultdict
 
 import pyarrow as pa
@@ -38,6 +39,9 @@ for _name in FULL_TEXTS:
     TEMPLATES.setdefault(_name, []).append(pkgutil.get_data(__package__, f"license_texts/{_name}.txt").decode())
 
 
+PARTS = re.compile(r"\n|(?<=[.;:!?])\s+")
+
+
 def bigrams(words: list) -> set:
     return set(zip(words, words[1:], strict=False)) if len(words) > 1 else {(w,) for w in words}
 
@@ -134,12 +138,12 @@ class Scanner:
         return p
 
     def scan(self, text: str | None) -> tuple[dict[str, float], int]:
-        """Best score of each licence found, and the number of lines that match one by themselves."""
+        """Best score of each licence found, and the number of lines or sentences that match one by themselves."""
         found: dict[str, float] = {}
         near = self.near(words_of(text)) if text else []
         if not near:
             return found, 0
-        lines, alone = [w for x in text.split("\n") if (w := words_of(x))], set()
+        lines, alone = [w for x in PARTS.split(text) if (w := words_of(x))], set()
         for i in near:
             score, own = self.runs(i, lines)
             alone |= own
