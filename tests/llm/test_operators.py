@@ -184,6 +184,26 @@ def test_license_runs_equal_brute_force():
             assert licenses.Scanner(templates, t).scan("\n".join(lines)) == (best, len(alone))
 
 
+def test_license_inside_a_paragraph():
+    grant = licenses.TEMPLATES["MIT"][1]
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    assert scanner.scan(f"Some words come first. {grant} More words follow here, and so on.")[0]["MIT"] > 0.95
+    assert scanner.scan(f"Hello there. {licenses.TEMPLATES['MIT'][-1].replace(chr(10), ' ')} Bye now.")[0]["MIT"] > 0.95
+
+
+def test_queries_find_five_neighbours_wherever_they_lie(spark):
+    rng = np.random.RandomState(9)
+    a, b = rng.normal(size=(2, 16))
+    x = np.concatenate([a + 1e-3 * rng.normal(size=(3, 16)), b + 0.1 * rng.normal(size=(597, 16))])
+    vectors = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).persist()
+    graph = ann.CentroidGraph.of(ann.balanced_centroids(ann.unit(x).astype(np.float32), 60))
+    for least in (1, 8):
+        got = ann.nearest(vectors, vectors.filter("id % 50 = 0"), graph=graph, least_probes=least).collect()
+        assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in range(0, 600, 50) for k in range(1, 6)]
+    best = sorted((r for r in got if r.query_id == 0), key=lambda r: r["rank"])
+    assert {r.vec_id for r in best[:2]} == {1, 2}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.RandomState(3)
     x = rng.normal(size=(400, 8))
@@ -223,7 +243,7 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     rows = [(1, text), (2, text), (3, None), (4, ""), (5, "nothing 12"), (None, "x@y.zz")]
     got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key).collect()}
     assert got[1].text == got[2].text and got[1].n_entities == 10 and got[3].text is None and got[5].text == "nothing 12"
-    for e in ("Ada", "Alan", "a.b9@", "10.20.30.40", "555-7713", "4111111111111111", "04dbebab", "abc123de", "ABCDEFGH"):
+    for e in ("Ada", "Alan", "a.b9@", "mail1.example", "10.20.30.40", "555-7713", "4111111111111111", "04dbebab", "abc123de", "ABCDEFGH"):
         assert e not in got[1].text
     name = re.search(r"Mrs (\S+ \S+) wrote", got[1].text)[1]
     assert name.split()[0] in pii.NAMES["latin", "f"] and got[1].text.endswith(f"Mrs {name} again.")
@@ -231,8 +251,11 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     cards = [c + str(pii._luhn(c)) for c in cards]
     new = [pii.surrogate(key, "card", c) for c in cards]
     assert len(set(new)) == 300 and all(pii._luhn(c[:-1]) == int(c[-1]) for c in new)
-    for kind, values in (("ip", [f"10.0.{i}.{j}" for i in range(20) for j in range(20)]), ("phone", [f"+1 (017) 555-{i:04d}" for i in range(500)])):
+    addresses = [f"10.0.{i}.{j}" for i in range(20) for j in range(20)] + [f"010.0.{i}.{j}" for i in range(9) for j in range(9)] + [f"256.0.0.{j}" for j in range(9)]
+    mails = [f"{a}@{b}.com" for a in ("ann", "bob", "kim") for b in ("one", "two", "six")]
+    for kind, values in (("ip", addresses), ("phone", [f"+1 (017) 555-{i:04d}" for i in range(500)]), ("email", mails)):
         assert len({pii.surrogate(key, kind, v) for v in values}) == len(values)
+    assert [pii._valid_ip(pii.surrogate(key, "ip", v)) for v in addresses] == [pii._valid_ip(v) for v in addresses]
 
 
 def test_common_formats_are_replaced():
@@ -253,16 +276,29 @@ def test_common_formats_are_replaced():
 
 
 def test_later_mentions_follow_the_name():
-    new, n = pii.replaced("Mrs Ada Byron came. Ada Byron spoke, and Byron's friend Mr. Kay left. Kay waved. Byronic Kayaks.", b"k", {}, {})
-    ada, kay = pii.surrogate(b"k", "name-f", "Ada Byron"), pii.surrogate(b"k", "name-m", "Kay")
-    assert new == f"Mrs {ada} came. {ada} spoke, and {ada.split()[1]}'s friend Mr. {kay} left. {kay} waved. Byronic Kayaks." and n == 5
-
-
-def test_colliding_names_become_distinct(spark):
-    names = [f"Name{chr(97 + i)}" for i in range(26)]
-    rows = [(i, f"Mr {n} came") for i, n in enumerate(names)]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()]
-    assert len(set(got)) == 26
+    names = {"Ada Byron": "Elena Tarber", "Kay": "Berdan"}
+    new, n = pii.replaced("Mrs Ada Byron came. Ada Byron spoke, and Byron's friend Mr. Kay left. Kay waved. Byronic Kayaks.", b"k", names, {})
+    assert new == "Mrs Elena Tarber came. Elena Tarber spoke, and Tarber's friend Mr. Berdan left. Berdan waved. Byronic Kayaks." and n == 5
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 0])
+def test_names_are_distinct_and_coreferent_over_a_corpus(spark, limit):
+    words = [a + b for a in ("Al", "Be", "Co", "Du", "El", "Fa", "Gi", "Ho") for b in ("ma", "ne", "ri", "so", "tu", "va", "wo", "zi")]
+    titles = ["Mr", "Dr", "Prof.", "Mrs"]
+    people = [f"{a} {b}" for a in words for b in words[:20]] + words
+    rows = [(i, f"{titles[(i + k) % 3 if i % 2 else 2 * (k % 2) and 3 or 1]} {p} came, and {p} left") for k in range(2) for i, p in enumerate(people)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), b"k", broadcast_limit=limit).collect()
+    seen = {}
+    for r in got:
+        one, two = re.search(r"^\S+ (.+) came, and (.+) left$", r.text).groups()
+        assert one == two and r.n_entities == 2
+        seen.setdefault(r.doc_id, set()).add(one)
+    assert all(len(v) == 1 for v in seen.values())
+    new = [next(iter(seen[i])) for i in range(len(people))]
+    assert len(set(new)) == len(people) and not set(new) & set(people)
+    assert all(n.split()[0] in pii.NAMES["latin", "m"] for i, n in enumerate(new) if i % 2 and " " in people[i] and {titles[i % 3], titles[(i + 1) % 3]} & {"Mr"})
+    again = pii.pseudonymise(spark.createDataFrame([(0, "Mr Alan Kay met Dr Alan Kay")], "doc_id long, text string"), b"k").first().text
+    assert re.fullmatch(r"Mr (\S+ \S+) met Dr \1", again)
 
 
 def _labelled(spark):
