@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 from mesospark.plans.lineage import cut
 
 
+def _pairs(*pairs):
+    """Rows for an explode: structs ``u, v``."""
+    return F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(_pairs(("u", "v"), ("v", "u"))).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.when(F.col("v") != F.col("m"), _pairs(("u", "m"), ("v", "m"))).otherwise(_pairs(("u", "m")))
+    return edges.join(least, "u").select(F.explode(moved).alias("e")).select("e.*").distinct()
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_passes: int = 60) -> DataFrame:
@@ -42,5 +47,4 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         before = now
     else:
         raise RuntimeError(f"components still change after {max_passes} passes")
-    roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    return e.select(F.explode(_pairs(("u", "v"), ("v", "v"))).alias("e")).select(F.col("e.u").alias("id"), F.col("e.v").alias("component")).distinct()
