@@ -37,32 +37,28 @@ def line_sites(documents: DataFrame) -> DataFrame:
     return documents.filter("doc_id IS NOT NULL").select("doc_id", F.col("source").alias("site"), F.explode(hashes).alias("h"))
 
 
-def boilerplate_lines(documents: DataFrame, min_sites: int) -> DataFrame:
-    """``h``: hashes of the lines on at least ``min_sites`` distinct sites."""
-    rows = line_sites(documents).filter("site IS NOT NULL")
-    spread = rows.groupBy("h").agg(F.hll_sketch_agg(F.col("site").cast("string"), F.lit(LG_K)).alias("sketch"))
-    spread = spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - NEAR) - 1)
-    sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR) + 1).select("h")
-    near = spread.filter(F.col("sites") <= min_sites * (1 + NEAR) + 1).select("h")
-    exact = rows.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n"))
-    return sure.union(exact.filter(F.col("n") >= min_sites).select("h"))
-
-
-def _found(documents: DataFrame, lines: DataFrame, broadcast_limit: int, salts: int) -> DataFrame:
-    """``id, common``: the boilerplate hashes of each document that has any.
+def _met(rows: DataFrame, lines: DataFrame, broadcast_limit: int, salts: int) -> DataFrame:
+    """The rows whose ``h`` is among the lines (a cut table of distinct hashes).
 
-    A line may be in a great many documents. So many hashes as the limit are
-    small enough to send to every task; more are joined by hash, each of them
-    once for each of a few salts, and a document's salt says which one it meets.
+    A line may be in a great many rows. So many hashes as the limit are small
+    enough to send to every task; more are joined by hash, each of them once for
+    each of a few salts, and a row's other columns say which one it meets.
     """
-    lines = cut(lines)
-    rows = line_sites(documents).select(F.col("doc_id").alias("id"), "h")
     if lines.count() <= broadcast_limit:
-        met = rows.join(F.broadcast(lines), "h")
-    else:
-        salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["h", "salt"])
-    return met.groupBy("id").agg(F.collect_set("h").alias("common"))
+        return rows.join(F.broadcast(lines), "h")
+    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "h"]), F.lit(salts)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, ["h", "salt"]).drop("salt")
+
+
+def boilerplate_lines(documents: DataFrame, min_sites: int, broadcast_limit: int, salts: int) -> DataFrame:
+    """``h``: hashes of the lines on at least ``min_sites`` distinct sites."""
+    rows = line_sites(documents).filter("site IS NOT NULL").select("h", F.col("site").cast("string").alias("site"))
+    spread = rows.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    spread = cut(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - NEAR) - 1))
+    sure = F.col("sites") > min_sites * (1 + NEAR) + 1
+    exact = _met(rows, spread.filter(~sure).select("h"), broadcast_limit, salts).distinct().groupBy("h").agg(F.count("*").alias("n"))
+    return cut(spread.filter(sure).select("h").union(exact.filter(F.col("n") >= min_sites).select("h")))
 
 
 def remove_boilerplate(documents: DataFrame, *, min_sites: int = 5, broadcast_limit: int = 1 << 18, salts: int = 16) -> DataFrame:
@@ -71,7 +67,9 @@ def remove_boilerplate(documents: DataFrame, *, min_sites: int = 5, broadcast_li
     Nothing is removed from a document that has no line of its own. Columns that
     are named like the added ones are replaced; any other name may occur.
     """
-    found = _found(documents, boilerplate_lines(documents, min_sites), broadcast_limit, salts).alias("f")
+    lines = boilerplate_lines(documents, min_sites, broadcast_limit, salts)
+    met = _met(line_sites(documents).select(F.col("doc_id").alias("id"), "h"), lines, broadcast_limit, salts)
+    found = met.groupBy("id").agg(F.collect_set("h").alias("common")).alias("f")
     parts = F.split(F.col("d.text"), "\n")
     is_common = lambda x: (F.trim(x) != "") & F.array_contains(F.col("f.common"), _hash(F.trim(x)))
     n_lines = F.size(F.filter(parts, lambda x: F.trim(x) != ""))
