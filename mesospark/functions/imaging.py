@@ -45,14 +45,20 @@ def triclinic_fast(d: list[Column], cell: list[list[Column]]) -> list[Column]:
     return out
 
 
+_SHIFTS = list(product((-1.0, 0.0, 1.0), repeat=3))
+
+
 def triclinic_exact(d: list[Column], cell: list[list[Column]]) -> Column:
-    """Length of the shortest of the 27 images around the fast one."""
-    x, y, z = triclinic_fast(d, cell)
-    images = []
-    for i, j, k in product((-1, 0, 1), repeat=3):
-        p, q, r = (c + i * cell[0][n] + j * cell[1][n] + k * cell[2][n] for n, c in enumerate((x, y, z)))
-        images.append(p * p + q * q + r * r)
-    return F.sqrt(F.least(*images))
+    """Struct ``square, x, y, z`` of the shortest of the 27 images around the fast one; of equally short ones the least vector."""
+    bound = F.struct(*[c.alias(n) for n, c in zip("xyz", triclinic_fast(d, cell), strict=True)], *[cell[i][n].alias(f"e{i}{n}") for i in range(3) for n in range(3)])
+    shifts = F.array(*[F.array(*map(F.lit, s)) for s in _SHIFTS])
+
+    def image(b, s):
+        p, q, r = (b[c] + s[0] * b[f"e0{n}"] + s[1] * b[f"e1{n}"] + s[2] * b[f"e2{n}"] for n, c in enumerate("xyz"))
+        return F.struct((p * p + q * q + r * r).alias("square"), p.alias("x"), q.alias("y"), r.alias("z"))
+
+    # the cell is bound once, and each image is made from what is bound
+    return F.transform(F.array(bound), lambda b: F.array_min(F.transform(shifts, lambda s: image(b, s))))[0]
 
 
 def cell_class(lx: Column, ly: Column, lz: Column, alpha: Column, beta: Column, gamma: Column) -> Column:

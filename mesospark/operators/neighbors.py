@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mesospark.functions.imaging import minimum_image
 from mesospark.functions.keys import canonical_key
+from mesospark.plans.lineage import cut
 
 #: Half of the 26 cells around one, and the cell itself: each pair of cells is met once.
 STENCIL = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
@@ -56,6 +57,22 @@ def neighbor_pairs(atoms: DataFrame, cutoff: float, carry: tuple[str, ...] = ("t
     )
 
 
+def copy_pairs(atoms: DataFrame, copies: DataFrame, cutoff: float, skin: float, carry: tuple[str, ...] = ("mol_id",)) -> DataFrame:
+    """Pairs of perturbed copies (atoms with ``copy, nx, ny, nz``) within the cutoff: ``frame_id, copy, i, j, r`` and the carried columns.
+
+    The base frames' pairs within cutoff plus skin are found once and met with
+    each copy. A copy that moves an atom by more than half of the skin is an error.
+    """
+    base = neighbor_pairs(atoms, cutoff + skin, carry, ())
+    far = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") > skin * skin / 4
+    checked = F.when(far, F.raise_error(F.lit("a copy moves an atom by more than half of the skin"))).otherwise(F.col("copy"))
+    moved = copies.select("frame_id", checked.alias("copy"), "atom_id", F.struct("nx", "ny", "nz").alias("n"))
+    met = base.join(moved.withColumnsRenamed({"atom_id": "i", "n": "ni"}), ["frame_id", "i"]).join(moved.withColumnsRenamed({"atom_id": "j", "n": "nj"}), ["frame_id", "copy", "j"])
+    # the base vector is the nearest image; displacements of under half a skin do not change which it is, as the cutoff is under half an edge
+    square = sum(((F.col(f"d{a}") + F.col(f"nj.n{a}") - F.col(f"ni.n{a}")) * (F.col(f"d{a}") + F.col(f"nj.n{a}") - F.col(f"ni.n{a}")) for a in "xyz"), F.lit(0.0))
+    return met.withColumn("r", F.sqrt(square)).filter(F.col("r") <= cutoff).select("frame_id", "copy", "i", "j", "r", *[f"{c}_{s}" for c in carry for s in "ij"])
+
+
 def exclude_groups(pairs: DataFrame, group: str | None) -> DataFrame:
     """Without pairs whose atoms have equal ``group`` labels; None keeps all."""
     return pairs if group is None else pairs.filter(F.col(f"{group}_i") != F.col(f"{group}_j"))
@@ -85,3 +102,21 @@ def neighbor_lists(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     both = pairs.select("frame_id", F.col("i").alias("atom_id"), F.col("j").alias("n")).union(pairs.select("frame_id", "j", "i"))
     lists = both.groupBy("frame_id", "atom_id").agg(F.sort_array(F.collect_list("n")).alias("neighbors"))
     return atoms.select("frame_id", "atom_id").join(lists, ["frame_id", "atom_id"], "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<bigint>")))
+
+
+def push_apart(atoms: DataFrame, least: float, group: str | None = "mol_id", passes: int = 10) -> DataFrame:
+    """atoms moved until no pair of different groups is closer than ``least``, or the passes end.
+
+    In a pass each atom is moved along the vectors of its close pairs by half of
+    what they lack, all at once, and wrapped; the result is cut. Atoms in one place stay.
+    """
+    for _ in range(passes):
+        close = exclude_groups(neighbor_pairs(atoms, least), group).filter((F.col("r") > 1e-6) & (F.col("r") < least - 1e-9))
+        sides = F.array(F.struct(F.col("i").alias("atom_id"), F.lit(-0.5).alias("s")), F.struct(F.col("j").alias("atom_id"), F.lit(0.5).alias("s")))
+        rows = close.select("frame_id", "dx", "dy", "dz", "r", F.explode(sides).alias("p"))
+        moves = cut(rows.groupBy("frame_id", F.col("p.atom_id").alias("atom_id")).agg(F.struct(*[F.sum(F.col("p.s") * (least - F.col("r")) / F.col("r") * F.col(f"d{a}")).alias(a) for a in "xyz"]).alias("move")))
+        if moves.isEmpty():
+            break
+        step = {a: F.pmod(F.col(a) + F.coalesce(F.col(f"move.{a}"), F.lit(0.0)), F.col(f"l{a}")) for a in "xyz"}
+        atoms = cut(atoms.join(moves, ["frame_id", "atom_id"], "left").withColumns(step).drop("move"))
+    return atoms

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mesospark.plans.lineage import cut
+
 
 def select_frames(frames: DataFrame, start: int = 0, end: int | None = None, every: int = 1, n_frames: int = 0) -> DataFrame:
     """Frames of a window; ``n_frames`` 0 goes to the end. Only the filter on the id, which reaches the scan, unless n_frames is given."""
@@ -25,16 +27,45 @@ def select_atoms(atoms: DataFrame, wanted: DataFrame) -> DataFrame:
     return atoms.join(wanted, "atom_id")
 
 
+def numbered(rows: DataFrame, key: str, name: str = "n") -> DataFrame:
+    """Adds the place of each row in the order of a unique key, from 0.
+
+    Rows are dealt by ranges of the key and numbered within each range; what the
+    ranges before it hold is added. Only one count a range is gathered.
+    """
+    dealt = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumns({"range_": F.spark_partition_id(), "nth_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.coalesce(F.sum("there").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("range_").agg(F.count("*").alias("there")).select("range_", before.alias("before"))
+    return dealt.join(F.broadcast(offsets), "range_").withColumn(name, F.col("before") + F.col("nth_")).drop("range_", "nth_", "before")
+
+
 def split_frames(frames: DataFrame, n: int) -> DataFrame:
-    """n near-equal contiguous parts, the first ones longer; numbered from 0. One row a frame is ordered, never atoms."""
-    return frames.withColumn("part", F.ntile(n).over(W.orderBy("frame_id")) - 1)
+    """n near-equal contiguous parts, the first ones longer; numbered from 0."""
+    at, total = numbered(frames, "frame_id", "at_"), frames.count()
+    size, longer = divmod(total, n)
+    first = longer * (size + 1)
+    part = F.when(F.col("at_") < first, F.floor(F.col("at_") / (size + 1))).otherwise(longer + F.floor((F.col("at_") - first) / max(size, 1)))
+    return at.withColumn("part", part.cast("long")).drop("at_")
 
 
 def sample_frames(frames: DataFrame, n: int, seed: int) -> DataFrame:
     """n frames without replacement, a function of seed and ids alone; all if n is 0 or more than there are."""
     if n <= 0:
         return frames
-    return frames.orderBy(F.xxhash64(F.lit(seed), "frame_id"), "frame_id").limit(n)
+    return frames.orderBy(drawn_order(seed), "frame_id").limit(n)
+
+
+def drawn_order(seed: int):
+    """A keyed order of frames that any engine can repeat: the MD5 of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("frame_id").cast("string")))
+
+
+def sample_starts(pool: DataFrame, n: int, seed: int) -> DataFrame:
+    """n distinct start frames of a pool; more than there are is an error."""
+    distinct = pool.distinct()
+    if (there := distinct.count()) < n:
+        raise ValueError(f"{n} start configurations are asked for; there are {there}")
+    return distinct.orderBy(drawn_order(seed), "frame_id").limit(n)
 
 
 def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -53,3 +84,11 @@ def chained(*segments: DataFrame) -> DataFrame:
         one = one.unionByName(s)
     before = F.coalesce(F.sum("n_frames").over(W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return one.withColumn("first_id", before.cast("long"))
+
+
+def with_channels(rows: DataFrame, channels: list[str]) -> DataFrame:
+    """rows, once it is known that some row has each of the asked channels; one that none has is an error."""
+    held = rows.agg(*[F.bool_or(F.col(c).isNotNull()).alias(c) for c in channels]).first()
+    if absent := [c for c in channels if not held[c]]:
+        raise ValueError(f"no frame has {', '.join(absent)}")
+    return rows

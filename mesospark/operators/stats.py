@@ -83,3 +83,8 @@ def block_error(values: DataFrame, by: list[str], value: str, size: int) -> Data
 def ensemble_average(values: DataFrame, by: list[str], value: str, weight: str = "w") -> DataFrame:
     """sum(w v) / sum(w), 0 without weight."""
     return values.groupBy(*by).agg(F.coalesce(F.sum(F.col(weight) * F.col(value)) / F.nullif(F.sum(weight), F.lit(0.0)), F.lit(0.0)).alias("average"))
+
+
+def folded_copies(values: DataFrame, base: list[str], value: str, weight: str = "w") -> DataFrame:
+    """One value for each base frame: its copies averaged with weights that sum to one within it."""
+    return ensemble_average(values, base, value, weight)

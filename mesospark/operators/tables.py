@@ -65,4 +65,11 @@ def harmonic_fit(tables: DataFrame) -> DataFrame:
     sloped = slopes(tables).withColumns({"p": F.lag("x").over(_by()), "n": F.lead("x").over(_by())}).filter("p IS NOT NULL AND n IS NOT NULL")
     e = equilibrium(tables)
     near = sloped.join(F.broadcast(e), "key").groupBy("key").agg(F.min_by("slope", F.struct(F.abs(F.col("x") - F.col("x0")), "x")).alias("s"))
-    return e.join(near, "key", "left").select("key", F.col("x0").alias("r0"), F.coalesce(F.greatest(-F.col("s") / 2, F.lit(0.0)), F.lit(1.0)).alias("k"))
+    return e.join(near, "key", "left").select("key", F.col("x0").alias("r0"), F.when(F.col("s").isNull(), 1.0).otherwise(F.greatest(-F.col("s") / 2, F.lit(0.0))).alias("k"))
+
+
+def compared(one: DataFrame, two: DataFrame) -> DataFrame:
+    """``key, df, dv``: the largest differences of force and energy of tables (``key, i, f, v``) on their common grid; none in common is an error."""
+    met = one.join(two.select("key", "i", F.col("f").alias("g"), F.col("v").alias("u")), ["key", "i"], "left")
+    out = met.groupBy("key").agg(F.count("g").alias("n"), F.max(F.abs(F.col("g") - F.col("f"))).alias("df"), F.max(F.abs(F.col("u") - F.col("v"))).alias("dv"))
+    return out.select("key", F.when(F.col("n") == 0, F.raise_error(F.concat(F.lit("tables have no point in common: "), "key"))).otherwise(F.col("df")).alias("df"), "dv")

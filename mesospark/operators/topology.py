@@ -1,8 +1,110 @@
-"""Graph-shaped joins over bonds."""
+"""Graph-shaped joins over bonds, topologies from templates, added sites, and making components whole."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mesospark.functions.imaging import minimum_image
+from mesospark.operators.components import connected_components
+from mesospark.plans.lineage import cut
+
+
+def residue_topology(residues: DataFrame, templates: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``frame_id, i, j, origin``: bonds of each residue's template, and links from residue to residue, with i < j.
+
+    residues: ``frame_id, residue, name, first`` (the atom before its first one),
+    in order of ``residue``. templates: ``name, i, j`` with sites from 1; only those
+    that a residue names are used. links: ``name, site, next_site``: what binds a
+    residue to the next one of its frame.
+    """
+    inner = residues.join(templates, "name").select("frame_id", (F.col("first") + F.col("i")).alias("i"), (F.col("first") + F.col("j")).alias("j"), F.lit("template").alias("origin"))
+    if links is not None:
+        following = residues.withColumn("next", F.lead("first").over(W.partitionBy("frame_id").orderBy("residue"))).filter("next IS NOT NULL")
+        inner = inner.union(following.join(links, "name").select("frame_id", F.col("first") + F.col("site"), F.col("next") + F.col("next_site"), F.lit("link")))
+    return inner.select("frame_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "origin")
+
+
+def append_sites(residues: DataFrame, sites: DataFrame, labels: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Added atoms ``frame_id, residue, site_name, atom_id, code`` and their bonds ``frame_id, i, j``.
+
+    residues: ``frame_id, residue, name``; sites: ``name, site_name, bond_to``, for
+    each carrier residue the sites it gets and the label they are bound to; labels:
+    ``frame_id, residue, label, atom_id``; last: ``frame_id, last``, the greatest
+    atom id of each frame. Ids go on from the last, in order of residue and site
+    name; codes number the site names. A label that a residue lacks is an error.
+    """
+    nth = F.row_number().over(W.partitionBy("frame_id").orderBy("residue", "site_name"))
+    codes = sites.select("site_name").distinct().withColumn("code", F.dense_rank().over(W.orderBy("site_name")).cast("int"))
+    added = residues.join(sites, "name").withColumn("nth", nth).join(last, "frame_id").join(codes, "site_name")
+    added = added.select("frame_id", "residue", "site_name", "bond_to", (F.col("last") + F.col("nth")).alias("atom_id"), "code")
+    met = added.join(labels.select("frame_id", "residue", F.col("label").alias("bond_to"), F.col("atom_id").alias("to")), ["frame_id", "residue", "bond_to"], "left")
+    there = F.when(F.col("to").isNull(), F.raise_error(F.concat(F.lit("no atom is labelled "), "bond_to"))).otherwise(F.col("to"))
+    return added.drop("bond_to"), met.select("frame_id", there.alias("i"), F.col("atom_id").alias("j"))
+
+
+def bonded_components(bonds: DataFrame) -> DataFrame:
+    """``frame_id, atom_id, component``: atoms that bonds ``frame_id, i, j`` hold together, named by the least atom; frames apart."""
+    node = lambda c: F.struct("frame_id", F.col(c).alias("atom_id"))
+    found = connected_components(cut(bonds.select(node("i").alias("u"), node("j").alias("v"))))
+    return found.select("id.frame_id", "id.atom_id", F.col("component.atom_id").alias("component"))
+
+
+def unwrapped(atoms: DataFrame, bonds: DataFrame, components: DataFrame, max_passes: int = 1000) -> DataFrame:
+    """``frame_id, atom_id, component, x, y, z``: components made whole, from their least atom outwards along bonds.
+
+    A pass places the neighbours of what was placed before; each is one join and
+    is cut, so a component may be of any size. Of several placed neighbours the
+    one with the least id counts.
+    """
+    place = atoms.select("frame_id", "atom_id", F.struct("x", "y", "z").alias("at"), F.struct("lx", "ly", "lz").alias("edge"))
+    members = cut(components.join(place, ["frame_id", "atom_id"]))
+    done = members.filter("atom_id = component").select("frame_id", "atom_id", F.col("at").alias("whole"))
+    both = bonds.select("frame_id", "i", "j").union(bonds.select("frame_id", "j", "i"))
+    edge, placed = done, [done]
+    for _ in range(max_passes):
+        near = edge.join(both.withColumnRenamed("i", "atom_id"), ["frame_id", "atom_id"]).select("frame_id", F.col("j").alias("atom_id"), F.struct(F.col("atom_id").alias("by"), "whole").alias("from"))
+        near = near.groupBy("frame_id", "atom_id").agg(F.min("from").alias("from"))
+        for old in placed[-2:]:  # a neighbour of the last ones was placed with or just before them, or is new
+            near = near.join(old, ["frame_id", "atom_id"], "left_anti")
+        met = near.join(members, ["frame_id", "atom_id"])
+        step = {a: F.col(f"from.whole.{a}") + minimum_image(F.col(f"at.{a}") - F.col(f"from.whole.{a}"), F.col(f"edge.l{a}")) for a in "xyz"}
+        seen = Observation()
+        edge = cut(met.select("frame_id", "atom_id", F.struct(*[c.alias(a) for a, c in step.items()]).alias("whole")).observe(seen, F.count("*").alias("n")))
+        if not seen.get["n"]:
+            break
+        placed.append(edge)
+    else:
+        raise RuntimeError(f"atoms are still unplaced after {max_passes} passes")
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.union(more)
+    return out.join(members.select("frame_id", "atom_id", "component"), ["frame_id", "atom_id"]).select("frame_id", "atom_id", "component", "whole.*")
+
+
+def refitted_z(whole: DataFrame, atoms: DataFrame, lo: float, hi: float) -> DataFrame:
+    """``frame_id, atom_id, component, shift, z, image``: components moved along z into [lo, hi), as little as can be.
+
+    ``whole``: components made whole; ``atoms``: where their atoms stood. A
+    component that fits as it is stays. Else its shift is, of the two that put it
+    at either end and those that leave one of its atoms in place (held between
+    the two), that which moves the fewest atoms, then the least in sum, then the
+    shortest. One that is longer than the box is an error.
+    """
+    key = ["frame_id", "component"]
+    rows = whole.select("frame_id", "atom_id", "component", F.col("z").alias("u")).join(atoms.select("frame_id", "atom_id", F.col("z").alias("z0")), ["frame_id", "atom_id"])
+    span = rows.groupBy(*key).agg((F.lit(lo) - F.min("u")).alias("low"), (F.lit(hi) - F.max("u")).alias("high"))
+    span = span.withColumn("low", F.when(F.col("low") > F.col("high"), F.raise_error(F.lit("a component is longer than the box"))).otherwise(F.col("low")))
+    still = span.filter("low <= 0 AND high >= 0").select(*key, F.lit(0.0).alias("shift"))
+    moving = span.filter("NOT (low <= 0 AND high >= 0)")
+    held = rows.join(moving, key).select(*key, F.greatest("low", F.least("high", F.col("z0") - F.col("u"))).alias("shift"))
+    tried = moving.select(*key, F.explode(F.array("low", "high")).alias("shift")).union(held).distinct()
+    off = F.abs(F.col("u") + F.col("shift") - F.col("z0"))
+    scored = rows.join(tried, key).groupBy(*key, "shift").agg(F.count_if(off > 1e-5).alias("moved"), F.round(F.sum(off), 9).alias("far"))  # equal sums may differ in the last bits
+    best = scored.groupBy(*key).agg(F.min_by("shift", F.struct("moved", "far", F.abs("shift"))).alias("shift")).union(still)
+    z = F.col("u") + F.col("shift")
+    image = F.floor((z - lo) / (hi - lo))
+    return rows.join(best, key).select("frame_id", "atom_id", "component", "shift", (z - image * (hi - lo)).alias("z"), image.cast("int").alias("image"))
+
 
 def _both(bonds: DataFrame) -> DataFrame:
     checked = F.when(F.col("i") == F.col("j"), F.raise_error(F.lit("self bond"))).otherwise(F.col("i"))

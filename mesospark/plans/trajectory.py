@@ -25,7 +25,7 @@ v_pairs AS (SELECT frame_id, i, j, ti, tj, mi, mj, w, dx, dy, dz, sqrt(dx * dx +
   FROM v_atoms a JOIN v_atoms b ON a.frame_id = b.frame_id AND a.atom_id < b.atom_id) WHERE sqrt(dx * dx + dy * dy + dz * dz) <= 4.0),
 v_inter AS (SELECT *, 'pair:' || least(ti, tj) || ':' || greatest(ti, tj) AS key FROM v_pairs WHERE mi <> mj)
 """
-_NEXT = "lead({c}, {k}) OVER (PARTITION BY mol_id ORDER BY ord)"
+_NEXT = "lead({c}, {k}) OVER (PARTITION BY frame_id, mol_id ORDER BY ord)"
 
 
 def _terms_sql(n: int) -> str:
@@ -44,7 +44,8 @@ def query(name: str, *ctes: str, select: str | None = None):
     def register(f):
         QUERIES[name] = f
         if select:
-            ORACLE[name] = "WITH " + ", ".join([A.SQL, *ctes]) + "\n" + select
+            recursive, own = "RECURSIVE" in ctes, [c for c in ctes if c != "RECURSIVE"]
+            ORACLE[name] = f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join([A.SQL, *own]) + "\n" + select
         return f
 
     return register
@@ -118,14 +119,18 @@ _image_query("P06", im.wrap, "CASE WHEN CAST(q - lx * floor(q / lx) AS FLOAT) >=
 _image_query("F14", lambda q, _: im.normalise_angle(q * 10), "q * 10 + 180 - 360 * floor((q * 10 + 180) / 360) - 180")
 
 
-@query("P04", select="""SELECT frame_id, atom_id, round(sqrt(least((dx) ** 2 + dy ** 2, (dx + lx) ** 2 + dy ** 2, (dx - lx) ** 2 + dy ** 2, (dx + 0.5 * ly) ** 2 + (dy + ly * 0.8660254037844386) ** 2,
- (dx - 0.5 * ly) ** 2 + (dy - ly * 0.8660254037844386) ** 2, (dx - lx + 0.5 * ly) ** 2 + (dy + ly * 0.8660254037844386) ** 2, (dx + lx - 0.5 * ly) ** 2 + (dy - ly * 0.8660254037844386) ** 2,
- (dx + lx + 0.5 * ly) ** 2 + (dy + ly * 0.8660254037844386) ** 2, (dx - lx - 0.5 * ly) ** 2 + (dy - ly * 0.8660254037844386) ** 2)), 5) AS d
- FROM (SELECT *, x1 - lx * round_even(x1 / lx, 0) AS dx FROM (SELECT *, x - lx / 2 - 0.5 * ly * ny AS x1, y - ly / 2 - ly * 0.8660254037844386 * ny AS dy FROM (SELECT *, round_even((y - ly / 2) / (ly * 0.8660254037844386), 0) AS ny FROM v_atoms)))""")
+_IMAGES = """v_away AS (SELECT frame_id, atom_id, lx, ly, x - lx / 2 AS ax, y - ly / 2 AS ay FROM v_atoms),
+v_near AS (SELECT frame_id, atom_id, lx, ly, ax - 0.5 * ly * ny AS bx, ay - 0.8660254037844386 * ly * ny AS dy FROM (SELECT *, round_even(ay / (0.8660254037844386 * ly), 0) AS ny FROM v_away)),
+v_image AS (SELECT frame_id, atom_id, dx + i * lx + j * 0.5 * ly AS p, dy + j * 0.8660254037844386 * ly AS q FROM (SELECT *, bx - lx * round_even(bx / lx, 0) AS dx FROM v_near)
+ CROSS JOIN (SELECT unnest([-1, 0, 1]) AS i) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS j))"""
+
+
+@query("P04", _IMAGES, select="SELECT frame_id, atom_id, round(sqrt(min(p * p + q * q)), 5) AS d FROM v_image GROUP BY 1, 2")
 def p04(spark, d):
+    """The distance of each atom from the middle of a cell with an angle of 60 degrees."""
     cell = im.edge_vectors(F.col("lx"), F.col("ly"), F.col("lz"), F.lit(90.0), F.lit(90.0), F.lit(60.0))
     away = [F.col("x") - F.col("lx") / 2, F.col("y") - F.col("ly") / 2, F.lit(0.0)]
-    return A.atoms(spark, d).select("frame_id", "atom_id", F.round(im.triclinic_exact(away, cell), 5).alias("d"))
+    return A.atoms(spark, d).select("frame_id", "atom_id", F.round(F.sqrt(im.triclinic_exact(away, cell)["square"]), 5).alias("d"))
 
 
 @query("P07", select="SELECT frame_id, 'ortho' AS kind, round(lx * ly * lz, 4) AS volume, round(least(lx, ly, lz) / 2, 6) AS half_min_height FROM v_frames")
@@ -202,9 +207,17 @@ def j06_angle(spark, d):
     return _bonds(spark, d, "angle").select("frame_id", "a1", "a3", "key", F.round("value", 4).alias("value"))
 
 
-@query("J06_dihedral")
+_CHAIN = ", ".join(f"{u}{k + 1} - {u}{k} AS {u[1]}{k}" for k in (1, 2, 3) for u in ("ux", "uy", "uz"))
+DIHEDRALS = _terms_sql(4) + f""", v_d AS (SELECT *, {_CHAIN} FROM v_t),
+v_n AS (SELECT *, y1 * z2 - z1 * y2 AS m1, z1 * x2 - x1 * z2 AS m2, x1 * y2 - y1 * x2 AS m3, y2 * z3 - z2 * y3 AS n1, z2 * x3 - x2 * z3 AS n2, x2 * y3 - y2 * x3 AS n3 FROM v_d),
+v_dihedrals AS (SELECT *, 'dihedral:' || CASE WHEN type1 > type4 OR (type1 = type4 AND type2 > type3) THEN type4 || ':' || type3 || ':' || type2 || ':' || type1 ELSE type1 || ':' || type2 || ':' || type3 || ':' || type4 END AS key,
+ degrees(atan2(sqrt(x2 * x2 + y2 * y2 + z2 * z2) * (x1 * n1 + y1 * n2 + z1 * n3), m1 * n1 + m2 * n2 + m3 * n3)) AS value FROM v_n WHERE m1 * m1 + m2 * m2 + m3 * m3 >= 1e-12 AND n1 * n1 + n2 * n2 + n3 * n3 >= 1e-12)"""
+
+
+@query("J06_dihedral", DIHEDRALS, select="SELECT frame_id, atom_id1 AS a1, atom_id4 AS a4, key, round(abs(value), 3) AS value FROM v_dihedrals")
 def j06_dihedral(spark, d):
-    return _bonds(spark, d, "dihedral").select("frame_id", "a1", "a4", "key", F.round("value", 4).alias("value"))
+    """Sizes of the angles, as one of half a turn has either sign; degenerate ones are left out."""
+    return _bonds(spark, d, "dihedral").filter(~F.isnan("value")).select("frame_id", "a1", "a4", "key", F.round(F.abs("value"), 3).alias("value"))
 
 
 @query("J07", PAIRS, select="SELECT key, count(*) AS n, round(sum(r), 3) AS sr, round(sum(abs(dx)), 3) AS sx FROM v_inter GROUP BY 1")
@@ -259,9 +272,10 @@ v_coef AS (SELECT p.frame_id, p.key, m.mode, f.w, lx * ly * lz / e.n * sum(CASE
 
 
 def _coefficients(spark, d, modes=6):
-    pairs = _inter(spark, d).select("frame_id", "key", "r", F.explode(F.sequence(F.lit(0), F.lit(modes - 1))).alias("mode"))
-    value = P.cosine_basis(F.col("r"), F.col("mode"), 0.0, CUTOFF) / (4 * F.pi() * F.col("r") * F.col("r"))
-    sums = pairs.groupBy("frame_id", "key", "mode").agg(F.sum(value).alias("s"))
+    """One sum for each mode beside the others, and only the sums are spread over rows."""
+    value = lambda m: P.cosine_basis(F.col("r"), F.lit(m), 0.0, CUTOFF) / (4 * F.pi() * F.col("r") * F.col("r"))
+    sums = _inter(spark, d).groupBy("frame_id", "key").agg(F.array(*[F.sum(value(m)) for m in range(modes)]).alias("s"))
+    sums = sums.select("frame_id", "key", F.posexplode("s").alias("mode", "s"))
     scaled = sums.join(stats.eligible_pairs(A.atoms(spark, d)), ["frame_id", "key"]).join(A.frames(spark, d), "frame_id")
     return scaled.select("frame_id", "key", "mode", "w", (F.col("lx") * F.col("ly") * F.col("lz") / F.col("eligible") * F.col("s")).alias("c"))
 
@@ -329,7 +343,8 @@ def f12(spark, d):
 
 @query("F13", PAIRS, select="SELECT mode, round(sum(CASE WHEN mode = 0 THEN sqrt(0.25) ELSE sqrt(0.5) * cos(pi() * mode * r / 4.0) END), 2) + 0.0 AS s FROM v_inter CROSS JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS mode) GROUP BY 1")
 def f13(spark, d):
-    return _inter(spark, d).select("r", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("mode")).groupBy("mode").agg((F.round(F.sum(P.cosine_basis(F.col("r"), F.col("mode"), 0.0, CUTOFF)), 2) + 0.0).alias("s"))
+    sums = _inter(spark, d).agg(F.array(*[F.sum(P.cosine_basis(F.col("r"), F.lit(m), 0.0, CUTOFF)) for m in range(5)]).alias("s"))
+    return sums.select(F.posexplode("s").alias("mode", "s")).select("mode", (F.round("s", 2) + 0.0).alias("s"))
 
 
 _LJ = "4 * 0.5 * ((1.5 / greatest(r, 1.0)) ** 12 - (1.5 / greatest(r, 1.0)) ** 6)"
@@ -341,26 +356,31 @@ def a13(spark, d):
     return _inter(spark, d).groupBy("frame_id").agg((F.round(F.sum(u), 2) + 0.0).alias("u"))
 
 
-HAT = "v_g AS (SELECT frame_id, w, p, sum(greatest(0, 1 - abs((value - 0.5) / 0.25 - p))) AS g FROM v_bonds CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS p) WHERE key = 'bond:A:N' GROUP BY 1, 2, 3)"
+HAT = "v_g AS (SELECT key, frame_id, w, p, sum(greatest(0, 1 - abs((value - 0.5) / 0.25 - p))) AS g FROM v_bonds CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS p) GROUP BY 1, 2, 3, 4)"
 
 
-def _gradients(spark, d):
-    """dU/dc_p by frame for a hat-function potential on one bond key: each term touches two parameters at most, and only those rows are made."""
+def hats(terms):
+    """Terms with the two hat functions that each touches, as ``p`` and ``h``; only those rows are made."""
     at = F.floor((F.col("value") - 0.5) / 0.25).cast("int")
-    rows = _bonds(spark, d).filter("key = 'bond:A:N'").select("frame_id", "w", "value", F.explode(F.sequence(at, at + 1)).alias("p")).filter(F.col("p").between(0, 7))
-    return rows.groupBy("frame_id", "w", "p").agg(F.sum(P.hat(F.col("value"), F.col("p"), 0.5, 0.25)).alias("g"))
+    rows = terms.withColumn("p", F.explode(F.sequence(at, at + 1))).filter(F.col("p").between(0, 7))
+    return rows.withColumn("h", P.hat(F.col("value"), F.col("p"), 0.5, 0.25))
 
 
-@query("A14", BONDS, HAT, select="SELECT frame_id, p, round(g, 4) AS g FROM v_g WHERE g > 0.00005")
+def _gradients(spark, d):
+    """dU/dc_p by frame and bond key for a hat-function potential."""
+    return hats(_bonds(spark, d).select("key", "frame_id", "w", "value")).groupBy("key", "frame_id", "w", "p").agg(F.sum("h").alias("g"))
+
+
+@query("A14", BONDS, HAT, select="SELECT key, frame_id, p, round(g, 4) AS g FROM v_g WHERE g > 0.00005")
 def a14(spark, d):
-    return _gradients(spark, d).filter("g > 0.00005").select("frame_id", "p", F.round("g", 4).alias("g"))
+    return _gradients(spark, d).filter("g > 0.00005").select("key", "frame_id", "p", F.round("g", 4).alias("g"))
 
 
-@query("A18", BONDS, HAT, select="SELECT a.p, b.p AS q, round(sum(a.w * a.g * b.g), 2) AS h FROM v_g a JOIN v_g b ON a.frame_id = b.frame_id AND a.p <= b.p WHERE a.g > 0 AND b.g > 0 GROUP BY 1, 2")
+@query("A18", BONDS, HAT, select="SELECT a.key, a.p, b.p AS q, round(sum(a.w * a.g * b.g), 2) AS h FROM v_g a JOIN v_g b ON a.frame_id = b.frame_id AND a.key = b.key AND a.p <= b.p WHERE a.g > 0 AND b.g > 0 GROUP BY 1, 2, 3")
 def a18(spark, d):
     g = _gradients(spark, d).filter("g > 0")
-    other = g.select("frame_id", F.col("p").alias("q"), F.col("g").alias("h"))
-    return g.join(other, "frame_id").filter("p <= q").groupBy("p", "q").agg(F.round(F.sum(F.col("w") * F.col("g") * F.col("h")), 2).alias("h"))
+    other = g.select("key", "frame_id", F.col("p").alias("q"), F.col("g").alias("h"))
+    return g.join(other, ["key", "frame_id"]).filter("p <= q").groupBy("key", "p", "q").agg(F.round(F.sum(F.col("w") * F.col("g") * F.col("h")), 2).alias("h"))
 
 
 @query("A23", BONDS, select="SELECT key, round(sum(w * value) / sum(w), 6) AS average FROM v_bonds GROUP BY 1")
@@ -401,14 +421,14 @@ def a32(spark, d):
     return mapping.map_sites(atoms, mapping.adapter_map(atoms)).select("frame_id", "mol_id", "site", *[(F.round(f"f{a}", 6) + 0.0).alias(f"f{a}") for a in "xyz"])
 
 
-@query("M03", BONDS, HAT, select="SELECT p, round(sum(w * g) FILTER (frame_id % 2 = 0) / sum(w) FILTER (frame_id % 2 = 0) - sum(w * g) FILTER (frame_id % 2 = 1) / sum(w) FILTER (frame_id % 2 = 1), 4) + 0.0 AS gradient FROM v_g GROUP BY 1")
+@query("M03", BONDS, HAT, select="""SELECT key, p, round(sum(w * g) FILTER (frame_id % 2 = 0) / any_value(even) - sum(w * g) FILTER (frame_id % 2 = 1) / any_value(odd), 4) + 0.0 AS gradient
+ FROM v_g JOIN (SELECT sum(w) FILTER (frame_id % 2 = 0) AS even, sum(w) FILTER (frame_id % 2 = 1) AS odd FROM v_frames) ON TRUE GROUP BY 1, 2 HAVING sum(g) > 0""")
 def m03(spark, d):
-    """Reference minus model average of each parameter's gradient; frames without a term of the key count with 0 once their weight is in the sum."""
-    g = _gradients(spark, d)
-    grid = g.select("frame_id", "w").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    full = grid.join(g.drop("w"), ["frame_id", "p"], "left").fillna(0.0)
-    mean = lambda k: F.sum(F.when(F.col("frame_id") % 2 == k, F.col("w") * F.col("g"))) / F.sum(F.when(F.col("frame_id") % 2 == k, F.col("w")))
-    return full.groupBy("p").agg((F.round(mean(0) - mean(1), 4) + 0.0).alias("gradient"))
+    """Reference minus model average of each parameter's gradient; frames without a term of the key count with 0."""
+    total = A.frames(spark, d).agg(*[F.sum(F.when(F.col("frame_id") % 2 == k, F.col("w"))).alias(n) for k, n in enumerate(("even", "odd"))]).first()
+    mean = lambda k, w: F.coalesce(F.sum(F.when(F.col("frame_id") % 2 == k, F.col("w") * F.col("g"))), F.lit(0.0)) / w
+    g = _gradients(spark, d).groupBy("key", "p").agg(F.sum("g").alias("all"), (F.round(mean(0, total.even) - mean(1, total.odd), 4) + 0.0).alias("gradient"))
+    return g.filter("all > 0").drop("all")
 
 
 @query("G01", _terms_sql(3), select="SELECT frame_id, least(atom_id1, atom_id3) AS i, atom_id2 AS j, greatest(atom_id1, atom_id3) AS k FROM v_t")
@@ -452,7 +472,12 @@ def w02(spark, d):
     return tables.slopes(_table(spark, d)).select("key", "i", (F.round("slope", 5) + 0.0).alias("slope"))
 
 
-@query("W03")
+VERTEX = """v_three AS (SELECT key, x, v, lag(x) OVER k AS xl, lead(x) OVER k AS xr, lag(v) OVER k AS vl, lead(v) OVER k AS vr, row_number() OVER (PARTITION BY key ORDER BY v, x) AS rank FROM v_int WINDOW k AS (PARTITION BY key ORDER BY x)),
+v_low AS (SELECT key, x, xl, xr, x - ((x - xl) ** 2 * (v - vr) - (x - xr) ** 2 * (v - vl)) / nullif(2 * ((x - xl) * (v - vr) - (x - xr) * (v - vl)), 0) AS vertex FROM v_three WHERE rank = 1),
+v_eq AS (SELECT key, CASE WHEN vertex BETWEEN xl AND xr THEN vertex ELSE x END AS x0 FROM v_low)"""
+
+
+@query("W03", BONDS, TABLE, W01_SQL, VERTEX, select="SELECT key, round(x0, 5) AS x0 FROM v_eq")
 def w03(spark, d):
     return tables.equilibrium(_table(spark, d)).select("key", F.round("x0", 5).alias("x0"))
 
@@ -462,32 +487,36 @@ def w04(spark, d):
     return tables.trimmed(_table(spark, d), "bond").select("key", "i")
 
 
-@query("J12")
+@query("J12", BONDS, TABLE, W01_SQL, """v_cell AS (SELECT key, x AS x0, f, v, lead(x) OVER k AS x1, lead(f) OVER k AS f1, lead(v) OVER k AS v1, row_number() OVER k - 1 AS cell FROM v_int WINDOW k AS (PARTITION BY key ORDER BY x)),
+v_at AS (SELECT b.key, value, greatest(0, least(last, CAST(floor((value - 0.9) / 0.05) AS BIGINT))) AS cell FROM v_bonds b JOIN (SELECT key, max(cell) AS last FROM v_cell WHERE x1 IS NOT NULL GROUP BY 1) l ON l.key = b.key)""",
+ select="""SELECT key, count(*) AS n, round(sum(CASE WHEN t < 0 THEN f WHEN t > 1 THEN f1 ELSE f + t * (f1 - f) END), 3) + 0.0 AS force, round(sum(CASE WHEN t < 0 THEN v - f * (value - x0) WHEN t > 1 THEN v1 - f1 * (value - x1) ELSE v + t * (v1 - v) END), 3) + 0.0 AS energy
+ FROM (SELECT a.key, value, x0, x1, f, f1, v, v1, (value - x0) / (x1 - x0) AS t FROM v_at a JOIN v_cell c ON a.key = c.key AND a.cell = c.cell) GROUP BY 1""")
 def j12(spark, d):
     points = _bonds(spark, d).select("key", F.col("value").alias("x"), "frame_id", "a1")
     found = tables.lookup(points, tables.integrated(_table(spark, d)), 0.9, 0.05)
-    return found.groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("force"), 3).alias("force"), F.round(F.sum("energy"), 3).alias("energy"))
+    return found.groupBy("key").agg(F.count("*").alias("n"), (F.round(F.sum("force"), 3) + 0.0).alias("force"), (F.round(F.sum("energy"), 3) + 0.0).alias("energy"))
 
 
-@query("M08")
+@query("M08", BONDS, TABLE, W01_SQL, VERTEX, """v_slope AS (SELECT key, x, (lead(f) OVER k - lag(f) OVER k) / (lead(x) OVER k - lag(x) OVER k) AS slope FROM v_tab WINDOW k AS (PARTITION BY key ORDER BY x))""",
+ select="SELECT e.key, round(x0, 5) AS r0, round(CASE WHEN s IS NULL THEN 1 ELSE greatest(-s / 2, 0) END, 5) + 0.0 AS k FROM v_eq e LEFT JOIN (SELECT s.key, arg_min(slope, {'a': abs(x - x0), 'b': x}) AS s FROM v_slope s JOIN v_eq q ON q.key = s.key WHERE slope IS NOT NULL GROUP BY 1) n ON n.key = e.key")
 def m08(spark, d):
     return tables.harmonic_fit(_table(spark, d)).select("key", F.round("r0", 5).alias("r0"), F.round("k", 5).alias("k"))
 
 
-@query("T01")
+@query("T01", select="SELECT frame_id FROM v_frames ORDER BY md5('17:' || frame_id), frame_id LIMIT 5")
 def t01(spark, d):
     return selection.sample_frames(A.frames(spark, d).select("frame_id"), 5, 17)
 
 
 @query("T03", select="SELECT frame_id FROM (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS n FROM v_frames) WHERE n % 4 = 0 AND n < 40")
 def t03(spark, d):
-    return A.frames(spark, d).withColumn("n", F.row_number().over(W.orderBy("frame_id")) - 1).filter("n % 4 = 0 AND n < 40").select("frame_id")
+    return selection.numbered(A.frames(spark, d).select("frame_id"), "frame_id").filter("n % 4 = 0 AND n < 40").select("frame_id")
 
 
-@query("U01", BONDS, select="SELECT key, min(frame_id * 100000 + atom_id1) AS first FROM v_bonds GROUP BY 1")
+@query("U01", BONDS, select="SELECT key, m.f AS first_frame, m.a AS first_atom FROM (SELECT key, min({'f': frame_id, 'a': atom_id1}) AS m FROM v_bonds GROUP BY 1)")
 def u01(spark, d):
-    rows = A.terms(A.atoms(spark, d), "bond").withColumn("at", F.col("frame_id") * 100000 + F.col("a1"))
-    return selection.first_seen(rows, "key", "at")
+    rows = A.terms(A.atoms(spark, d), "bond").withColumn("at", F.struct("frame_id", "a1"))
+    return selection.first_seen(rows, "key", "at").select("key", F.col("first.frame_id").alias("first_frame"), F.col("first.a1").alias("first_atom"))
 
 
 @query("U02", BONDS, select="SELECT DISTINCT key FROM v_bonds WHERE frame_id % 2 = 0 UNION SELECT DISTINCT key FROM v_bonds WHERE frame_id % 3 = 0")

@@ -4,10 +4,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions import potentials as P
-from mesospark.operators import forces, stats
-from mesospark.operators.components import connected_components
+from mesospark.operators import forces, neighbors, stats
 from mesospark.plans.lineage import ensure_checkpoint_dir
-from mesospark.plans.trajectory import BONDS, CUTOFF, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, query
+from mesospark.plans.trajectory import BONDS, CUTOFF, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, hats, query
 from mesospark.sources import adapters as A
 from mesospark.sources import dump
 
@@ -81,11 +80,12 @@ def p09(spark, d):
     return _inter(spark, d).filter(~F.isnan("r") & (F.col("r") <= 2.5)).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("P10", BONDS, select="SELECT key, key LIKE '%:A:%' OR key SIMILAR TO 'bond:N:[NR]' AS enabled FROM (SELECT DISTINCT key FROM v_bonds)")
+@query("P10", BONDS, select="SELECT key, key LIKE '%:A:%' OR key SIMILAR TO 'bond:N:[NR]' OR key SIMILAR TO 'bond:R:[^N]' AS enabled FROM (SELECT DISTINCT key FROM v_bonds)")
 def p10(spark, d):
     """A key is enabled if any pattern names it; globs are turned into regular expressions, ``re:`` ones are taken as they are."""
-    patterns = spark.createDataFrame([("*:A:*",), ("re:bond:N:[NR]",)], "pattern string")
-    glob = F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*")
+    patterns = spark.createDataFrame([("*:A:*",), ("re:bond:N:[NR]",), ("bond:R:[!N]",), ("bond:?:Q",)], "pattern string")
+    escaped = F.regexp_replace("pattern", r"([.+^$(){}|\\])", r"\\$1")
+    glob = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, r"\[!", "[^"), r"\*", ".*"), r"\?", ".")
     regex = F.broadcast(patterns.select(F.when(F.col("pattern").startswith("re:"), F.expr("substring(pattern, 4)")).otherwise(glob).alias("regex")))
     keys = A.terms(A.atoms(spark, d), "bond").select("key").distinct()
     return keys.join(regex, F.expr("key RLIKE concat('^(', regex, ')$')"), "left").groupBy("key").agg(F.bool_or(F.col("regex").isNotNull()).alias("enabled"))
@@ -99,17 +99,35 @@ def p15(spark, d):
     return names.select(F.when(F.size(runs) == 1, runs[0].cast("long")).otherwise(F.raise_error(F.concat(F.lit("no single number in "), "name"))).alias("frame_id"), "name")
 
 
-@query("J11", BONDS, HAT, select="SELECT p, round(sum(w * g) FILTER (frame_id % 2 = 0), 3) AS reference, round(sum(w * g) FILTER (frame_id % 2 = 1), 3) AS model FROM v_g GROUP BY 1 HAVING sum(w * g) FILTER (frame_id % 2 = 0 AND g > 0) > 0 AND sum(w * g) FILTER (frame_id % 2 = 1 AND g > 0) > 0")
+@query("J11", BONDS, HAT, select="SELECT key, p, round(sum(w * g) FILTER (frame_id % 2 = 0), 3) AS reference, round(sum(w * g) FILTER (frame_id % 2 = 1), 3) AS model FROM v_g GROUP BY 1, 2 HAVING sum(w * g) FILTER (frame_id % 2 = 0 AND g > 0) > 0 AND sum(w * g) FILTER (frame_id % 2 = 1 AND g > 0) > 0")
 def j11(spark, d):
     g = _gradients(spark, d).filter("g > 0")
-    side = lambda k, name: g.filter(F.col("frame_id") % 2 == k).groupBy("p").agg(F.round(F.sum(F.col("w") * F.col("g")), 3).alias(name))
-    return side(0, "reference").join(side(1, "model"), "p")
+    side = lambda k, name: g.filter(F.col("frame_id") % 2 == k).groupBy("key", "p").agg(F.round(F.sum(F.col("w") * F.col("g")), 3).alias(name))
+    return side(0, "reference").join(side(1, "model"), ["key", "p"])
 
 
-@query("J14", PAIRS, select="SELECT frame_id, count(*) AS n FROM v_inter WHERE r <= 3.0 GROUP BY 1")
+NOISE_SQL = "CAST(('0x' || substr(md5('{k}:' || frame_id || ':' || atom_id || ':' || copy), {at}, 13)) AS BIGINT)"
+
+
+def _noise_sql(k: int, sigma: float) -> str:
+    u = [f"(({NOISE_SQL.format(k=k, at=at)} + 0.5) / 4503599627370496.0)" for at in (1, 17)]
+    return f"{sigma} * sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+def copies_sql(name: str, n: int, sigma: float, seed: int) -> str:
+    axes = ", ".join(f"{_noise_sql(seed + k, sigma)} AS n{a}" for k, a in enumerate("xyz"))
+    return f"{name} AS (SELECT *, {axes} FROM (SELECT *, unnest(range(1, {n + 1})) AS copy FROM v_atoms))"
+
+
+@query("J14", copies_sql("v_copy", 2, 0.05, 7), """v_moved AS (SELECT frame_id, copy, atom_id, mol_id, lx, ly, lz, x + nx AS x, y + ny AS y, z + nz AS z FROM v_copy),
+v_near AS (SELECT a.frame_id, a.copy, (b.x - a.x) - a.lx * round_even((b.x - a.x) / a.lx, 0) AS dx, (b.y - a.y) - a.ly * round_even((b.y - a.y) / a.ly, 0) AS dy, (b.z - a.z) - a.lz * round_even((b.z - a.z) / a.lz, 0) AS dz
+ FROM v_moved a JOIN v_moved b ON a.frame_id = b.frame_id AND a.copy = b.copy AND a.atom_id < b.atom_id AND a.mol_id <> b.mol_id)""",
+ select="SELECT frame_id, copy, count(*) AS n FROM v_near WHERE dx * dx + dy * dy + dz * dz <= 9.0 GROUP BY 1, 2")
 def j14(spark, d):
-    """Pairs found once at cutoff plus skin; the true cutoff applies after."""
-    return _inter(spark, d).filter("r <= 3.0").groupBy("frame_id").agg(F.count("*").alias("n"))
+    """Pairs of two noisy copies of each frame, from the base frame's pairs within the cutoff and a skin."""
+    atoms = A.atoms(spark, d)
+    pairs = neighbors.exclude_groups(neighbors.copy_pairs(atoms, noisy_copies(atoms, 2, 0.05, 7), 3.0, 0.6), "mol_id")
+    return pairs.groupBy("frame_id", "copy").agg(F.count("*").alias("n"))
 
 
 @query("A10", PAIRS, SPECTRAL, select="SELECT key, i, round(sum(c * CASE WHEN mode = 0 THEN sqrt(0.25) ELSE sqrt(0.5) * cos(pi() * mode * (0.2 * i) / 4.0) END), 1) + 0.0 AS g FROM (SELECT key, mode, sum(w * c) / sum(w) AS c FROM v_coef GROUP BY 1, 2) CROSS JOIN (SELECT CAST(unnest(range(1, 20)) AS INTEGER) AS i) GROUP BY 1, 2")
@@ -119,14 +137,12 @@ def a10(spark, d):
     return grid.groupBy("key", "i").agg((F.round(F.sum(F.col("average") * P.cosine_basis(0.2 * F.col("i"), F.col("mode"), 0.0, CUTOFF)), 1) + 0.0).alias("g"))
 
 
-@query("A16", BONDS, HAT.replace("WHERE key = 'bond:A:N'", "WHERE key = 'bond:A:N' AND value BETWEEN 1.0 AND 1.4").replace("v_g", "v_m"), HAT, select="SELECT g.p, round(sum(g.w * g.g), 3) AS free, round(coalesce(any_value(m.s), 0), 3) AS masked FROM v_g g LEFT JOIN (SELECT p, sum(w * g) AS s FROM v_m GROUP BY 1) m ON m.p = g.p WHERE g.g > 0 GROUP BY 1")
+@query("A16", BONDS, HAT, HAT.replace("FROM v_bonds", "FROM (SELECT * FROM v_bonds WHERE value BETWEEN 1.0 AND 1.4)").replace("v_g", "v_m"), select="SELECT g.key, g.p, round(sum(g.w * g.g), 3) AS free, round(coalesce(any_value(m.s), 0), 3) AS masked FROM v_g g LEFT JOIN (SELECT key, p, sum(w * g) AS s FROM v_m GROUP BY 1, 2) m ON m.p = g.p AND m.key = g.key WHERE g.g > 0 GROUP BY 1, 2")
 def a16(spark, d):
     """Masked and unmasked gradients from one pass over the terms."""
-    at = F.floor((F.col("value") - 0.5) / 0.25).cast("int")
-    rows = _bonds(spark, d).filter("key = 'bond:A:N'").select("w", "value", F.explode(F.sequence(at, at + 1)).alias("p")).filter(F.col("p").between(0, 7))
-    g = F.col("w") * P.hat(F.col("value"), F.col("p"), 0.5, 0.25)
-    made = rows.filter(P.hat(F.col("value"), F.col("p"), 0.5, 0.25) > 0)
-    return made.groupBy("p").agg(F.round(F.sum(g), 3).alias("free"), F.round(F.coalesce(F.sum(F.when(F.col("value").between(1.0, 1.4), g)), F.lit(0.0)), 3).alias("masked"))
+    made = hats(_bonds(spark, d)).filter("h > 0")
+    g = F.col("w") * F.col("h")
+    return made.groupBy("key", "p").agg(F.round(F.sum(g), 3).alias("free"), F.round(F.coalesce(F.sum(F.when(F.col("value").between(1.0, 1.4), g)), F.lit(0.0)), 3).alias("masked"))
 
 
 FORCE = """v_pf AS (SELECT frame_id, i, j, 2.0 * (1.0 - r / 4.0) / r * dx AS px, 2.0 * (1.0 - r / 4.0) / r * dy AS py, 2.0 * (1.0 - r / 4.0) / r * dz AS pz FROM v_inter WHERE r > 0.05),
@@ -142,10 +158,10 @@ def a19(spark, d):
     return _forces(spark, d).select("frame_id", "atom_id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("fx", "fy", "fz")])
 
 
-@query("A22", PAIRS, FORCE, select="SELECT coalesce(type, 'all') AS type, count(*) AS n, round(sum(fx * fx + fy * fy + fz * fz), 1) AS target, round(sum((fx - coalesce(px, 0)) ** 2 + (fy - coalesce(py, 0)) ** 2 + (fz - coalesce(pz, 0)) ** 2), 1) AS residual FROM v_atoms a LEFT JOIN v_af f ON a.frame_id = f.frame_id AND a.atom_id = f.atom_id GROUP BY ROLLUP (type)")
+@query("A22", PAIRS, FORCE, select="SELECT coalesce(type, 'all') AS type, count(*) AS n, round(sum(fx * fx + fy * fy + fz * fz), 4) AS target, round(sum((fx - coalesce(px, 0)) ** 2 + (fy - coalesce(py, 0)) ** 2 + (fz - coalesce(pz, 0)) ** 2), 1) AS residual FROM v_atoms a LEFT JOIN v_af f ON a.frame_id = f.frame_id AND a.atom_id = f.atom_id GROUP BY ROLLUP (type)")
 def a22(spark, d):
     out = forces.residuals(A.atoms(spark, d).select("frame_id", "atom_id", "type", "fx", "fy", "fz"), _forces(spark, d))
-    return out.select("type", "n", F.round("target", 1).alias("target"), F.round("residual", 1).alias("residual"))
+    return out.select("type", "n", F.round("target", 4).alias("target"), F.round("residual", 1).alias("residual"))
 
 
 JAC = """v_jr AS (SELECT frame_id, w, atom_id, axis, p, sum(j) AS j FROM (SELECT frame_id, w, p, unnest([i, i, i, j, j, j]) AS atom_id, unnest(['x', 'y', 'z', 'x', 'y', 'z']) AS axis,
@@ -187,9 +203,9 @@ def m01(spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "p int, c double")
 
 
-@query("A24", BONDS, HAT, select="SELECT frame_id, w, round(sum(g), 3) AS g FROM v_g GROUP BY 1, 2 HAVING sum(g) > 0")
+@query("A24", BONDS, HAT, select="SELECT key, frame_id, w, round(sum(g), 3) AS g FROM v_g GROUP BY 1, 2, 3 HAVING sum(g) > 0")
 def a24(spark, d):
-    return _gradients(spark, d).filter("g > 0").groupBy("frame_id", "w").agg(F.round(F.sum("g"), 3).alias("g")).orderBy("frame_id")
+    return _gradients(spark, d).filter("g > 0").groupBy("key", "frame_id", "w").agg(F.round(F.sum("g"), 3).alias("g"))
 
 
 @query("A25", BONDS, select="SELECT key, round(sum(w * exp(-0.01 * frame_id) * value) / sum(w * exp(-0.01 * frame_id)), 6) AS average FROM v_bonds GROUP BY 1")
@@ -200,59 +216,15 @@ def a25(spark, d):
     return stats.ensemble_average(both, ["key"], "value").select("key", F.round("average", 6).alias("average"))
 
 
-FOUR = "v_four AS (SELECT a.* FROM v_atoms a JOIN (SELECT mol_id FROM v_atoms GROUP BY 1 HAVING count(*) = 4) USING (mol_id))"
-
-
-def _four(spark, d):
-    atoms = A.atoms(spark, d)
-    return atoms.withColumn("size", F.count("*").over(W.partitionBy("mol_id"))).filter("size = 4").drop("size")
-
-
-@query("A33", FOUR, select="SELECT frame_id, mol_id, s.site, round(sum(CASE WHEN ord % 2 = s.site THEN 0.75 ELSE 0.25 END * fx), 6) + 0.0 AS fx FROM v_four CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS site) s GROUP BY 1, 2, 3")
-def a33(spark, d):
-    """One shared site-by-atom operator a template, broadcast."""
-    operator = spark.createDataFrame([(s, o, 0.75 if o % 2 == s else 0.25) for s in (0, 1) for o in (1, 2, 3, 4)], "site int, ord long, c double")
-    return _four(spark, d).join(F.broadcast(operator), "ord").groupBy("frame_id", "mol_id", "site").agg((F.round(F.sum(F.col("c") * F.col("fx")), 6) + 0.0).alias("fx"))
-
-
-@query("A34", FOUR, select="SELECT a.ord AS i, b.ord AS j, round(sum(a.fx * b.fx + a.fy * b.fy + a.fz * b.fz), 1) + 0.0 AS q FROM v_four a JOIN v_four b ON a.mol_id = b.mol_id AND a.ord <= b.ord GROUP BY 1, 2")
-def a34(spark, d):
-    a = _four(spark, d).select("mol_id", "ord", "fx", "fy", "fz")
-    b = a.select("mol_id", F.col("ord").alias("j"), *[F.col(f"f{x}").alias(f"g{x}") for x in "xyz"])
-    dot = sum((F.col(f"f{x}") * F.col(f"g{x}") for x in "yz"), F.col("fx") * F.col("gx"))
-    return a.join(b, "mol_id").filter("ord <= j").groupBy(F.col("ord").alias("i"), "j").agg((F.round(F.sum(dot), 1) + 0.0).alias("q"))
-
-
-MOMENTS = "v_mom AS (SELECT a.ord AS i, b.ord AS j, count(*) AS n, sum(r) AS s1, sum(r * r) AS s2 FROM v_four a JOIN v_four b ON a.mol_id = b.mol_id AND a.ord < b.ord, LATERAL (SELECT sqrt((a.ux - b.ux) ** 2 + (a.uy - b.uy) ** 2 + (a.uz - b.uz) ** 2) AS r) GROUP BY 1, 2)"
-
-
-def _moments(spark, d):
-    a = _four(spark, d).select("mol_id", "ord", "ux", "uy", "uz")
-    b = a.select("mol_id", F.col("ord").alias("j"), *[F.col(f"u{x}").alias(f"v{x}") for x in "xyz"])
-    r = F.sqrt(sum(((F.col(f"u{x}") - F.col(f"v{x}")) * (F.col(f"u{x}") - F.col(f"v{x}")) for x in "yz"), (F.col("ux") - F.col("vx")) * (F.col("ux") - F.col("vx"))))
-    return a.join(b, "mol_id").filter("ord < j").withColumn("r", r).groupBy(F.col("ord").alias("i"), "j").agg(F.count("*").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
-
-
-_SPREAD = "sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0))"
-
-
-@query("A35", FOUR, MOMENTS, select=f"SELECT i, j, n, round(s1, 3) AS s1, round(s2, 3) AS s2, n >= 2 AND {_SPREAD} < 0.25 AS constrained FROM v_mom")
-def a35(spark, d):
-    return _moments(spark, d).select("i", "j", "n", F.round("s1", 3).alias("s1"), F.round("s2", 3).alias("s2"), F.expr(f"n >= 2 AND {_SPREAD} < 0.25").alias("constrained"))
-
-
-@query("A36")
-def a36(spark, d):
-    """Groups of atoms held together by constrained pairs; the label is the least index."""
-    edges = _moments(spark, d).filter(f"n >= 2 AND {_SPREAD} < 0.3").select("i", "j")
-    found = connected_components(edges, "i", "j").withColumnRenamed("id", "ord")
-    return _four(spark, d).select("ord").distinct().join(found, "ord", "left").select("ord", F.coalesce("component", "ord").alias("group"))
-
-
-@query("A38", BONDS, select="SELECT CAST(frame_id // 3 AS BIGINT) AS base, key, round(sum(w * value) / sum(w), 6) AS value FROM v_bonds GROUP BY 1, 2")
+@query("A38", BONDS, copies_sql("v_copy", 2, 0.05, 7), select="""SELECT b.frame_id, b.key, round(sum(c.w * v) / sum(c.w), 6) AS value FROM v_bonds b JOIN (SELECT p.frame_id, p.atom_id AS i, q.atom_id AS j, p.copy, p.w * p.copy AS w, p.nx - q.nx AS v FROM v_copy p JOIN v_copy q ON p.frame_id = q.frame_id AND p.copy = q.copy AND q.atom_id = p.atom_id + 1) c
+ ON c.frame_id = b.frame_id AND c.i = b.atom_id1 AND c.j = b.atom_id2 GROUP BY 1, 2""")
 def a38(spark, d):
-    """Copies of a base frame folded with weights normalised within it."""
-    return stats.ensemble_average(_bonds(spark, d).withColumn("base", F.floor(F.col("frame_id") / 3)), ["base", "key"], "value").select("base", "key", F.round("average", 6).alias("value"))
+    """Copies of a base frame folded to one value: here of a difference of displacements, with copies weighing 1 and 2."""
+    atoms = A.atoms(spark, d)
+    moved = noisy_copies(atoms, 2, 0.05, 7).select("frame_id", "copy", "atom_id", "nx", (F.col("w") * F.col("copy")).alias("w"))
+    bonds = A.terms(atoms, "bond").select("frame_id", "key", F.col("a1").alias("atom_id"), "a2")
+    rows = bonds.join(moved, ["frame_id", "atom_id"]).join(moved.select("frame_id", "copy", F.col("atom_id").alias("a2"), F.col("nx").alias("mx")), ["frame_id", "copy", "a2"])
+    return stats.folded_copies(rows.withColumn("v", F.col("nx") - F.col("mx")), ["frame_id", "key"], "v").select("frame_id", "key", F.round("average", 6).alias("value"))
 
 
 @query("A39", BONDS, select="SELECT key, count(*) AS n, round(sum(w * value), 3) AS total, round(max(value), 6) AS largest, round(min(value), 6) AS least, count(DISTINCT frame_id) AS frames FROM v_bonds GROUP BY 1")
@@ -263,7 +235,7 @@ def a39(spark, d):
 
 @query("A40", SITES, select="SELECT n AS atoms_per_site, count(*) AS sites, count(DISTINCT mol_id) AS molecules FROM v_site GROUP BY 1")
 def a40(spark, d):
-    sites = A.atoms(spark, d).groupBy("mol_id", F.floor((F.col("ord") - 1) / 2.0).alias("site")).agg(F.count("*").alias("atoms_per_site"))
+    sites = A.atoms(spark, d).groupBy("frame_id", "mol_id", F.floor((F.col("ord") - 1) / 2.0).alias("site")).agg(F.count("*").alias("atoms_per_site"))
     return sites.groupBy("atoms_per_site").agg(F.count("*").alias("sites"), F.countDistinct("mol_id").alias("molecules"))
 
 
@@ -274,14 +246,6 @@ def f04(spark, d):
     return _inter(spark, d).withColumn("a", a).groupBy("key").agg((F.round(F.sum(4 * 0.5 * 0.25 * (1 / (F.col("a") * F.col("a")) - 1 / F.col("a"))), 2) + 0.0).alias("u"))
 
 
-@query("F09", BONDS, select="SELECT key, round(sum(0.3 * greatest(0, 1 - abs((value - 0.5) / 0.25 - 1)) + 0.7 * greatest(0, 1 - abs((value - 0.5) / 0.25 - 2)) - 0.2 * greatest(0, 1 - abs((value - 0.5) / 0.25 - 3))), 3) + 0.0 AS f FROM v_bonds GROUP BY 1")
-def f09(spark, d):
-    """Force as a spline of degree 1: hat functions in SQL."""
-    x = F.col("value")
-    force = 0.3 * P.hat(x, F.lit(1), 0.5, 0.25) + 0.7 * P.hat(x, F.lit(2), 0.5, 0.25) - 0.2 * P.hat(x, F.lit(3), 0.5, 0.25)
-    return _bonds(spark, d).groupBy("key").agg((F.round(F.sum(force), 3) + 0.0).alias("f"))
-
-
 @query("F11", BONDS, select="SELECT key, round(sum(CASE WHEN value < 1.0 THEN 5.0 * (value - 1.0) ** 2 WHEN value > 1.3 THEN 5.0 * (value - 1.3) ** 2 ELSE 0 END), 4) AS wall FROM v_bonds GROUP BY 1")
 def f11(spark, d):
     """Harmonic walls outside a bond's sampled range."""
@@ -304,26 +268,26 @@ def w05(spark, d):
     return t.select("key", "x", "f").union(tail).groupBy("key").agg(F.count("*").alias("n"), F.round(F.max("x"), 6).alias("x_end"), F.max_by("f", "x").alias("f_end"))
 
 
-@query("W06", select="SELECT mol_id, ord, type, min(ord) OVER (PARTITION BY mol_id, type) AS first_ord FROM v_atoms")
+@query("W06", select="SELECT frame_id, mol_id, ord, type, min(ord) OVER (PARTITION BY frame_id, mol_id, type) AS first_ord FROM v_atoms")
 def w06(spark, d):
     """Each row refers to the first occurrence of its value in order."""
-    return A.atoms(spark, d).select("mol_id", "ord", "type", F.min("ord").over(W.partitionBy("mol_id", "type")).alias("first_ord"))
+    return A.atoms(spark, d).select("frame_id", "mol_id", "ord", "type", F.min("ord").over(W.partitionBy("frame_id", "mol_id", "type")).alias("first_ord"))
 
 
-@query("W07", select="SELECT mol_id, ord, last_value(CASE WHEN type <> 'N' THEN ord END IGNORE NULLS) OVER (PARTITION BY mol_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS parent FROM v_atoms")
+@query("W07", select="SELECT frame_id, mol_id, ord, last_value(CASE WHEN type <> 'N' THEN ord END IGNORE NULLS) OVER (PARTITION BY frame_id, mol_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS parent FROM v_atoms")
 def w07(spark, d):
     """Light atoms (here type N) follow the nearest heavy atom before them."""
-    by = W.partitionBy("mol_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    return A.atoms(spark, d).select("mol_id", "ord", F.last(F.when(F.col("type") != "N", F.col("ord")), ignorenulls=True).over(by).alias("parent"))
+    by = W.partitionBy("frame_id", "mol_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    return A.atoms(spark, d).select("frame_id", "mol_id", "ord", F.last(F.when(F.col("type") != "N", F.col("ord")), ignorenulls=True).over(by).alias("parent"))
 
 
-@query("W08", select="SELECT mol_id, type, min(ord) AS first_ord, count(*) AS repeat FROM (SELECT *, sum(f) OVER (PARTITION BY mol_id ORDER BY ord) AS run FROM (SELECT *, CASE WHEN lag(type) OVER (PARTITION BY mol_id ORDER BY ord) = type THEN 0 ELSE 1 END AS f FROM v_atoms)) GROUP BY mol_id, run, type")
+@query("W08", select="SELECT frame_id, mol_id, type, min(ord) AS first_ord, count(*) AS repeat FROM (SELECT *, sum(f) OVER (PARTITION BY frame_id, mol_id ORDER BY ord) AS run FROM (SELECT *, CASE WHEN lag(type) OVER (PARTITION BY frame_id, mol_id ORDER BY ord) = type THEN 0 ELSE 1 END AS f FROM v_atoms)) GROUP BY frame_id, mol_id, run, type")
 def w08(spark, d):
     """Runs of one type merge to a group with a repeat count."""
-    by = W.partitionBy("mol_id").orderBy("ord")
+    by = W.partitionBy("frame_id", "mol_id").orderBy("ord")
     flag = F.when(F.lag("type").over(by) == F.col("type"), 0).otherwise(1)
-    runs = A.atoms(spark, d).select("mol_id", "ord", "type", flag.alias("f")).withColumn("run", F.sum("f").over(by))
-    return runs.groupBy("mol_id", "run", "type").agg(F.min("ord").alias("first_ord"), F.count("*").alias("repeat")).drop("run")
+    runs = A.atoms(spark, d).select("frame_id", "mol_id", "ord", "type", flag.alias("f")).withColumn("run", F.sum("f").over(by))
+    return runs.groupBy("frame_id", "mol_id", "run", "type").agg(F.min("ord").alias("first_ord"), F.count("*").alias("repeat")).drop("run")
 
 
 @query("W09", select="SELECT frame_id, mol_id, next_mol FROM (SELECT frame_id, mol_id, lead(mol_id) OVER (PARTITION BY frame_id ORDER BY mol_id) AS next_mol FROM (SELECT DISTINCT frame_id, mol_id FROM v_atoms)) WHERE next_mol IS NOT NULL")
@@ -333,16 +297,17 @@ def w09(spark, d):
     return mols.withColumn("next_mol", F.lead("mol_id").over(W.partitionBy("frame_id").orderBy("mol_id"))).filter("next_mol IS NOT NULL")
 
 
-@query("W10", select="SELECT mol_id, site, row_number() OVER (PARTITION BY frame_id ORDER BY mol_id, site) - 1 AS number FROM (SELECT DISTINCT frame_id, mol_id, CAST(floor((ord - 1) / 2.0) AS BIGINT) AS site FROM v_atoms)")
+@query("W10", select="SELECT frame_id, mol_id, site, row_number() OVER (PARTITION BY frame_id ORDER BY mol_id, site) - 1 AS number FROM (SELECT DISTINCT frame_id, mol_id, CAST(floor((ord - 1) / 2.0) AS BIGINT) AS site FROM v_atoms)")
 def w10(spark, d):
     sites = A.atoms(spark, d).select("frame_id", "mol_id", F.floor((F.col("ord") - 1) / 2.0).cast("long").alias("site")).distinct()
-    return sites.select("mol_id", "site", (F.row_number().over(W.partitionBy("frame_id").orderBy("mol_id", "site")) - 1).cast("long").alias("number"))
+    return sites.select("frame_id", "mol_id", "site", (F.row_number().over(W.partitionBy("frame_id").orderBy("mol_id", "site")) - 1).cast("long").alias("number"))
 
 
 def _noise(seed: int, sigma: float, *ids):
-    """Normal deviates as a function of ids alone, so they do not depend on partitioning."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *ids), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
-    return sigma * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
+    """Normal deviates as a function of ids alone, so they do not depend on partitioning; two numbers of 52 bits from one MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]))
+    u = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    return sigma * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(17))
 
 
 def noisy_copies(atoms, n: int, sigma: float, seed: int):
@@ -351,14 +316,15 @@ def noisy_copies(atoms, n: int, sigma: float, seed: int):
     return copies.withColumns({f"n{a}": _noise(seed + k, sigma, F.col("frame_id"), F.col("atom_id"), F.col("copy")) for k, a in enumerate("xyz")})
 
 
-@query("N01")
+@query("N01", copies_sql("v_copy", 2, 0.1, 3), select="SELECT frame_id, CAST(copy AS INTEGER) AS copy, round(avg(nx), 6) + 0.0 AS mean, round(stddev(nx), 6) AS spread FROM v_copy GROUP BY 1, 2")
 def n01(spark, d):
     c = noisy_copies(A.atoms(spark, d), 2, 0.1, 3)
-    return c.groupBy("frame_id", "copy").agg(F.round(F.avg("nx"), 6).alias("mean"), F.round(F.stddev("nx"), 6).alias("spread"))
+    return c.groupBy("frame_id", "copy").agg((F.round(F.avg("nx"), 6) + 0.0).alias("mean"), F.round(F.stddev("nx"), 6).alias("spread"))
 
 
-@query("N02")
+@query("N02", copies_sql("v_copy", 2, 0.1, 3), select="SELECT frame_id, atom_id, CAST(copy AS INTEGER) AS copy, round(0.5 * fx - 0.5 * nx / (1.68 * 0.01), 5) + 0.0 AS target FROM v_copy WHERE type <> 'R'")
 def n02(spark, d):
-    """Mixed targets: (1 - a) y - a delta / (beta sigma^2)."""
+    """Mixed targets (1 - a) y - a delta / (beta sigma^2) of the selected atoms of noisy copies."""
     c = noisy_copies(A.atoms(spark, d), 2, 0.1, 3)
-    return c.groupBy("frame_id").agg(F.round(F.avg(0.5 * F.col("fx") - 0.5 * F.col("nx") / (1.68 * 0.01)), 6).alias("target"))
+    target = 0.5 * F.col("fx") - 0.5 * F.col("nx") / (1.68 * 0.01)
+    return c.filter("type <> 'R'").select("frame_id", "atom_id", "copy", (F.round(target, 5) + 0.0).alias("target"))

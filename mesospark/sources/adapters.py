@@ -29,7 +29,6 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
 def _edges(df: DataFrame) -> DataFrame:
     frame = F.col("frame_id")
     lit = lambda base: F.lit(base) + (frame % 5).cast("double") * 0.5
@@ -43,7 +42,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell and weight are functions of the frame id, so no join is needed; the only shuffles are by molecule and by frame."""
+    """Cell and weight are functions of the frame id and atom ids leave 64 places to each molecule, so the only shuffle is by molecule."""
     step = (F.col("ord") - 1).cast("double")
     placed = _edges(_raw(spark, sf_dir)).withColumns({
         "ux": F.col("lx") * F.col("hx") + 0.9 * step + F.col("jit"),
@@ -51,14 +50,14 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "uz": F.col("lz") * F.col("hz") + 0.4 * ((F.col("ord") - 1) % 3).cast("double") + 0.25 * F.col("jit"),
     })
     wrapped = {u[1]: F.col(u) - F.col("l" + u[1]) * F.floor(F.col(u) / F.col("l" + u[1])) for u in ("ux", "uy", "uz")}
-    number = F.row_number().over(W.partitionBy("frame_id").orderBy("mol_id", "ord")) - 1
+    number = F.col("mol_id") % 250 * 64 + F.col("ord") - 1
     return placed.withColumns(wrapped).withColumn("atom_id", number.cast("long")).drop("hx", "hy", "hz", "jit")
 
 
 def terms(atom_table: DataFrame, style: str) -> DataFrame:
     """Bonds, angles or dihedrals of consecutive atoms of a molecule, with their canonical key."""
     n = {"bond": 2, "angle": 3, "dihedral": 4}[style]
-    by = W.partitionBy("mol_id").orderBy("ord")
+    by = W.partitionBy("frame_id", "mol_id").orderBy("ord")
     out = atom_table.select("frame_id", "mol_id", F.lit(style).alias("style"), *[F.lead(c, k).over(by).alias(f"{c[0]}{k + 1}") for k in range(n) for c in ("atom_id", "type")])
     out = out.filter(F.col(f"a{n}").isNotNull())
     return out.withColumn("key", canonical_key(style, *[F.col(f"t{k + 1}") for k in range(n)]))
@@ -79,6 +78,6 @@ v_frames AS (SELECT frame_id, 20.0::DOUBLE + CAST(frame_id % 5 AS DOUBLE) * 0.5
 v_un AS (SELECT r.*, f.lx, f.ly, f.lz, f.w, f.lx * r.hx + 0.9 * CAST(r.ord - 1 AS DOUBLE) + r.jit AS ux,
   f.ly * r.hy + 0.6 * CAST((r.ord - 1) % 2 AS DOUBLE) + 0.5 * r.jit AS uy, f.lz * r.hz + 0.4 * CAST((r.ord - 1) % 3 AS DOUBLE) + 0.25 * r.jit AS uz
   FROM v_raw r JOIN v_frames f ON r.frame_id = f.frame_id),
-v_atoms AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY mol_id, ord) - 1 AS BIGINT) AS atom_id,
+v_atoms AS (SELECT *, CAST(mol_id % 250 * 64 + ord - 1 AS BIGINT) AS atom_id,
   ux - lx * floor(ux / lx) AS x, uy - ly * floor(uy / ly) AS y, uz - lz * floor(uz / lz) AS z FROM v_un)
 """
