@@ -66,6 +66,78 @@ COSINE_SOFT = Potential(
 )
 
 
+def soft_lennard_jones(n: float = 2.0, alpha: float = 0.5) -> Potential:
+    """4 epsilon lambda^n (1/A^2 - 1/A) with A = alpha (1 - lambda)^2 + (r/sigma)^6: no pole at r = 0 for lambda < 1."""
+
+    def parts(r, sigma, lam):
+        a = alpha * (1 - lam) * (1 - lam) + F.pow(r / sigma, F.lit(6.0))
+        return 1 / (a * a) - 1 / a, 1 / (a * a) - 2 / (a * a * a)  # g and dg/dA
+
+    power = lambda lam, k: F.pow(lam if isinstance(lam, Column) else F.lit(float(lam)), F.lit(k))
+
+    def gradient(r, epsilon, sigma, lam):
+        g, slope = parts(r, sigma, lam)
+        six = 6 * F.pow(r / sigma, F.lit(6.0))
+        return {
+            "epsilon": 4 * power(lam, n) * g,
+            "sigma": -4 * epsilon * power(lam, n) * slope * six / sigma,
+            "lam": 4 * epsilon * (n * power(lam, n - 1) * g - 2 * alpha * (1 - lam) * power(lam, n) * slope),
+        }
+
+    return Potential(
+        ("epsilon", "sigma", "lam"),
+        lambda r, epsilon, sigma, lam: 4 * epsilon * power(lam, n) * parts(r, sigma, lam)[0],
+        lambda r, epsilon, sigma, lam: -4 * epsilon * power(lam, n) * parts(r, sigma, lam)[1] * 6 * F.pow(r / sigma, F.lit(6.0)) / r,
+        gradient,
+    )
+
+
+SOFT_LJ = soft_lennard_jones()
+
+
+def multi_gaussian_force(r: Column, components: Column, cutoff: Column | float, normalised: bool = True) -> Column:
+    """-dU/dr of ``multi_gaussian``."""
+    if normalised:
+        one = lambda c: c["a"] / (c["s"] * _ROOT) * F.exp(-(r - c["r0"]) * (r - c["r0"]) / (2 * c["s"] * c["s"])) * (r - c["r0"]) / (c["s"] * c["s"])
+    else:
+        one = lambda c: 2 * c["a"] * F.exp(-(r - c["r0"]) * (r - c["r0"]) / (c["s"] * c["s"])) * (r - c["r0"]) / (c["s"] * c["s"])
+    return F.when(r <= cutoff, F.aggregate(components, F.lit(0.0), lambda s, c: s + one(c))).otherwise(0.0)
+
+
+def with_boundary(base: Potential, x: Column, style: str, lower: float | None, upper: float | None, *, decay: float = 0.25, strength: float = 50.0, least_k: float = 1.0, **parameters) -> dict[str, Column]:
+    """``energy``, ``force`` and the gradients of a potential that goes on in a fixed way outside [lower, upper].
+
+    Pairs have an exponential core below; bonds a harmonic wall on either side;
+    angles one below, and are flat above. A wall is as stiff as the force is steep
+    at its end, at least ``least_k``. Gradients are zero outside.
+    """
+    at = lambda v: F.lit(float(v))
+    energy, force = base.energy(x, **parameters), base.force(x, **parameters)
+
+    def stiffness(end: float, inner: int):
+        eps = max(abs(end) * 1e-4, 1e-4)
+        slope = (base.force(at(end + inner * eps), **parameters) - base.force(at(end), **parameters)) / eps
+        return F.greatest(F.abs(slope), F.lit(least_k))
+
+    inside = F.lit(True)
+    if lower is not None and style in ("pair", "bond", "angle"):
+        below, start = x < lower, base.energy(at(lower), **parameters)
+        if style == "pair":
+            height = F.greatest(F.abs(base.force(at(lower), **parameters)), F.lit(strength))
+            grown = F.exp((lower - x) / decay)
+            out = start + height * decay * (grown - 1), height * grown
+        else:
+            k = stiffness(lower, 1)
+            out = start + 0.5 * k * (x - lower) * (x - lower), k * (lower - x)
+        energy, force, inside = F.when(below, out[0]).otherwise(energy), F.when(below, out[1]).otherwise(force), inside & ~below
+    if upper is not None and style in ("bond", "angle"):
+        above, start = x > upper, base.energy(at(upper), **parameters)
+        k = stiffness(upper, -1) if style == "bond" else F.lit(0.0)
+        energy = F.when(above, start + 0.5 * k * (x - upper) * (x - upper)).otherwise(energy)
+        force, inside = F.when(above, -k * (x - upper)).otherwise(force), inside & ~above
+    return {"energy": energy, "force": force} | {name: F.when(inside, g).otherwise(0.0) for name, g in base.gradient(x, **parameters).items()}
+
+
 def multi_gaussian(r: Column, components: Column, cutoff: Column | float, normalised: bool = True) -> Column:
     """Sum over an array of structs (a, r0, s); zero past the cutoff. Not normalised: a exp(-((r - r0)/s)^2)."""
     one = (lambda c: c["a"] / (c["s"] * _ROOT) * F.exp(-(r - c["r0"]) * (r - c["r0"]) / (2 * c["s"] * c["s"]))) if normalised else (lambda c: c["a"] * F.exp(-(r - c["r0"]) * (r - c["r0"]) / (c["s"] * c["s"])))

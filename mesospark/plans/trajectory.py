@@ -178,10 +178,12 @@ def j02(spark, d):
     return neighbors.routed(pairs, keys).groupBy("key").agg(F.count("r").alias("n"))
 
 
-@query("J03", PAIRS, BONDS, select="SELECT frame_id, count(*) AS n FROM v_pairs p WHERE NOT EXISTS (SELECT 1 FROM v_bonds b WHERE b.frame_id = p.frame_id AND b.atom_id1 = p.i AND b.atom_id2 = p.j) GROUP BY 1")
+@query("J03", PAIRS, select="SELECT frame_id, count(*) AS n FROM v_pairs WHERE NOT (mi = mj AND j - i <= 3) GROUP BY 1")
 def j03(spark, d):
+    """Pairs without those at the ends of bonds, angles and dihedrals."""
     atoms = A.atoms(spark, d)
-    return neighbors.exclude_bonded(neighbors.neighbor_pairs(atoms, CUTOFF), A.terms(atoms, "bond")).groupBy("frame_id").agg(F.count("*").alias("n"))
+    ends = [A.terms(atoms, style) for style in ("bond", "angle", "dihedral")]
+    return neighbors.exclude_bonded(neighbors.neighbor_pairs(atoms, CUTOFF), *ends).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 @query("J04", PAIRS, select="SELECT frame_id, key, count(*) AS n FROM v_inter GROUP BY 1, 2")
@@ -329,10 +331,19 @@ _potential_query("F08", P.COSINE_SOFT, {"a": 2.0, "rc": 3.0}, {
     "d_a": "CASE WHEN x < 3 THEN 1 + cos(pi() * x / 3) ELSE 0 END", "d_rc": "CASE WHEN x < 3 THEN 2 * pi() * x / 9 * sin(pi() * x / 3) ELSE 0 END"})
 
 
-@query("F06", PAIRS, select="SELECT key, round(sum(CASE WHEN r <= 3.5 THEN 0.8 / (0.5 * sqrt(2 * pi())) * exp(-((r - 1) ** 2) / 0.5) + 0.3 / (0.4 * sqrt(2 * pi())) * exp(-((r - 2.5) ** 2) / 0.32) ELSE 0 END), 3) AS u FROM v_inter GROUP BY 1")
+_TWO = "0.8 / (0.5 * sqrt(2 * pi())) * exp(-((r - 1) ** 2) / 0.5){0} + 0.3 / (0.4 * sqrt(2 * pi())) * exp(-((r - 2.5) ** 2) / 0.32){1}"
+_RAW = "0.8 * exp(-((r - 1) ** 2) / 0.25){0} + 0.3 * exp(-((r - 2.5) ** 2) / 0.16){1}"
+_WITHIN = "round(sum(CASE WHEN r <= 3.5 THEN {0} ELSE 0 END), 3) + 0.0 AS {1}"
+
+
+@query("F06", PAIRS, select="SELECT key, " + ", ".join(_WITHIN.format(body.format(*at), name) for body, at, name in (
+    (_TWO, ("", ""), "u"), (_TWO, (" * (r - 1) / 0.25", " * (r - 2.5) / 0.16"), "f"), (_RAW, ("", ""), "raw_u"), (_RAW, (" * 2 * (r - 1) / 0.25", " * 2 * (r - 2.5) / 0.16"), "raw_f"))) + " FROM v_inter GROUP BY 1")
 def f06(spark, d):
+    """Two Gaussians, normalised and not: energies and forces."""
     part = lambda a, r0, s: F.struct(F.lit(a).alias("a"), F.lit(r0).alias("r0"), F.lit(s).alias("s"))
-    return _inter(spark, d).groupBy("key").agg(F.round(F.sum(P.multi_gaussian(F.col("r"), F.array(part(0.8, 1.0, 0.5), part(0.3, 2.5, 0.4)), 3.5)), 3).alias("u"))
+    both, r = F.array(part(0.8, 1.0, 0.5), part(0.3, 2.5, 0.4)), F.col("r")
+    out = {"u": P.multi_gaussian(r, both, 3.5), "f": P.multi_gaussian_force(r, both, 3.5), "raw_u": P.multi_gaussian(r, both, 3.5, False), "raw_f": P.multi_gaussian_force(r, both, 3.5, False)}
+    return _inter(spark, d).groupBy("key").agg(*[(F.round(F.sum(v), 3) + 0.0).alias(k) for k, v in out.items()])
 
 
 @query("F12", BONDS, select="SELECT key, round(sum(greatest(0, least(1, 1 / (1 + exp(-(value - 1))) * 1.2 - 0.1))), 3) AS z, round(avg(1 / (1 + exp(-(value - 1 - 2.0 / 3 * ln(0.1 / 1.1))))), 5) AS p FROM v_bonds GROUP BY 1")

@@ -239,19 +239,31 @@ def a40(spark, d):
     return sites.groupBy("atoms_per_site").agg(F.count("*").alias("sites"), F.countDistinct("mol_id").alias("molecules"))
 
 
-@query("F04", PAIRS, select="SELECT key, round(sum(4 * 0.5 * 0.25 * (1 / (a * a) - 1 / a)), 2) + 0.0 AS u FROM (SELECT key, 0.5 * 0.25 + (r / 1.5) ** 6 AS a FROM v_inter) GROUP BY 1")
+@query("F04", PAIRS, select="""SELECT key, round(sum(4 * 0.5 * 0.25 * (1 / (a * a) - 1 / a)), 2) + 0.0 AS u, round(sum(-4 * 0.5 * 0.25 * (1 / (a * a) - 2 / (a * a * a)) * 6 * q / r), 2) + 0.0 AS f,
+ round(sum(4 * 0.5 * (2 * 0.5 * (1 / (a * a) - 1 / a) - 2 * 0.5 * 0.5 * 0.25 * (1 / (a * a) - 2 / (a * a * a)))), 2) + 0.0 AS d_lam FROM (SELECT key, r, (r / 1.5) ** 6 AS q, 0.5 * 0.25 + (r / 1.5) ** 6 AS a FROM v_inter) GROUP BY 1""")
 def f04(spark, d):
-    """Soft-core Lennard-Jones with lambda 0.5, n 2 and alpha 0.5."""
-    a = 0.5 * 0.25 + F.pow(F.col("r") / 1.5, F.lit(6.0))
-    return _inter(spark, d).withColumn("a", a).groupBy("key").agg((F.round(F.sum(4 * 0.5 * 0.25 * (1 / (F.col("a") * F.col("a")) - 1 / F.col("a"))), 2) + 0.0).alias("u"))
+    """Soft-core Lennard-Jones with lambda 0.5, n 2 and alpha 0.5: energy, force and one gradient."""
+    at = {"epsilon": F.lit(0.5), "sigma": F.lit(1.5), "lam": F.lit(0.5)}
+    r = F.col("r")
+    out = {"u": P.SOFT_LJ.energy(r, **at), "f": P.SOFT_LJ.force(r, **at), "d_lam": P.SOFT_LJ.gradient(r, **at)["lam"]}
+    return _inter(spark, d).groupBy("key").agg(*[(F.round(F.sum(v), 2) + 0.0).alias(k) for k, v in out.items()])
 
 
-@query("F11", BONDS, select="SELECT key, round(sum(CASE WHEN value < 1.0 THEN 5.0 * (value - 1.0) ** 2 WHEN value > 1.3 THEN 5.0 * (value - 1.3) ** 2 ELSE 0 END), 4) AS wall FROM v_bonds GROUP BY 1")
+_LJ_AT = lambda x: f"2 * ((1.5 / {x}) ** 12 - (1.5 / {x}) ** 6)"
+_LJ_FORCE_AT = lambda x: f"2 / {x} * (12 * (1.5 / {x}) ** 12 - 6 * (1.5 / {x}) ** 6)"
+
+
+@query("F11", PAIRS, BONDS, select=f"""SELECT key, round(sum(CASE WHEN value < 1.0 THEN 2.5 * 0.04 + 2.5 * (value - 1.0) ** 2 WHEN value > 1.3 THEN 2.5 * 0.01 + 2.5 * (value - 1.3) ** 2 ELSE 2.5 * (value - 1.2) ** 2 END), 3) AS u,
+ round(sum(CASE WHEN value < 1.0 THEN 5 * (1.0 - value) WHEN value > 1.3 THEN -5 * (value - 1.3) ELSE -5 * (value - 1.2) END), 3) + 0.0 AS f, round(sum(CASE WHEN value BETWEEN 1.0 AND 1.3 THEN (value - 1.2) ** 2 ELSE 0 END), 4) + 0.0 AS g FROM v_bonds GROUP BY 1
+ UNION ALL SELECT key, round(sum(CASE WHEN r < 1.6 THEN {_LJ_AT("1.6")} + 50 * 0.25 * (exp((1.6 - r) / 0.25) - 1) ELSE {_LJ_AT("r")} END), 1) + 0.0, round(sum(CASE WHEN r < 1.6 THEN 50 * exp((1.6 - r) / 0.25) ELSE {_LJ_FORCE_AT("r")} END), 1) + 0.0,
+ round(sum(CASE WHEN r < 1.6 THEN 0 ELSE ({_LJ_AT("r")}) / 0.5 END), 2) + 0.0 FROM v_inter GROUP BY 1""")
 def f11(spark, d):
-    """Harmonic walls outside a bond's sampled range."""
-    x = F.col("value")
-    wall = F.when(x < 1.0, 5.0 * (x - 1.0) * (x - 1.0)).when(x > 1.3, 5.0 * (x - 1.3) * (x - 1.3)).otherwise(0.0)
-    return _bonds(spark, d).groupBy("key").agg(F.round(F.sum(wall), 4).alias("wall"))
+    """Harmonic walls outside a bond's range, an exponential core below a pair's."""
+    bond = P.with_boundary(P.HARMONIC, F.col("value"), "bond", 1.0, 1.3, k=F.lit(2.5), r0=F.lit(1.2))
+    pair = P.with_boundary(P.LJ126, F.col("r"), "pair", 1.6, None, epsilon=F.lit(0.5), sigma=F.lit(1.5))
+    total = lambda c, digits, name: (F.round(F.sum(c), digits) + 0.0).alias(name)
+    bonds = _bonds(spark, d).groupBy("key").agg(total(bond["energy"], 3, "u"), total(bond["force"], 3, "f"), total(bond["k"], 4, "g"))
+    return bonds.union(_inter(spark, d).groupBy("key").agg(total(pair["energy"], 1, "u"), total(pair["force"], 1, "f"), total(pair["epsilon"], 2, "g")))
 
 
 @query("F15", select="SELECT frame_id, CAST(i AS INTEGER) AS i, round(i * lx / 10, 6) AS x FROM v_frames CROSS JOIN (SELECT unnest(range(11)) AS i)")

@@ -84,7 +84,7 @@ def test_density_has_unit_mass(spark):
     assert stats.density(stats.histogram(rows, 0.0, 1.0, 4), 0.0, 1.0, 4).agg(F.sum("density") * 0.25).first()[0] == pytest.approx(1)
 
 
-@pytest.mark.parametrize("potential, values", [(P.HARMONIC, (2.0, 1.1)), (P.LJ126, (0.5, 1.2)), (P.LJ96, (0.5, 1.2)), (P.GAUSSIAN, (0.8, 1.2, 0.3)), (P.DOUBLE_GAUSSIAN, (1.0, 0.5, -0.4, 0.2)), (P.COSINE_SOFT, (2.0, 3.0))])
+@pytest.mark.parametrize("potential, values", [(P.HARMONIC, (2.0, 1.1)), (P.LJ126, (0.5, 1.2)), (P.LJ96, (0.5, 1.2)), (P.GAUSSIAN, (0.8, 1.2, 0.3)), (P.DOUBLE_GAUSSIAN, (1.0, 0.5, -0.4, 0.2)), (P.COSINE_SOFT, (2.0, 3.0)), (P.SOFT_LJ, (0.5, 1.2, 0.6))])
 def test_derivatives_equal_finite_differences(spark, potential, values):
     one = spark.range(1)
     energy = lambda x, vs: potential.energy(F.lit(x), *[F.lit(v) for v in vs])
@@ -99,6 +99,20 @@ def test_derivatives_equal_finite_differences(spark, potential, values):
         assert row[f"{n}0"] == pytest.approx(row[f"{n}1"], rel=1e-5, abs=1e-7)
 
 
+@pytest.mark.parametrize("style", ["pair", "bond", "angle"])
+def test_boundaries_are_continuous_and_forces_are_slopes(spark, style):
+    h, places = 1e-6, [0.3, 0.7, 0.95, 1.0, 1.2, 1.6, 1.7, 2.4]
+    at = lambda x: P.with_boundary(P.HARMONIC, x, style, 0.8, 1.65, k=F.lit(3.0), r0=F.lit(1.1))
+    x = F.col("x")
+    rows = spark.createDataFrame([(v,) for v in places], "x double").select("x", at(x)["force"].alias("f"), ((at(x - h)["energy"] - at(x + h)["energy"]) / (2 * h)).alias("slope"), at(x)["k"].alias("g")).collect()
+    for r in rows:
+        assert r.f == pytest.approx(r.slope, rel=1e-4, abs=1e-4)
+        assert (r.g == 0) == (r.x < 0.8 or (style != "pair" and r.x > 1.65))
+    for end in (0.8, 1.65):
+        low, high = spark.range(1).select(at(F.lit(end - 1e-9))["energy"], at(F.lit(end + 1e-9))["energy"]).first()
+        assert low == pytest.approx(high, abs=1e-6)
+
+
 def test_harmonic_table_is_recovered(spark):
     rows = [("k", i, 0.5 + 0.1 * i, -2 * 3.0 * (0.5 + 0.1 * i - 1.23)) for i in range(16)]
     got = tables.harmonic_fit(spark.createDataFrame(rows, "key string, i int, x double, f double")).first()
