@@ -168,10 +168,12 @@ def _scored(asked: DataFrame, posted: DataFrame, k: int, kind: str) -> DataFrame
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int = 4, replica_ratio: float = 1.15, probes: int = 64, probe_ratio: float = 1.5, least_probes: int = 8, list_limit: int = 2000, graph: CentroidGraph | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int = 4, replica_ratio: float = 1.15, probes: int | None = None, probe_ratio: float = 1.5, least_probes: int = 8, list_limit: int = 2000, graph: CentroidGraph | None = None) -> DataFrame:
     """``query_id, rank int, vec_id, score double`` of the k nearest of ``vectors`` for each of ``queries`` (both ``id, v``, both cut).
 
-    A query that finds fewer than k in its lists is asked of all lists.
+    At most ``probes`` lists are read for a query, by default an eighth of them and
+    at least 64, so that recall holds as lists become many. A query that finds fewer
+    than k in its lists is asked of all lists.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)["id"]
@@ -179,6 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, replicas: int
     if graph is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     held = spark.sparkContext.broadcast(graph)
+    probes = probes or max(64, len(graph.centroids) // 8)
 
     def listed(lists_of):
         def run(frames):

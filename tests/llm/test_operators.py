@@ -204,6 +204,26 @@ def test_queries_find_five_neighbours_wherever_they_lie(spark):
     assert {r.vec_id for r in best[:2]} == {1, 2}
 
 
+@pytest.mark.parametrize("spread", [0.3, 3.0])
+def test_recall_with_hundreds_of_lists(spread):
+    """Against brute force, on clusters and on vectors that are hardly clustered."""
+    rng = np.random.RandomState(10)
+    x = ann.unit(rng.normal(size=(60, 24))[rng.randint(0, 60, 6000)] + spread * rng.normal(size=(6000, 24)))
+    f = x.astype(np.float32)
+    graph = ann.CentroidGraph.of(ann.balanced_centroids(f, 240))
+    members = [[] for _ in graph.centroids]
+    for a in range(0, len(f), 500):
+        for i, lists in enumerate(ann.posting_lists(f[a : a + 500], graph, 4, 1.15)):
+            for c in lists:
+                members[c].append(a + i)
+    hit = 0
+    for q, lists in zip(range(0, 6000, 50), ann.query_lists(f[::50], graph, 64, 1.5, 8), strict=True):
+        found = np.unique(np.concatenate([members[c] for c in lists]))
+        best = np.argsort(-(x @ x[q]), kind="stable")[:6]
+        hit += len(set(best[best != q][:5]) & set(found))
+    assert hit >= 0.9 * 5 * 120
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.RandomState(3)
     x = rng.normal(size=(400, 8))
