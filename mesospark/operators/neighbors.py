@@ -94,7 +94,7 @@ def routed(pairs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         "frame_id", "key", F.when(turned, F.col("j")).otherwise(F.col("i")).alias("a"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("b"),
         *[F.when(turned, -F.col(c)).otherwise(F.col(c)).alias(c) for c in ("dx", "dy", "dz")], "r", *[c for c in ("w", "mol_id_i", "mol_id_j") if c in pairs.columns],
     )
-    return out if keys is None else F.broadcast(keys).join(out, "key", "left")
+    return out if keys is None else keys.join(out, "key", "left")
 
 
 def neighbor_lists(pairs: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def radial_distribution(counts: DataFrame, atoms: DataFrame, frames: DataFrame,
     width = r_max / n
     lo, hi = F.col("bin") * width, (F.col("bin") + 1) * width
     shell = 4.0 / 3.0 * math.pi * (hi * hi * hi - lo * lo * lo)
-    full = filled(counts, expected, n).join(F.broadcast(expected), "key")
+    full = filled(counts, expected, n).join(expected, "key")
     return full.withColumn("g", F.coalesce(F.col("count") / F.nullif(F.col("rho") * shell, F.lit(0.0)), F.lit(0.0))).select("key", "bin", "count", "g")
 
 

@@ -39,7 +39,7 @@ def trimmed(tables: DataFrame, style: str) -> DataFrame:
     marks = tables.groupBy("key").agg(F.min(F.when(F.col("f") > 0, F.col("x"))).alias("lo"), F.max(F.when(F.col("f") < 0, F.col("x"))).alias("hi"))
     keep = F.col("x") >= F.coalesce("lo", F.lit(float("-inf")))
     keep = keep & (F.col("x") <= F.coalesce("hi", F.lit(float("inf")))) if style == "bond" else keep
-    return tables.join(F.broadcast(marks), "key").filter(keep).drop("lo", "hi")
+    return tables.join(marks, "key").filter(keep).drop("lo", "hi")
 
 
 def lookup(points: DataFrame, tables: DataFrame, lo: float, step: float) -> DataFrame:
@@ -50,7 +50,7 @@ def lookup(points: DataFrame, tables: DataFrame, lo: float, step: float) -> Data
     by = _by()
     grid = tables.withColumns({"x1": F.lead("x").over(by), "f1": F.lead("f").over(by), "v1": F.lead("v").over(by), "cell": (F.row_number().over(by) - 1).cast("long")}).filter("x1 IS NOT NULL")
     grid = grid.withColumn("last", F.max("cell").over(W.partitionBy("key")))
-    last = F.broadcast(grid.groupBy("key").agg(F.max("cell").alias("last")))
+    last = grid.groupBy("key").agg(F.max("cell").alias("last"))
     placed = points.join(last, "key").withColumn("cell", F.greatest(F.lit(0), F.least(F.col("last"), F.floor((F.col("x") - lo) / step))).cast("long")).drop("last")
     joined = placed.join(grid.withColumnRenamed("x", "x0").drop("last", "i"), ["key", "cell"])
     t = (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
@@ -64,7 +64,7 @@ def harmonic_fit(tables: DataFrame) -> DataFrame:
     """``key, r0, k``: equilibrium and max(-dF/dx / 2, 0) at the nearest inner grid point, else 1."""
     sloped = slopes(tables).withColumns({"p": F.lag("x").over(_by()), "n": F.lead("x").over(_by())}).filter("p IS NOT NULL AND n IS NOT NULL")
     e = equilibrium(tables)
-    near = sloped.join(F.broadcast(e), "key").groupBy("key").agg(F.min_by("slope", F.struct(F.abs(F.col("x") - F.col("x0")), "x")).alias("s"))
+    near = sloped.join(e, "key").groupBy("key").agg(F.min_by("slope", F.struct(F.abs(F.col("x") - F.col("x0")), "x")).alias("s"))
     return e.join(near, "key", "left").select("key", F.col("x0").alias("r0"), F.when(F.col("s").isNull(), 1.0).otherwise(F.greatest(-F.col("s") / 2, F.lit(0.0))).alias("k"))
 
 
