@@ -1,7 +1,7 @@
 """Arrow text columns as flat byte arrays, and hashes over them.
 
-Tasks work on the UTF-8 bytes of a whole record batch at once, in windows of
-bounded size, so a very long text costs time but no extra memory.
+Tasks work on the UTF-8 bytes of a record batch in slices of bounded size; a text
+that is longer than a slice stands alone.
 """
 
 import numpy as np
@@ -86,7 +86,3 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def part(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold of a row (null for a null id)."""
     return F.crc32(F.col(id_column).cast("string")) % modulus
-
-
-def broadcast_value(spark, value):
-    return spark.sparkContext.broadcast(value)
