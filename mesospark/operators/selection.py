@@ -73,6 +73,12 @@ def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(position).alias("first"))
 
 
+def first_occurrences(requests: DataFrame, value: str, position: str) -> DataFrame:
+    """requests with ``first``, where their value is asked for first, and ``produced``: later ones refer to it and are not made again."""
+    first = requests.groupBy(value).agg(F.min(position).alias("first"))
+    return requests.join(first, value).withColumn("produced", F.col(position) == F.col("first"))
+
+
 def missing(requested: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(present.select(key), key, "left_anti")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions import potentials as P
-from mesospark.operators import forces, neighbors, stats
+from mesospark.operators import forces, neighbors, selection, stats
 from mesospark.plans.lineage import ensure_checkpoint_dir
 from mesospark.plans.trajectory import BONDS, CUTOFF, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, hats, query
 from mesospark.sources import adapters as A
@@ -286,6 +286,13 @@ def w06(spark, d):
     return A.atoms(spark, d).select("frame_id", "mol_id", "ord", "type", F.min("ord").over(W.partitionBy("frame_id", "mol_id", "type")).alias("first_ord"))
 
 
+@query("W06_requests", select="SELECT position, wanted, min(position) OVER (PARTITION BY wanted) AS first, min(position) OVER (PARTITION BY wanted) = position AS produced FROM (SELECT mol_id AS position, any_value(frame_id * 50 + mol_id % 37) AS wanted FROM v_atoms GROUP BY 1)")
+def w06_requests(spark, d):
+    """A list of requests, one a molecule, many of which ask for the same: only the first of each is produced."""
+    requests = A.atoms(spark, d).select(F.col("mol_id").alias("position"), (F.col("frame_id") * 50 + F.col("mol_id") % 37).alias("wanted")).distinct()
+    return selection.first_occurrences(requests, "wanted", "position").select("position", "wanted", "first", "produced")
+
+
 @query("W07", select="SELECT frame_id, mol_id, ord, last_value(CASE WHEN type <> 'N' THEN ord END IGNORE NULLS) OVER (PARTITION BY frame_id, mol_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS parent FROM v_atoms")
 def w07(spark, d):
     """Light atoms (here type N) follow the nearest heavy atom before them."""
