@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mesospark.llm.blocks import utf8
+from mesospark.llm.blocks import WINDOW, utf8
 from mesospark.plans.lineage import cut
 
 _READ = "the text that is read"
@@ -207,8 +207,10 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _codes(raw: bytes, get) -> np.ndarray:
-    """The numbers of the words of a text, without a list of the words."""
-    return np.fromiter((get(m[0], 1) for m in WORD.finditer(raw.translate(_ASCII_LOWER))), np.int32)
+    """The numbers of the words of a text; a list of the words is made only of a text that is not very long."""
+    low = raw.translate(_ASCII_LOWER)
+    words = WORD.findall(low) if len(low) <= WINDOW else (m[0] for m in WORD.finditer(low))
+    return np.fromiter((get(w, 1) for w in words), np.int32)
 
 
 def _list_array(rows: np.ndarray, values, n: int) -> pa.Array:
