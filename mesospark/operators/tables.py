@@ -73,3 +73,11 @@ def compared(one: DataFrame, two: DataFrame) -> DataFrame:
     met = one.join(two.select("key", "i", F.col("f").alias("g"), F.col("v").alias("u")), ["key", "i"], "left")
     out = met.groupBy("key").agg(F.count("g").alias("n"), F.max(F.abs(F.col("g") - F.col("f"))).alias("df"), F.max(F.abs(F.col("u") - F.col("v"))).alias("dv"))
     return out.select("key", F.when(F.col("n") == 0, F.raise_error(F.concat(F.lit("tables have no point in common: "), "key"))).otherwise(F.col("df")).alias("df"), "dv")
+
+
+def with_tail(tables: DataFrame, points: int) -> DataFrame:
+    """``key, x, f``: tables with so many points after the last, at the median step and the last force."""
+    steps = tables.withColumn("dx", F.lead("x").over(_by()) - F.col("x")).groupBy("key")
+    ends = steps.agg(F.percentile("dx", F.lit(0.5)).alias("step"), F.max("x").alias("top"), F.max_by("f", "x").alias("f"))
+    tail = ends.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(points)))).select("key", (F.col("top") + F.col("step") * F.col("k")).alias("x"), "f")
+    return tables.select("key", "x", "f").union(tail)

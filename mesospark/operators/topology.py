@@ -139,3 +139,38 @@ def angles_through(bonds: DataFrame, links: DataFrame) -> DataFrame:
         side = marked.withColumnRenamed("linked", name)
         out = out.withColumns({"p": F.least(a, b), "q": F.greatest(a, b)}).join(side, ["frame_id", "p", "q"], "left").drop("p", "q")
     return out.filter("x = 1 OR y = 1").drop("x", "y")
+
+
+def _molecule():
+    return W.partitionBy("frame_id", "mol_id").orderBy("ord")
+
+
+def parents(atoms: DataFrame, heavy) -> DataFrame:
+    """Adds ``parent``: the nearest heavy atom of the molecule at or before each atom, by ``ord``; null before the first."""
+    before = _molecule().rowsBetween(W.unboundedPreceding, 0)
+    return atoms.withColumn("parent", F.last(F.when(heavy, F.col("ord")), ignorenulls=True).over(before))
+
+
+def runs(atoms: DataFrame, value: str) -> DataFrame:
+    """``frame_id, mol_id``, the value, ``first_ord, repeat``: neighbours in a molecule with one value as one group."""
+    starts = F.when(F.lag(value).over(_molecule()) == F.col(value), 0).otherwise(1)
+    numbered = atoms.select("frame_id", "mol_id", "ord", value, starts.alias("starts")).withColumn("run", F.sum("starts").over(_molecule()))
+    return numbered.groupBy("frame_id", "mol_id", "run", value).agg(F.min("ord").alias("first_ord"), F.count("*").alias("repeat")).drop("run")
+
+
+def next_residues(residues: DataFrame) -> DataFrame:
+    """``frame_id, mol_id, next_mol``: each residue and the next one of its frame."""
+    following = F.lead("mol_id").over(W.partitionBy("frame_id").orderBy("mol_id"))
+    return residues.withColumn("next_mol", following).filter("next_mol IS NOT NULL")
+
+
+def seeded_sites(atoms: DataFrame, distance: float) -> DataFrame:
+    """``frame_id, mol_id, n, ax, ay, az, vx, vy, vz``: a site for each molecule, off its first atom and away from its centre.
+
+    Where the two coincide the site lies along x.
+    """
+    places = [F.avg(f"u{x}").alias(f"c{x}") for x in "xyz"] + [F.min_by(f"u{x}", "ord").alias(f"a{x}") for x in "xyz"]
+    a = atoms.groupBy("frame_id", "mol_id").agg(F.count("*").alias("n"), *places)
+    size = F.sqrt(sum(((F.col(f"a{x}") - F.col(f"c{x}")) * (F.col(f"a{x}") - F.col(f"c{x}")) for x in "xyz"), F.lit(0.0)))
+    step = {x: F.coalesce(distance * (F.col(f"a{x}") - F.col(f"c{x}")) / F.nullif(size, F.lit(0.0)), F.lit(distance if x == "x" else 0.0)) for x in "xyz"}
+    return a.withColumns({f"v{x}": F.col(f"a{x}") + step[x] for x in "xyz"}).drop("cx", "cy", "cz")

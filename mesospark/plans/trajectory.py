@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mesospark.functions import imaging as im
 from mesospark.functions import keys as K
 from mesospark.functions import potentials as P
-from mesospark.operators import geometry, mapping, neighbors, selection, stats, tables, topology
+from mesospark.operators import geometry, gradients, mapping, neighbors, selection, stats, tables, topology
 from mesospark.sources import adapters as A
 
 CUTOFF, BINS = 4.0, 40
@@ -370,16 +370,12 @@ def a13(spark, d):
 HAT = "v_g AS (SELECT key, frame_id, w, p, sum(greatest(0, 1 - abs((value - 0.5) / 0.25 - p))) AS g FROM v_bonds CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS p) GROUP BY 1, 2, 3, 4)"
 
 
-def hats(terms):
-    """Terms with the two hat functions that each touches, as ``p`` and ``h``; only those rows are made."""
-    at = F.floor((F.col("value") - 0.5) / 0.25).cast("int")
-    rows = terms.withColumn("p", F.explode(F.sequence(at, at + 1))).filter(F.col("p").between(0, 7))
-    return rows.withColumn("h", P.hat(F.col("value"), F.col("p"), 0.5, 0.25))
+GRID = (0.5, 0.25, 8)
 
 
 def _gradients(spark, d):
     """dU/dc_p by frame and bond key for a hat-function potential."""
-    return hats(_bonds(spark, d).select("key", "frame_id", "w", "value")).groupBy("key", "frame_id", "w", "p").agg(F.sum("h").alias("g"))
+    return gradients.hat_gradients(_bonds(spark, d), *GRID)
 
 
 @query("A14", BONDS, HAT, select="SELECT key, frame_id, p, round(g, 4) AS g FROM v_g WHERE g > 0.00005")
@@ -389,9 +385,7 @@ def a14(spark, d):
 
 @query("A18", BONDS, HAT, select="SELECT a.key, a.p, b.p AS q, round(sum(a.w * a.g * b.g), 2) AS h FROM v_g a JOIN v_g b ON a.frame_id = b.frame_id AND a.key = b.key AND a.p <= b.p WHERE a.g > 0 AND b.g > 0 GROUP BY 1, 2, 3")
 def a18(spark, d):
-    g = _gradients(spark, d).filter("g > 0")
-    other = g.select("key", "frame_id", F.col("p").alias("q"), F.col("g").alias("h"))
-    return g.join(other, ["key", "frame_id"]).filter("p <= q").groupBy("key", "p", "q").agg(F.round(F.sum(F.col("w") * F.col("g") * F.col("h")), 2).alias("h"))
+    return gradients.outer_products(_gradients(spark, d)).select("key", "p", "q", F.round("h", 2).alias("h"))
 
 
 @query("A23", BONDS, select="SELECT key, round(sum(w * value) / sum(w), 6) AS average FROM v_bonds GROUP BY 1")
@@ -435,11 +429,10 @@ def a32(spark, d):
 @query("M03", BONDS, HAT, select="""SELECT key, p, round(sum(w * g) FILTER (frame_id % 2 = 0) / any_value(even) - sum(w * g) FILTER (frame_id % 2 = 1) / any_value(odd), 4) + 0.0 AS gradient
  FROM v_g JOIN (SELECT sum(w) FILTER (frame_id % 2 = 0) AS even, sum(w) FILTER (frame_id % 2 = 1) AS odd FROM v_frames) ON TRUE GROUP BY 1, 2 HAVING sum(g) > 0""")
 def m03(spark, d):
-    """Reference minus model average of each parameter's gradient; frames without a term of the key count with 0."""
-    total = A.frames(spark, d).agg(*[F.sum(F.when(F.col("frame_id") % 2 == k, F.col("w"))).alias(n) for k, n in enumerate(("even", "odd"))]).first()
-    mean = lambda k, w: F.coalesce(F.sum(F.when(F.col("frame_id") % 2 == k, F.col("w") * F.col("g"))), F.lit(0.0)) / w
-    g = _gradients(spark, d).groupBy("key", "p").agg(F.sum("g").alias("all"), (F.round(mean(0, total.even) - mean(1, total.odd), 4) + 0.0).alias("gradient"))
-    return g.filter("all > 0").drop("all")
+    """Reference (even frames) minus model (odd frames) average of each parameter's gradient."""
+    even = F.col("frame_id") % 2 == 0
+    out = gradients.relative_entropy_gradient(_gradients(spark, d), A.frames(spark, d), even, ~even)
+    return out.select("key", "p", (F.round("gradient", 4) + 0.0).alias("gradient"))
 
 
 @query("G01", _terms_sql(3), select="SELECT frame_id, least(atom_id1, atom_id3) AS i, atom_id2 AS j, greatest(atom_id1, atom_id3) AS k FROM v_t")

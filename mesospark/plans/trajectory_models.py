@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions import splines as S
-from mesospark.operators import conditional, extensions, force_maps, forces, tables, topology
+from mesospark.operators import conditional, extensions, force_maps, forces, gradients, tables, topology
 from mesospark.plans.lineage import cut
 from mesospark.plans.trajectory import BONDS, CUTOFF, DIHEDRALS, HAT, PAIRS, TABLE, W01_SQL, _bonds, _gradients, _inter, _table, query
 from mesospark.plans.trajectory_more import JAC, _jacobian, _scratch, noisy_copies
@@ -317,14 +317,9 @@ def m06(spark, d):
  JOIN (SELECT sum(w) AS sw FROM v_frames WHERE frame_id % 2 = 1) n ON TRUE JOIN (SELECT key, p, sum(w * g) / (SELECT sum(w) FROM v_frames WHERE frame_id % 2 = 1) AS m FROM v_g WHERE frame_id % 2 = 1 GROUP BY 1, 2) m1 ON m1.key = a.key AND m1.p = a.p
  JOIN (SELECT key, p, sum(w * g) / (SELECT sum(w) FROM v_frames WHERE frame_id % 2 = 1) AS m FROM v_g WHERE frame_id % 2 = 1 GROUP BY 1, 2) m2 ON m2.key = b.key AND m2.p = b.p WHERE a.frame_id % 2 = 1 AND a.g > 0 AND b.g > 0 GROUP BY 1, 2, 3""")
 def m03_hessian(spark, d):
-    """Of a linear family: beta squared times the covariance of the gradients in the model's frames (the odd ones)."""
-    g = cut(_gradients(spark, d).filter("g > 0 AND frame_id % 2 = 1"))
-    weight = A.frames(spark, d).filter("frame_id % 2 = 1").agg(F.sum("w")).first()[0]
-    mean = g.groupBy("key", "p").agg((F.sum(F.col("w") * F.col("g")) / weight).alias("m"))
-    other = g.select("frame_id", "key", F.col("p").alias("q"), F.col("g").alias("g2"))
-    both = g.join(other, ["frame_id", "key"]).filter("p <= q").groupBy("key", "p", "q").agg((F.sum(F.col("w") * F.col("g") * F.col("g2")) / weight).alias("m2"))
-    met = both.join(mean, ["key", "p"]).join(mean.select("key", F.col("p").alias("q"), F.col("m").alias("n")), ["key", "q"])
-    return met.select("key", "p", "q", (F.round(BETA * BETA * (F.col("m2") - F.col("m") * F.col("n")), 3) + 0.0).alias("h"))
+    """Of a linear family, in the model's frames (the odd ones)."""
+    out = gradients.linear_hessian(cut(_gradients(spark, d)), A.frames(spark, d), F.col("frame_id") % 2 == 1, BETA)
+    return out.select("key", "p", "q", (F.round("h", 3) + 0.0).alias("h"))
 
 
 @query("N03")

@@ -4,9 +4,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions import potentials as P
-from mesospark.operators import forces, neighbors, selection, stats
+from mesospark.operators import forces, gradients, neighbors, selection, stats, tables, topology
 from mesospark.plans.lineage import ensure_checkpoint_dir
-from mesospark.plans.trajectory import BONDS, CUTOFF, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, hats, query
+from mesospark.plans.trajectory import BONDS, CUTOFF, GRID, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, query
 from mesospark.sources import adapters as A
 from mesospark.sources import dump
 
@@ -140,9 +140,8 @@ def a10(spark, d):
 @query("A16", BONDS, HAT, HAT.replace("FROM v_bonds", "FROM (SELECT * FROM v_bonds WHERE value BETWEEN 1.0 AND 1.4)").replace("v_g", "v_m"), select="SELECT g.key, g.p, round(sum(g.w * g.g), 3) AS free, round(coalesce(any_value(m.s), 0), 3) AS masked FROM v_g g LEFT JOIN (SELECT key, p, sum(w * g) AS s FROM v_m GROUP BY 1, 2) m ON m.p = g.p AND m.key = g.key WHERE g.g > 0 GROUP BY 1, 2")
 def a16(spark, d):
     """Masked and unmasked gradients from one pass over the terms."""
-    made = hats(_bonds(spark, d)).filter("h > 0")
-    g = F.col("w") * F.col("h")
-    return made.groupBy("key", "p").agg(F.round(F.sum(g), 3).alias("free"), F.round(F.coalesce(F.sum(F.when(F.col("value").between(1.0, 1.4), g)), F.lit(0.0)), 3).alias("masked"))
+    out = gradients.masked_pair(_bonds(spark, d), F.col("value").between(1.0, 1.4), *GRID)
+    return out.select("key", "p", F.round("free", 3).alias("free"), F.round("masked", 3).alias("masked"))
 
 
 FORCE = """v_pf AS (SELECT frame_id, i, j, 2.0 * (1.0 - r / 4.0) / r * dx AS px, 2.0 * (1.0 - r / 4.0) / r * dy AS py, 2.0 * (1.0 - r / 4.0) / r * dz AS pz FROM v_inter WHERE r > 0.05),
@@ -274,10 +273,8 @@ def f15(spark, d):
 @query("W05", BONDS, TABLE, select="SELECT key, count(*) + 5 AS n, round(max(x) + 5 * 0.05, 6) AS x_end, max_by(f, x) AS f_end FROM v_tab GROUP BY 1")
 def w05(spark, d):
     """Grid extended by five steps of the median size at the end force."""
-    t = _table(spark, d)
-    step = t.withColumn("dx", F.lead("x").over(W.partitionBy("key").orderBy("x")) - F.col("x")).groupBy("key").agg(F.percentile("dx", F.lit(0.5)).alias("step"), F.max("x").alias("top"), F.max_by("f", "x").alias("f"))
-    tail = step.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("key", (F.col("top") + F.col("step") * F.col("k")).alias("x"), "f")
-    return t.select("key", "x", "f").union(tail).groupBy("key").agg(F.count("*").alias("n"), F.round(F.max("x"), 6).alias("x_end"), F.max_by("f", "x").alias("f_end"))
+    longer = tables.with_tail(_table(spark, d), 5)
+    return longer.groupBy("key").agg(F.count("*").alias("n"), F.round(F.max("x"), 6).alias("x_end"), F.max_by("f", "x").alias("f_end"))
 
 
 @query("W06", select="SELECT frame_id, mol_id, ord, type, min(ord) OVER (PARTITION BY frame_id, mol_id, type) AS first_ord FROM v_atoms")
@@ -296,24 +293,19 @@ def w06_requests(spark, d):
 @query("W07", select="SELECT frame_id, mol_id, ord, last_value(CASE WHEN type <> 'N' THEN ord END IGNORE NULLS) OVER (PARTITION BY frame_id, mol_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS parent FROM v_atoms")
 def w07(spark, d):
     """Light atoms (here type N) follow the nearest heavy atom before them."""
-    by = W.partitionBy("frame_id", "mol_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    return A.atoms(spark, d).select("frame_id", "mol_id", "ord", F.last(F.when(F.col("type") != "N", F.col("ord")), ignorenulls=True).over(by).alias("parent"))
+    return topology.parents(A.atoms(spark, d), F.col("type") != "N").select("frame_id", "mol_id", "ord", "parent")
 
 
 @query("W08", select="SELECT frame_id, mol_id, type, min(ord) AS first_ord, count(*) AS repeat FROM (SELECT *, sum(f) OVER (PARTITION BY frame_id, mol_id ORDER BY ord) AS run FROM (SELECT *, CASE WHEN lag(type) OVER (PARTITION BY frame_id, mol_id ORDER BY ord) = type THEN 0 ELSE 1 END AS f FROM v_atoms)) GROUP BY frame_id, mol_id, run, type")
 def w08(spark, d):
     """Runs of one type merge to a group with a repeat count."""
-    by = W.partitionBy("frame_id", "mol_id").orderBy("ord")
-    flag = F.when(F.lag("type").over(by) == F.col("type"), 0).otherwise(1)
-    runs = A.atoms(spark, d).select("frame_id", "mol_id", "ord", "type", flag.alias("f")).withColumn("run", F.sum("f").over(by))
-    return runs.groupBy("frame_id", "mol_id", "run", "type").agg(F.min("ord").alias("first_ord"), F.count("*").alias("repeat")).drop("run")
+    return topology.runs(A.atoms(spark, d), "type").select("frame_id", "mol_id", "type", "first_ord", "repeat")
 
 
 @query("W09", select="SELECT frame_id, mol_id, next_mol FROM (SELECT frame_id, mol_id, lead(mol_id) OVER (PARTITION BY frame_id ORDER BY mol_id) AS next_mol FROM (SELECT DISTINCT frame_id, mol_id FROM v_atoms)) WHERE next_mol IS NOT NULL")
 def w09(spark, d):
     """Links from each residue to the next."""
-    mols = A.atoms(spark, d).select("frame_id", "mol_id").distinct()
-    return mols.withColumn("next_mol", F.lead("mol_id").over(W.partitionBy("frame_id").orderBy("mol_id"))).filter("next_mol IS NOT NULL")
+    return topology.next_residues(A.atoms(spark, d).select("frame_id", "mol_id").distinct())
 
 
 @query("W10", select="SELECT frame_id, mol_id, site, row_number() OVER (PARTITION BY frame_id ORDER BY mol_id, site) - 1 AS number FROM (SELECT DISTINCT frame_id, mol_id, CAST(floor((ord - 1) / 2.0) AS BIGINT) AS site FROM v_atoms)")
