@@ -458,8 +458,7 @@ TABLE = "v_tab AS (SELECT key, CAST(b AS INTEGER) AS i, 0.9 + 0.05 * b AS x, rou
 
 
 def _table(spark, d):
-    binned = _bonds(spark, d).withColumn("i", stats.bin_of(F.col("value"), 0.9, 0.9 + 12 * 0.05, 12)).filter("value BETWEEN 0.9 AND 1.5")
-    binned = binned.withColumn("i", F.least(F.floor((F.col("value") - 0.9) / 0.05), F.lit(11)).cast("int"))
+    binned = _bonds(spark, d).filter("value BETWEEN 0.9 AND 1.5").withColumn("i", F.least(F.floor((F.col("value") - 0.9) / 0.05), F.lit(11)).cast("int"))
     return binned.groupBy("key", "i").agg(F.round(F.avg(-(F.col("value") - 1.2)), 6).alias("f")).withColumn("x", 0.9 + 0.05 * F.col("i"))
 
 
