@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from mesospark.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, pii, quality, toxicity
+from mesospark.llm import align, ann, decontaminate, fingerprints, interactions, langid, licenses, linededup, mixing, neardup, pii, quality, toxicity
 from mesospark.llm.blocks import part
 from mesospark.plans.lineage import cut
 
 #: Stands in where the session names no ``mesospark.pii.key``, as in tests.
 KEY = "mesospark surrogate key"
+#: Folder of the public tokenizers where the session names no ``mesospark.tokenizers``.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark, sf_dir, name):
@@ -80,11 +82,26 @@ def op10_pii(spark, sf_dir):
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), key).select("doc_id", "n_entities", "text")
 
 
-OPERATORS = {f.__name__: f for f in (op1_quality, op2_language, op3_toxicity, op4_decontaminate, op5_mix, op6_nearest, op7_lines, op8_licenses, op9_near_duplicates, op10_pii)}
+def op11_align(spark, sf_dir):
+    folder = spark.conf.get("mesospark.tokenizers", TOKENIZERS)
+    return align.pair_statistics(_table(spark, sf_dir, "documents"), f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model")
+
+
+def op12_interactions(spark, sf_dir):
+    return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_fingerprints(spark, sf_dir):
+    found = fingerprints.compare_versions(_table(spark, sf_dir, "documents"))
+    written = [fingerprints.as_text(F.col(c)).alias(name) for c, name in (("cells", "fingerprint"), ("edited_cells", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", *written, "near_edited", "near_next")
+
+
+OPERATORS = {f.__name__: f for f in (op1_quality, op2_language, op3_toxicity, op4_decontaminate, op5_mix, op6_nearest, op7_lines, op8_licenses, op9_near_duplicates, op10_pii, op11_align, op12_interactions, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op7_lines": linededup.ORACLE.format(documents="documents") + " SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, CASE WHEN p.cut THEN p.g ELSE 0 END AS n_removed, md5(CASE WHEN p.cut THEN coalesce(p.kept, '') ELSE d.text END) AS text_md5 FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id"}
+    return {"op4_decontaminate": OP4_SQL, "op12_interactions": interactions.ORACLE, "op7_lines": linededup.ORACLE.format(documents="documents") + " SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, CASE WHEN p.cut THEN p.g ELSE 0 END AS n_removed, md5(CASE WHEN p.cut THEN coalesce(p.kept, '') ELSE d.text END) AS text_md5 FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id"}
 
 
 OP4_SQL = r"""
