@@ -10,17 +10,16 @@ termination). Two registers agree with the probability Jaccard similarity.
 Bands of registers give candidate buckets, and candidates are verified on the
 exact Jaccard similarity of their shingle sets.
 
-Texts with the same words are one node before banding. In a bucket every node
-is compared with one pivot first; only nodes of one bucket that are still in
-different components are joined further, and only where the shingles that they
-share with any node at all leave room for the threshold, and whose registers
-agree to within seven standard deviations of it. So no bucket is expanded into
-all pairs, and every candidate pair is compared, connected already, or too far
-apart by count or sketch.
+Texts with the same words are one node before banding, and an id with several
+texts is as many nodes. In a bucket every node is compared with one pivot first;
+only nodes of one bucket that are still in different components are joined
+further, and only where the shingles that they share with any node at all leave
+room for the threshold. So no bucket is expanded into all pairs, and every
+candidate pair is compared, connected already, or too far apart by count.
 
 Defined cases: null, empty and wordless texts and null ids are never duplicates
 of anything; texts of under five words are one shingle; repeated rows of one id
-are one document; other columns are ignored; an empty table gives an empty one.
+are one document, and an id with several texts ties their classes together; other columns are ignored; an empty table gives an empty one.
 """
 
 import numpy as np
@@ -34,7 +33,6 @@ from mesospark.plans.lineage import cut
 
 SHINGLE = 5
 CHUNK = 1 << 21
-DEVIATIONS = 7  # of the share of registers that agree, below the threshold, at which a pair of one bucket is left out: about 1e-12 of those at the threshold
 SMALL = 256  # sets of so many shingles are compared within the join, larger ones after it
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -93,63 +91,43 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def nibbles(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each register, sixteen registers to a word; the last word is filled with equal bits."""
-    n, registers = signature.shape
-    words_ = -(-registers // 16)
-    low = np.zeros((n, words_ * 16), np.uint64)
-    low[:, :registers] = mix64(signature) & np.uint64(15)
-    return (low.reshape(n, words_, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
-
-
-def _agreeing(a: str, b: str, registers: int):
-    """How many registers have equal bits, from two arrays of words."""
-    words_ = -(-registers // 16)
-    differing = []
-    for k in range(words_):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        x = x.bitwiseOR(F.shiftright(x, 2))
-        differing.append(F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x1111111111111111))))
-    return F.lit(registers) - sum(differing[1:], differing[0])
-
-
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def signatures(documents: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``doc_id, k1, k2, bands array<long>, bits array<long>``: two hashes of the words, the band keys and four bits of each register (none without words)."""
+def _shingled(documents: DataFrame, outputs, fields: str) -> DataFrame:
+    """``k1, k2``, two hashes of a text's words, and what ``outputs`` makes of the row numbers, shingles and size of a slice; ``doc_id`` before them."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in row_slices(offsets, CHUNK):
                 row, s, _, k1, k2 = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                signature = prob_min_hash(row, s, np.ones(len(s)), b - a, bands * rows)
-                has = np.isin(np.arange(b - a), row)
-                keys, bits = band_keys(signature[has], bands), nibbles(signature[has])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(keys.ravel(), has * bands), _lists(bits.ravel(), has * bits.shape[1])],
-                    names=["doc_id", "k1", "k2", "bands", "bits"],
-                )
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), outputs(row, s, b - a)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", fields.split()[0]])
 
-    source = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, k1 long, k2 long, bands array<long>, bits array<long>")
+    source = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, k1 long, k2 long, {fields}")
 
 
-def shingle_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node, shingles array<long>`` of the documents named by the ``node`` column of ids."""
+def signatures(documents: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``doc_id, k1, k2, bands array<long>``: two hashes of the words and the band keys (none without words)."""
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in row_slices(offsets, CHUNK):
-                row, s, *_ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), _lists(s, np.bincount(row, minlength=b - a))], names=["node", "shingles"])
+    def keys(row, s, n):
+        signature = prob_min_hash(row, s, np.ones(len(s)), n, bands * rows)
+        has = np.isin(np.arange(n), row)
+        return _lists(band_keys(signature[has], bands).ravel(), has * bands)
+
+    return _shingled(documents.filter(F.col("doc_id").isNotNull()), keys, "bands array<long>")
 
-    wanted = documents.select(F.col("doc_id").alias("node"), "text").join(ids.select("node"), "node", "left_semi")
-    sets = wanted.mapInArrow(run, f"node {dict(wanted.dtypes)['node']}, shingles array<long>")
-    return sets.groupBy("node").agg(F.max("shingles").alias("shingles"))
+
+def shingle_sets(documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, shingles array<long>`` of the texts ``node, least, k1, k2``, each of which is found among the rows of the id ``least``."""
+    wanted = documents.join(texts.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = _shingled(wanted, lambda row, s, n: _lists(s, np.bincount(row, minlength=n)), "shingles array<long>")
+    # an id may have other texts, and the same text in several rows
+    once = sets.groupBy("k1", "k2").agg(F.first("shingles").alias("shingles"))
+    return once.join(texts.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -176,39 +154,48 @@ def _shared(sets: DataFrame, threshold: float) -> DataFrame:
     return counted.filter(F.col("shared") >= threshold * F.col("total")).select("node", "total", "shared", "few")
 
 
-def _apart(placed: DataFrame, tested: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """``a, b``: pairs of one bucket in different components that counts, registers and small sets leave possible."""
-    one, two = (placed.select("key", *(F.col(c).alias(c[0] + x) for c in ("node", "component", "total", "shared", "bits", "few"))) for x in "ab")
+def _apart(placed: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: pairs of one bucket in different components that counts and small sets leave possible."""
+    one, two = (placed.select("key", *(F.col(c).alias(c[0] + x) for c in ("node", "component", "total", "shared", "few"))) for x in "ab")
     least, common = F.least("sa", "sb"), F.size(F.array_intersect("fa", "fb"))
-    floor = registers * (threshold - DEVIATIONS * (threshold * (1 - threshold) / registers) ** 0.5)
     pairs = one.join(
         two,
         (one.key == two.key) & (F.col("na") > F.col("nb")) & (F.col("ca") != F.col("cb"))
-        & (least >= threshold * (F.col("ta") + F.col("tb") - least)) & (_agreeing("ba", "bb", registers) >= floor)
-        & (F.coalesce(common >= threshold * (F.col("ta") + F.col("tb") - common), F.lit(True))),
+        & (least >= threshold * (F.col("ta") + F.col("tb") - least)) & (F.coalesce(common >= threshold * (F.col("ta") + F.col("tb") - common), F.lit(True))),
     )
     return pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def _node_components(texts: DataFrame, documents: DataFrame, threshold: float, registers: int) -> DataFrame:
+def _node_components(texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
     """``node, component`` of the texts that have a near duplicate."""
     keys = texts.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     members = cut(keys.join(buckets.drop("n"), "key"))
-    sets = cut(shingle_sets(documents, members.select("node").distinct()))
+    sets = cut(shingle_sets(documents, texts.drop("bands").join(members.select("node").distinct(), "node", "left_semi")))
     tested = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     found = connected_components(cut(verified(tested, sets, threshold)), "a", "b").withColumnRenamed("id", "node")
     placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     placed = cut(placed.join(split, "key"))
-    shared = _shared(sets.join(placed.select("node").distinct(), "node", "left_semi"), threshold).join(texts.select("node", "bits"), "node")
-    more = cut(verified(cut(_apart(cut(placed.join(shared, "node")), tested, threshold, registers)), sets, threshold))
+    shared = _shared(sets.join(placed.select("node").distinct(), "node", "left_semi"), threshold)
+    more = cut(verified(cut(_apart(cut(placed.join(shared, "node")), tested, threshold)), sets, threshold))
     if more.isEmpty():
         return found
     stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return connected_components(stars.union(more), "a", "b").withColumnRenamed("id", "node")
 
 
+def _classes(texts: DataFrame, component: DataFrame, salts: int = 16) -> DataFrame:
+    """``k1, k2, class_id``: the least id of each text's component, which each of its nodes meets by one of a few salts."""
+    placed = texts.select("k1", "k2", "node", "least").join(component, "node", "left")
+    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("class_id"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # a text without a component is its own class, and needs no salt of a null key
+    alone = placed.filter("component IS NULL").select("k1", "k2", F.col("least").alias("class_id"))
+    met = placed.filter("component IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    return met.join(salted, ["component", "salt"]).select("k1", "k2", "class_id").union(alone)
+
+
 def near_duplicate_classes(documents: DataFrame, *, threshold: float = 0.8, bands: int = 36, rows: int = 6) -> DataFrame:
     """``doc_id, class_id``: one row for each row of documents with a non-null id; class_id is the least id of its class.
 
@@ -216,9 +203,9 @@ def near_duplicate_classes(documents: DataFrame, *, threshold: float = 0.8, band
     """
     signed = cut(signatures(documents, bands, rows))
     worded = signed.filter(F.size("bands") > 0)
-    texts = cut(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
-    component = _node_components(texts, documents, threshold, bands * rows)
-    classes = texts.select("k1", "k2", "node").join(component, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
+    each = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    texts = cut(each.withColumn("node", F.monotonically_increasing_id()))  # numbers that stay, as the table is cut
+    classes = _classes(texts, _node_components(texts, documents, threshold))
     found = worded.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
     found = cut(found.union(signed.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"))))
     # one id with several texts is one document, and ties their classes together

@@ -229,3 +229,22 @@ def test_fingerprint_query_equals_brute_force(spark):
         assert r.near_edited == pytest.approx(_like(_set(text), _set(edited))) and r.near_next == pytest.approx(_like(_set(text), _set(following)))
         assert written.setdefault(frozenset(_set(text)), r.fingerprint) == r.fingerprint and written.setdefault(frozenset(_set(edited)), r.edited_fingerprint) == r.edited_fingerprint
     assert len(set(written.values())) == len(written)
+
+
+# --- near-duplicates of ids with several texts ---
+
+
+def test_near_duplicates_lose_no_link_of_an_id_with_several_texts(spark):
+    from mesospark.llm import neardup
+
+    rng, rows = np.random.RandomState(5), []
+    text = lambda: [f"w{rng.randint(10**6)}" for _ in range(80)]
+    change = lambda t: " ".join([*t[:40], "changed", *t[41:]])
+    for i in range(40):
+        x, y = text(), text()
+        rows += [(3 * i, " ".join(x)), (3 * i, " ".join(y)), (3 * i + 1, change(x)), (3 * i + 2, change(y))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicate_classes(docs).collect()
+    assert len(got) == 160 and {(r.doc_id, r.class_id) for r in got} == {(3 * i + k, 3 * i) for i in range(40) for k in range(3)}
+    named = docs.selectExpr("concat('d', lpad(doc_id, 4, '0')) AS doc_id", "text")
+    assert {(r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(named).collect()} == {(f"d{3 * i + k:04}", f"d{3 * i:04}") for i in range(40) for k in range(3)}
