@@ -20,6 +20,7 @@ class Potential:
     energy: Callable[..., Column]
     force: Callable[..., Column]
     gradient: Callable[..., dict[str, Column]]
+    hessian: Callable[..., dict[tuple[str, str], Column]] | None = None  # second derivatives that are not zero; None of a family linear in all parameters
 
 
 def _lennard_jones(m: int) -> Potential:
@@ -34,6 +35,10 @@ def _lennard_jones(m: int) -> Potential:
             "epsilon": 4 * (power(q(r, sigma), m) - power(q(r, sigma), 6)),
             "sigma": 4 * epsilon / sigma * (m * power(q(r, sigma), m) - 6 * power(q(r, sigma), 6)),
         },
+        lambda r, epsilon, sigma: {
+            ("epsilon", "sigma"): 4 / sigma * (m * power(q(r, sigma), m) - 6 * power(q(r, sigma), 6)),
+            ("sigma", "sigma"): 4 * epsilon / (sigma * sigma) * (m * (m - 1) * power(q(r, sigma), m) - 30 * power(q(r, sigma), 6)),
+        },
     )
 
 
@@ -42,6 +47,7 @@ HARMONIC = Potential(
     lambda x, k, r0: k * (x - r0) * (x - r0),
     lambda x, k, r0: -2 * k * (x - r0),
     lambda x, k, r0: {"k": (x - r0) * (x - r0), "r0": -2 * k * (x - r0)},
+    lambda x, k, r0: {("k", "r0"): -2 * (x - r0), ("r0", "r0"): 2 * k + 0 * x},
 )
 LJ126, LJ96 = _lennard_jones(12), _lennard_jones(9)
 
@@ -51,18 +57,30 @@ GAUSSIAN = Potential(
     lambda r, a, r0, s: a / (s * _ROOT) * F.exp(-(r - r0) * (r - r0) / (2 * s * s)),
     lambda r, a, r0, s: a / (s * _ROOT) * F.exp(-(r - r0) * (r - r0) / (2 * s * s)) * (r - r0) / (s * s),
     lambda r, a, r0, s: (lambda u: {"a": u / a, "r0": u * (r - r0) / (s * s), "s": u * ((r - r0) * (r - r0) / (s * s) - 1) / s})(GAUSSIAN.energy(r, a, r0, s)),
+    lambda r, a, r0, s: (lambda u, z: {
+        ("a", "r0"): u / a * z / s, ("a", "s"): u / a * (z * z - 1) / s, ("r0", "r0"): u * (z * z - 1) / (s * s),
+        ("r0", "s"): u * z * (z * z - 3) / (s * s), ("s", "s"): u * (z * z * z * z - 5 * z * z + 2) / (s * s),
+    })(GAUSSIAN.energy(r, a, r0, s), (r - r0) / s),
 )
 DOUBLE_GAUSSIAN = Potential(
     ("a", "b", "c", "d"),
     lambda r, a, b, c, d: -(a * F.exp(-b * r * r) + c * F.exp(-d * r * r)),
     lambda r, a, b, c, d: -2 * r * (a * b * F.exp(-b * r * r) + c * d * F.exp(-d * r * r)),
     lambda r, a, b, c, d: {"a": -F.exp(-b * r * r), "b": a * r * r * F.exp(-b * r * r), "c": -F.exp(-d * r * r), "d": c * r * r * F.exp(-d * r * r)},
+    lambda r, a, b, c, d: {
+        ("a", "b"): r * r * F.exp(-b * r * r), ("b", "b"): -a * r * r * r * r * F.exp(-b * r * r),
+        ("c", "d"): r * r * F.exp(-d * r * r), ("d", "d"): -c * r * r * r * r * F.exp(-d * r * r),
+    },
 )
 COSINE_SOFT = Potential(
     ("a", "rc"),
     lambda r, a, rc: F.when(r < rc, a * (1 + F.cos(math.pi * r / rc))).otherwise(0.0),
     lambda r, a, rc: F.when(r < rc, a * math.pi / rc * F.sin(math.pi * r / rc)).otherwise(0.0),
     lambda r, a, rc: {"a": F.when(r < rc, 1 + F.cos(math.pi * r / rc)).otherwise(0.0), "rc": F.when(r < rc, a * math.pi * r / (rc * rc) * F.sin(math.pi * r / rc)).otherwise(0.0)},
+    lambda r, a, rc: {
+        ("a", "rc"): F.when(r < rc, math.pi * r / (rc * rc) * F.sin(math.pi * r / rc)).otherwise(0.0),
+        ("rc", "rc"): F.when(r < rc, -a * math.pi * r / (rc * rc * rc) * (2 * F.sin(math.pi * r / rc) + math.pi * r / rc * F.cos(math.pi * r / rc))).otherwise(0.0),
+    },
 )
 
 
@@ -84,11 +102,26 @@ def soft_lennard_jones(n: float = 2.0, alpha: float = 0.5) -> Potential:
             "lam": 4 * epsilon * (n * power(lam, n - 1) * g - 2 * alpha * (1 - lam) * power(lam, n) * slope),
         }
 
+    def hessian(r, epsilon, sigma, lam):
+        six = F.pow(r / sigma, F.lit(6.0))
+        a = alpha * (1 - lam) * (1 - lam) + six
+        g, slope, curve = 1 / (a * a) - 1 / a, 1 / (a * a) - 2 / (a * a * a), 6 / (a * a * a * a) - 2 / (a * a * a)
+        by_sigma, by_lam = -6 * six / sigma, -2 * alpha * (1 - lam)  # of a
+        low, lower = n * power(lam, n - 1), n * (n - 1) * power(lam, n - 2)
+        return {
+            ("epsilon", "sigma"): 4 * power(lam, n) * slope * by_sigma,
+            ("epsilon", "lam"): 4 * (low * g + power(lam, n) * slope * by_lam),
+            ("sigma", "sigma"): 4 * epsilon * power(lam, n) * (curve * by_sigma * by_sigma + slope * 42 * six / (sigma * sigma)),
+            ("sigma", "lam"): 4 * epsilon * (low * slope * by_sigma + power(lam, n) * curve * by_sigma * by_lam),
+            ("lam", "lam"): 4 * epsilon * (lower * g + 2 * low * slope * by_lam + power(lam, n) * (curve * by_lam * by_lam + 2 * alpha * slope)),
+        }
+
     return Potential(
         ("epsilon", "sigma", "lam"),
         lambda r, epsilon, sigma, lam: 4 * epsilon * power(lam, n) * parts(r, sigma, lam)[0],
         lambda r, epsilon, sigma, lam: -4 * epsilon * power(lam, n) * parts(r, sigma, lam)[1] * 6 * F.pow(r / sigma, F.lit(6.0)) / r,
         gradient,
+        hessian,
     )
 
 
@@ -150,6 +183,72 @@ def gate(log_alpha: Column, low: float = -0.1, high: float = 1.1, beta: float =
     return z, 1 / (1 + F.exp(-(log_alpha - beta * math.log(-low / high))))
 
 
+def _open_share(log_alpha: Column) -> tuple[Column, Column]:
+    """The stretched sigmoid of a gate before it is clipped, and its slope."""
+    low, high = GATE
+    s = 1 / (1 + F.exp(-log_alpha))
+    return s * (high - low) + low, s * (1 - s) * (high - low)
+
+
+GATE = (-0.1, 1.1)
+
+
+def gated(base: Potential) -> Potential:
+    """The family under a hard-concrete gate, with ``log_alpha`` as its last parameter.
+
+    Energy, force and the gradients of the family's own parameters are scaled by
+    the gate value; the gradient by ``log_alpha`` is the energy times the gate's slope,
+    which is 0 where the gate is clipped. There are no second derivatives: gates are for first-order steps.
+    """
+
+    def inner(function, x, parameters):
+        own = {k: v for k, v in parameters.items() if k != "log_alpha"}
+        raw, slope = _open_share(parameters["log_alpha"] if isinstance(parameters["log_alpha"], Column) else F.lit(float(parameters["log_alpha"])))
+        z = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+        return function(x, **own), z, F.when((raw > 0) & (raw < 1), slope).otherwise(0.0)
+
+    def scaled(function):
+        def value(x, **parameters):
+            v, z, _ = inner(function, x, parameters)
+            return v * z
+
+        return value
+
+    def gradient(x, **parameters):
+        g, z, slope = inner(base.gradient, x, parameters)
+        return {k: v * z for k, v in g.items()} | {"log_alpha": inner(base.energy, x, parameters)[0] * slope}
+
+    return Potential((*base.names, "log_alpha"), scaled(base.energy), scaled(base.force), gradient)
+
+
+def gate_penalty(log_alpha: Column, strength: float, beta: float = 2 / 3) -> tuple[Column, Column]:
+    """The strength times the probability that a gate is open, and its slope by ``log_alpha``."""
+    _, p = gate(log_alpha, *GATE, beta)
+    return strength * p, strength * p * (1 - p)
+
+
+def legendre_basis(x: Column, n: int, a: float, b: float) -> Column:
+    """``values, slopes``: arrays of the first n orthonormal Legendre polynomials on [a, b] and of their derivatives by x, by the recurrence over degrees."""
+    t = (2 * x - (a + b)) / (b - a)
+    start = F.struct(t.alias("t"), F.array(F.lit(1.0), t).alias("v"), F.array(F.lit(0.0), F.lit(1.0)).alias("d"))
+
+    def grown(s: Column, k: Column) -> Column:
+        last, older = lambda c: F.element_at(c, -1), lambda c: F.element_at(c, -2)
+        value = ((2 * k + 1) * s.t * last(s.v) - k * older(s.v)) / (k + 1)
+        slope = ((2 * k + 1) * (last(s.v) + s.t * last(s.d)) - k * older(s.d)) / (k + 1)
+        return F.struct(s.t.alias("t"), F.concat(s.v, F.array(value)).alias("v"), F.concat(s.d, F.array(slope)).alias("d"))
+
+    degrees = F.array(*map(F.lit, range(1, n - 1))) if n > 2 else F.array().cast("array<int>")
+    scaled = lambda c, factor: F.transform(F.slice(c, 1, n), lambda v, k: v * factor * F.sqrt((2 * k + 1) / F.lit(b - a)))
+    return F.aggregate(degrees, start, grown, lambda s: F.struct(scaled(s.v, 1.0).alias("values"), scaled(s.d, 2 / (b - a)).alias("slopes")))
+
+
+def cosine_slope(x: Column, m: Column, a: float, b: float) -> Column:
+    """Derivatives of ``cosine_basis`` by x."""
+    rate = math.pi * m / (b - a)
+    return F.when(m == 0, F.lit(0.0)).otherwise(-math.sqrt(2 / (b - a)) * rate * F.sin(rate * (x - a)))
+
+
 def cosine_basis(x: Column, m: Column, a: float, b: float) -> Column:
     """Orthonormal cosines on [a, b]."""
     scaled = math.pi * m * (x - a) / (b - a)

@@ -58,7 +58,7 @@ def neighbor_pairs(atoms: DataFrame, cutoff: float, carry: tuple[str, ...] = ("t
 
 
 def copy_pairs(atoms: DataFrame, copies: DataFrame, cutoff: float, skin: float, carry: tuple[str, ...] = ("mol_id",)) -> DataFrame:
-    """Pairs of perturbed copies (atoms with ``copy, nx, ny, nz``) within the cutoff: ``frame_id, copy, i, j, r`` and the carried columns.
+    """Pairs of perturbed copies (atoms with ``copy, nx, ny, nz, w``) within the cutoff: ``frame_id, copy, w, i, j, dx, dy, dz, r`` and the carried columns.
 
     The base frames' pairs within cutoff plus skin are found once and met with
     each copy. A copy that moves an atom by more than half of the skin is an error.
@@ -67,10 +67,12 @@ def copy_pairs(atoms: DataFrame, copies: DataFrame, cutoff: float, skin: float,
     far = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") > skin * skin / 4
     checked = F.when(far, F.raise_error(F.lit("a copy moves an atom by more than half of the skin"))).otherwise(F.col("copy"))
     moved = copies.select("frame_id", checked.alias("copy"), "atom_id", F.struct("nx", "ny", "nz").alias("n"))
-    met = base.join(moved.withColumnsRenamed({"atom_id": "i", "n": "ni"}), ["frame_id", "i"]).join(moved.withColumnsRenamed({"atom_id": "j", "n": "nj"}), ["frame_id", "copy", "j"])
+    weighed = copies.select("frame_id", checked.alias("copy"), "w", F.col("atom_id").alias("i"), F.struct("nx", "ny", "nz").alias("ni"))
+    met = base.join(weighed, ["frame_id", "i"]).join(moved.withColumnsRenamed({"atom_id": "j", "n": "nj"}), ["frame_id", "copy", "j"])
     # the base vector is the nearest image; displacements of under half a skin do not change which it is, as the cutoff is under half an edge
-    square = sum(((F.col(f"d{a}") + F.col(f"nj.n{a}") - F.col(f"ni.n{a}")) * (F.col(f"d{a}") + F.col(f"nj.n{a}") - F.col(f"ni.n{a}")) for a in "xyz"), F.lit(0.0))
-    return met.withColumn("r", F.sqrt(square)).filter(F.col("r") <= cutoff).select("frame_id", "copy", "i", "j", "r", *[f"{c}_{s}" for c in carry for s in "ij"])
+    met = met.withColumns({f"d{a}": F.col(f"d{a}") + F.col(f"nj.n{a}") - F.col(f"ni.n{a}") for a in "xyz"})
+    met = met.withColumn("r", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).filter(F.col("r") <= cutoff)
+    return met.select("frame_id", "copy", "w", "i", "j", "dx", "dy", "dz", "r", *[f"{c}_{s}" for c in carry for s in "ij"])
 
 
 def exclude_groups(pairs: DataFrame, group: str | None) -> DataFrame:
@@ -120,3 +122,27 @@ def push_apart(atoms: DataFrame, least: float, group: str | None = "mol_id", pas
         step = {a: F.pmod(F.col(a) + F.coalesce(F.col(f"move.{a}"), F.lit(0.0)), F.col(f"l{a}")) for a in "xyz"}
         atoms = cut(atoms.join(moves, ["frame_id", "atom_id"], "left").withColumns(step).drop("move"))
     return atoms
+
+
+def push_added(atoms: DataFrame, added: Column, least: float, passes: int = 10, pad: float = 1e-3) -> DataFrame:
+    """atoms in which ``added`` ones have moved until none is closer than ``least`` to any other atom, or the passes end; the rest stay where they are.
+
+    In a pass an added atom moves along the vectors from its close neighbours by
+    what they lack and a little more: all of it from an atom that stays, half from
+    another added one, which takes the other half. One that lies on its neighbour
+    goes along x (two added ones in opposite directions). Results are wrapped; each pass is cut.
+    """
+    atoms = cut(atoms.withColumn("_added", F.coalesce(added, F.lit(False))))
+    for _ in range(passes):
+        close = neighbor_pairs(atoms, least, ("_added",), ()).filter((F.col("r") < least) & (F.col("_added_i") | F.col("_added_j")))
+        share = F.when(F.col("_added_i") & F.col("_added_j"), 0.5).otherwise(1.0)
+        sides = F.array(*[F.struct(F.col(c).alias("atom_id"), F.col(f"_added_{c}").alias("moves"), F.lit(sign).alias("sign")) for c, sign in (("i", -1.0), ("j", 1.0))])
+        rows = close.select("frame_id", "dx", "dy", "dz", "r", share.alias("share"), F.explode(sides).alias("p")).filter("p.moves")
+        way = lambda a: F.when(F.col("r") > 1e-12, F.col(f"d{a}") / F.col("r")).otherwise(F.lit(1.0 if a == "x" else 0.0))
+        moves = rows.groupBy("frame_id", F.col("p.atom_id").alias("atom_id")).agg(F.struct(*[F.sum(F.col("p.sign") * F.col("share") * (least - F.col("r") + pad) * way(a)).alias(a) for a in "xyz"]).alias("move"))
+        moves = cut(moves)
+        if moves.isEmpty():
+            break
+        step = {a: F.when(F.col("move").isNull(), F.col(a)).otherwise(F.pmod(F.col(a) + F.col(f"move.{a}"), F.col(f"l{a}"))) for a in "xyz"}
+        atoms = cut(atoms.join(moves, ["frame_id", "atom_id"], "left").withColumns(step).drop("move"))
+    return atoms.drop("_added")

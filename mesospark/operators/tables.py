@@ -60,6 +60,59 @@ def lookup(points: DataFrame, tables: DataFrame, lo: float, step: float) -> Data
     return joined.select(*points.columns, force.alias("force"), energy.alias("energy"))
 
 
+def _cells(tables: DataFrame) -> DataFrame:
+    """``key, cell``: intervals between neighbouring knots with their ends, the first reaching down without end."""
+    by = _by()
+    grid = tables.withColumns({"x1": F.lead("x").over(by), "f1": F.lead("f").over(by), "v1": F.lead("v").over(by), "nth": F.row_number().over(by)}).filter("x1 IS NOT NULL")
+    return grid.select("key", F.struct("x", "x1", "f", "f1", "v", "v1").alias("cell"), F.when(F.col("nth") == 1, F.lit(float("-inf"))).otherwise(F.col("x")).alias("at"))
+
+
+def lookup_uneven(points: DataFrame, tables: DataFrame, salts: int = 8) -> DataFrame:
+    """As ``lookup``, on knots at any distances: each point meets the last knot at or before it.
+
+    The range of a key is dealt into as many even stretches as it has knots, and
+    these to a few salts. Points and knots of a stretch, and the last knot before it, are
+    sorted together, and each point takes what was carried to it, so no key of any size is one
+    task. Needs two knots a key; points of other keys and without x are left out.
+    """
+    ends = tables.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("knots")).filter("knots > 1 AND hi > lo")
+    stretch = lambda x: F.greatest(F.lit(0), F.least(F.col("knots") - 1, F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("knots")))).cast("long")
+    # a cell belongs to every stretch that it overlaps, where it comes before all that begins later
+    last = F.when(F.col("cell.x1") == F.col("hi"), F.col("knots") - 1).otherwise(stretch(F.col("cell.x1")))
+    cells = _cells(tables).join(ends, "key").withColumn("stretch", F.explode(F.sequence(F.when(F.col("at") > F.col("lo"), stretch(F.col("at"))).otherwise(F.lit(0)).cast("long"), last)))
+    cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int").alias("salt")
+    placed = points.filter("NOT isnan(x) AND x IS NOT NULL").select("key", F.struct(*points.columns).alias("point"), F.col("x").alias("at"), salt).join(ends, "key")
+    rows = placed.select("key", stretch(F.col("at")).alias("stretch"), "salt", "at", "point", F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"))
+    rows = rows.unionByName(cells.select("key", "stretch", "salt", "at", "cell"), allowMissingColumns=True)
+    before = W.partitionBy("key", "stretch", "salt").orderBy("at", F.col("point").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = rows.withColumn("cell", F.last("cell", ignorenulls=True).over(before)).filter("point IS NOT NULL")
+    x, c = F.col("point.x"), {n: F.col(f"cell.{n}") for n in ("x", "x1", "f", "f1", "v", "v1")}
+    t = (x - c["x"]) / (c["x1"] - c["x"])
+    force = F.when(t < 0, c["f"]).when(t > 1, c["f1"]).otherwise(c["f"] + t * (c["f1"] - c["f"]))
+    energy = F.when(t < 0, c["v"] - c["f"] * (x - c["x"])).when(t > 1, c["v1"] - c["f1"] * (x - c["x1"])).otherwise(c["v"] + t * (c["v1"] - c["v"]))
+    return met.select("point.*", force.alias("force"), energy.alias("energy"))
+
+
+def compared_on_overlap(one: DataFrame, two: DataFrame, n: int = 2000) -> DataFrame:
+    """``key, df, dv, shift``: tables (``key, x, f, v``) of any grids on n even points of their common range.
+
+    df and dv are the largest differences of force and energy, shift is how far
+    the equilibria on those points are apart. Tables without a common range are an error;
+    keys that only one side has are left out.
+    """
+    span = lambda t, s: t.groupBy("key").agg(F.min("x").alias(f"lo{s}"), F.max("x").alias(f"hi{s}"))
+    both = span(one, 1).join(span(two, 2), "key").select("key", F.greatest("lo1", "lo2").alias("lo"), F.least("hi1", "hi2").alias("hi"))
+    lo = F.when(F.col("hi") <= F.col("lo"), F.raise_error(F.concat(F.lit("tables have no range in common: "), "key"))).otherwise(F.col("lo"))
+    grid = both.select("key", lo.alias("lo"), "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("key", "i", F.when(F.col("i") == n - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (n - 1)).alias("x"))
+    at = lambda t: lookup_uneven(grid, t).select("key", "i", "x", F.col("force").alias("f"), F.col("energy").alias("v"))
+    first, second = at(one), at(two)
+    met = first.join(second.select("key", "i", F.col("f").alias("g"), F.col("v").alias("u")), ["key", "i"])
+    apart = met.groupBy("key").agg(F.max(F.abs(F.col("g") - F.col("f"))).alias("df"), F.max(F.abs(F.col("u") - F.col("v"))).alias("dv"))
+    rest = [equilibrium(t.select("key", "x", "f")).withColumnRenamed("x0", name) for t, name in ((first, "e1"), (second, "e2"))]
+    return apart.join(rest[0], "key").join(rest[1], "key").select("key", "df", "dv", F.abs(F.col("e2") - F.col("e1")).alias("shift"))
+
+
 def harmonic_fit(tables: DataFrame) -> DataFrame:
     """``key, r0, k``: equilibrium and max(-dF/dx / 2, 0) at the nearest inner grid point, else 1."""
     sloped = slopes(tables).withColumns({"p": F.lag("x").over(_by()), "n": F.lead("x").over(_by())}).filter("p IS NOT NULL AND n IS NOT NULL")

@@ -49,36 +49,66 @@ def bonded_components(bonds: DataFrame) -> DataFrame:
     return found.select("id.frame_id", "id.atom_id", F.col("component.atom_id").alias("component"))
 
 
-def unwrapped(atoms: DataFrame, bonds: DataFrame, components: DataFrame, max_passes: int = 1000) -> DataFrame:
-    """``frame_id, atom_id, component, x, y, z``: components made whole, from their least atom outwards along bonds.
+def _joined_to(hooks: DataFrame, end: str) -> DataFrame:
+    """Hooks as what the node in column ``end`` hangs on: ``<end>_on`` and its vector ``<end>_off``."""
+    return hooks.select("frame_id", F.col("node").alias(end), F.col("on").alias(f"{end}_on"), F.col("off").alias(f"{end}_off"))
 
-    A pass places the neighbours of what was placed before; each is one join and
-    is cut, so a component may be of any size. Of several placed neighbours the
-    one with the least id counts.
+
+def _sum(u, v, sign: int = 1):
+    return F.struct(*[(F.col(f"{u}.{a}") + sign * F.coalesce(F.col(f"{v}.{a}"), F.lit(0.0))).alias(a) for a in "xyz"])
+
+
+def _hooks(links: DataFrame) -> DataFrame:
+    """``node, on, off``: each node with a lesser neighbour hangs on its least one, with the vector from there; cut. None is left when links are empty."""
+    up = F.col("i") > F.col("j")
+    ends = links.select("frame_id", F.when(up, F.col("i")).otherwise(F.col("j")).alias("node"), F.when(up, F.col("j")).otherwise(F.col("i")).alias("on"), F.struct(*[F.when(up, -F.col(f"v.{a}")).otherwise(F.col(f"v.{a}")).alias(a) for a in "xyz"]).alias("off"))
+    least = ends.groupBy("frame_id", "node").agg(F.min(F.struct("on", "off")).alias("h"))
+    return cut(least.select("frame_id", "node", "h.on", "h.off"))
+
+
+def _to_the_top(hooks: DataFrame, max_passes: int) -> DataFrame:
+    """Hooks on the first node of each chain: a pass doubles how far each reaches."""
+    for _ in range(max_passes):
+        seen = Observation()
+        met = hooks.join(_joined_to(hooks, "on"), ["frame_id", "on"], "left")
+        further = met.select("frame_id", "node", F.coalesce("on_on", "on").alias("on"), _sum("off", "on_off").alias("off"), F.col("on_on").isNotNull().alias("moved"))
+        hooks = cut(further.observe(seen, F.count_if("moved").alias("n")).drop("moved"))
+        if not seen.get["n"]:
+            return hooks
+    raise RuntimeError(f"chains still double after {max_passes} passes")
+
+
+def unwrapped(atoms: DataFrame, bonds: DataFrame, components: DataFrame, max_passes: int = 60) -> DataFrame:
+    """``frame_id, atom_id, component, x, y, z``: components made whole, each placed where its least atom is.
+
+    Every atom carries its vector from the node that it hangs on. A round hangs
+    each node on its least neighbour, follows chains to their tops by doubling, and
+    goes on with the links between tops; so a chain of n atoms takes about log2(n)
+    passes, each a join that is cut. In a ring round the cell, which has no whole, the
+    vectors through least neighbours count.
     """
     place = atoms.select("frame_id", "atom_id", F.struct("x", "y", "z").alias("at"), F.struct("lx", "ly", "lz").alias("edge"))
     members = cut(components.join(place, ["frame_id", "atom_id"]))
-    done = members.filter("atom_id = component").select("frame_id", "atom_id", F.col("at").alias("whole"))
-    both = bonds.select("frame_id", "i", "j").union(bonds.select("frame_id", "j", "i"))
-    edge, placed = done, [done]
+    end = lambda c: members.select("frame_id", F.col("atom_id").alias(c), F.col("at").alias(f"at_{c}"), F.col("edge").alias(f"edge_{c}"))
+    vector = F.struct(*[minimum_image(F.col(f"at_j.{a}") - F.col(f"at_i.{a}"), F.col(f"edge_i.l{a}")).alias(a) for a in "xyz"])
+    links = cut(bonds.select("frame_id", "i", "j").join(end("i"), ["frame_id", "i"]).join(end("j"), ["frame_id", "j"]).select("frame_id", "i", "j", vector.alias("v")).filter("i <> j"))
+    none = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
+    tree = members.select("frame_id", "atom_id", F.col("atom_id").alias("top"), none.alias("off"))
     for _ in range(max_passes):
-        near = edge.join(both.withColumnRenamed("i", "atom_id"), ["frame_id", "atom_id"]).select("frame_id", F.col("j").alias("atom_id"), F.struct(F.col("atom_id").alias("by"), "whole").alias("from"))
-        near = near.groupBy("frame_id", "atom_id").agg(F.min("from").alias("from"))
-        for old in placed[-2:]:  # a neighbour of the last ones was placed with or just before them, or is new
-            near = near.join(old, ["frame_id", "atom_id"], "left_anti")
-        met = near.join(members, ["frame_id", "atom_id"])
-        step = {a: F.col(f"from.whole.{a}") + minimum_image(F.col(f"at.{a}") - F.col(f"from.whole.{a}"), F.col(f"edge.l{a}")) for a in "xyz"}
-        seen = Observation()
-        edge = cut(met.select("frame_id", "atom_id", F.struct(*[c.alias(a) for a, c in step.items()]).alias("whole")).observe(seen, F.count("*").alias("n")))
-        if not seen.get["n"]:
+        hooks = _hooks(links)
+        if hooks.isEmpty():
             break
-        placed.append(edge)
+        hooks = _to_the_top(hooks, max_passes)
+        hung = tree.join(_joined_to(hooks, "top"), ["frame_id", "top"], "left")
+        tree = cut(hung.select("frame_id", "atom_id", F.coalesce("top_on", "top").alias("top"), _sum("off", "top_off").alias("off")))
+        moved = links.join(_joined_to(hooks, "i"), ["frame_id", "i"], "left").join(_joined_to(hooks, "j"), ["frame_id", "j"], "left")
+        moved = moved.withColumn("v", _sum("v", "i_off")).withColumn("v", _sum("v", "j_off", -1))
+        links = cut(moved.select("frame_id", F.coalesce("i_on", "i").alias("i"), F.coalesce("j_on", "j").alias("j"), "v").filter("i <> j"))
     else:
-        raise RuntimeError(f"atoms are still unplaced after {max_passes} passes")
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.union(more)
-    return out.join(members.select("frame_id", "atom_id", "component"), ["frame_id", "atom_id"]).select("frame_id", "atom_id", "component", "whole.*")
+        raise RuntimeError(f"components still join after {max_passes} passes")
+    tops = members.select("frame_id", F.col("atom_id").alias("top"), F.col("at").alias("start"))
+    out = tree.join(tops, ["frame_id", "top"]).join(members.select("frame_id", "atom_id", "component"), ["frame_id", "atom_id"])
+    return out.select("frame_id", "atom_id", "component", *[(F.col(f"start.{a}") + F.col(f"off.{a}")).alias(a) for a in "xyz"])
 
 
 def refitted_z(whole: DataFrame, atoms: DataFrame, lo: float, hi: float) -> DataFrame:

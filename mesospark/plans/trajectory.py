@@ -361,12 +361,6 @@ def f13(spark, d):
 _LJ = "4 * 0.5 * ((1.5 / greatest(r, 1.0)) ** 12 - (1.5 / greatest(r, 1.0)) ** 6)"
 
 
-@query("A13", PAIRS, select=f"SELECT frame_id, round(sum({_LJ}), 2) + 0.0 AS u FROM v_inter GROUP BY 1")
-def a13(spark, d):
-    u = P.LJ126.energy(F.greatest("r", F.lit(1.0)), F.lit(0.5), F.lit(1.5))
-    return _inter(spark, d).groupBy("frame_id").agg((F.round(F.sum(u), 2) + 0.0).alias("u"))
-
-
 HAT = "v_g AS (SELECT key, frame_id, w, p, sum(greatest(0, 1 - abs((value - 0.5) / 0.25 - p))) AS g FROM v_bonds CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS p) GROUP BY 1, 2, 3, 4)"
 
 
@@ -383,11 +377,6 @@ def a14(spark, d):
     return _gradients(spark, d).filter("g > 0.00005").select("key", "frame_id", "p", F.round("g", 4).alias("g"))
 
 
-@query("A18", BONDS, HAT, select="SELECT a.key, a.p, b.p AS q, round(sum(a.w * a.g * b.g), 2) AS h FROM v_g a JOIN v_g b ON a.frame_id = b.frame_id AND a.key = b.key AND a.p <= b.p WHERE a.g > 0 AND b.g > 0 GROUP BY 1, 2, 3")
-def a18(spark, d):
-    return gradients.outer_products(_gradients(spark, d)).select("key", "p", "q", F.round("h", 2).alias("h"))
-
-
 @query("A23", BONDS, select="SELECT key, round(sum(w * value) / sum(w), 6) AS average FROM v_bonds GROUP BY 1")
 def a23(spark, d):
     return stats.ensemble_average(_bonds(spark, d), ["key"], "value").select("key", F.round("average", 6).alias("average"))

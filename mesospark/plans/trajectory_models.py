@@ -4,10 +4,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions import splines as S
-from mesospark.operators import conditional, extensions, force_maps, forces, gradients, tables, topology
+from mesospark.operators import conditional, extensions, force_maps, forces, tables, topology
 from mesospark.plans.lineage import cut
-from mesospark.plans.trajectory import BONDS, CUTOFF, DIHEDRALS, HAT, PAIRS, TABLE, W01_SQL, _bonds, _gradients, _inter, _table, query
-from mesospark.plans.trajectory_more import JAC, _jacobian, _scratch, noisy_copies
+from mesospark.plans.trajectory import BONDS, CUTOFF, DIHEDRALS, PAIRS, TABLE, W01_SQL, _bonds, _inter, _table, query
+from mesospark.plans.trajectory_more import JAC, _scratch
 from mesospark.sources import adapters as A
 from mesospark.sources.table_files import load_tables, write_tables
 
@@ -311,25 +311,3 @@ def m06(spark, d):
     mean = hats.filter("p BETWEEN 0 AND 7").groupBy("bin", "p").agg(F.sum(F.col("w") * F.col("h")).alias("s")).join(weight, "bin").select("bin", "p", (F.col("s") / F.col("sw")).alias("g")).filter("g > 0")
     gradient, _ = conditional.mean_force_matching(pmf.filter("side = 1").drop("side"), pmf.filter("side = 0").drop("side"), mean)
     return gradient.select("p", (F.round("gradient", 5) + 0.0).alias("gradient"))
-
-
-@query("M03_hessian", BONDS, HAT, select=f"""SELECT a.key, a.p, b.p AS q, round({BETA} * {BETA} * (sum(a.w * a.g * b.g) / any_value(n.sw) - any_value(m1.m) * any_value(m2.m)), 3) + 0.0 AS h FROM v_g a JOIN v_g b ON a.frame_id = b.frame_id AND a.key = b.key AND a.p <= b.p
- JOIN (SELECT sum(w) AS sw FROM v_frames WHERE frame_id % 2 = 1) n ON TRUE JOIN (SELECT key, p, sum(w * g) / (SELECT sum(w) FROM v_frames WHERE frame_id % 2 = 1) AS m FROM v_g WHERE frame_id % 2 = 1 GROUP BY 1, 2) m1 ON m1.key = a.key AND m1.p = a.p
- JOIN (SELECT key, p, sum(w * g) / (SELECT sum(w) FROM v_frames WHERE frame_id % 2 = 1) AS m FROM v_g WHERE frame_id % 2 = 1 GROUP BY 1, 2) m2 ON m2.key = b.key AND m2.p = b.p WHERE a.frame_id % 2 = 1 AND a.g > 0 AND b.g > 0 GROUP BY 1, 2, 3""")
-def m03_hessian(spark, d):
-    """Of a linear family, in the model's frames (the odd ones)."""
-    out = gradients.linear_hessian(cut(_gradients(spark, d)), A.frames(spark, d), F.col("frame_id") % 2 == 1, BETA)
-    return out.select("key", "p", "q", (F.round("h", 3) + 0.0).alias("h"))
-
-
-@query("N03")
-def n03(spark, d):
-    """Normal equations on denoising targets, scaled by beta squared: the copies' noise over beta sigma squared is the target."""
-    sigma, atoms = 0.1, A.atoms(spark, d)
-    moved = noisy_copies(atoms, 1, sigma, 3)
-    score = F.array(*[F.struct(F.lit(a).alias("axis"), (-F.col(f"n{a}") / (BETA * sigma * sigma)).alias("y")) for a in "xyz"])
-    targets = moved.select("frame_id", "atom_id", F.explode(score).alias("s")).select("frame_id", "atom_id", "s.*")
-    gram, right = forces.normal_equations(_jacobian(spark, d), targets)
-    scaled = gram.groupBy("p").agg((F.sum(F.when(F.col("p") == F.col("q"), F.col("jtj"))) * BETA * BETA).alias("jtj"))
-    return scaled.join(right, "p").select("p", F.round("jtj", 1).alias("jtj"), F.round(F.col("jty") * BETA * BETA, 1).alias("jty"))
-

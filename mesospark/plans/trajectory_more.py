@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mesospark.functions import potentials as P
 from mesospark.operators import forces, gradients, neighbors, selection, stats, tables, topology
+from mesospark.operators.denoising import noisy_copies
 from mesospark.plans.lineage import ensure_checkpoint_dir
 from mesospark.plans.trajectory import BONDS, CUTOFF, GRID, HAT, PAIRS, SITES, SPECTRAL, TABLE, _bonds, _coefficients, _gradients, _inter, _table, query
 from mesospark.sources import adapters as A
@@ -152,11 +153,6 @@ def _forces(spark, d):
     return forces.pair_forces(_inter(spark, d).filter("r > 0.05"), 2.0 * (1.0 - F.col("r") / 4.0))
 
 
-@query("A19", PAIRS, FORCE, select="SELECT frame_id, atom_id, round(px, 5) + 0.0 AS fx, round(py, 5) + 0.0 AS fy, round(pz, 5) + 0.0 AS fz FROM v_af")
-def a19(spark, d):
-    return _forces(spark, d).select("frame_id", "atom_id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("fx", "fy", "fz")])
-
-
 @query("A22", PAIRS, FORCE, select="SELECT coalesce(type, 'all') AS type, count(*) AS n, round(sum(fx * fx + fy * fy + fz * fz), 4) AS target, round(sum((fx - coalesce(px, 0)) ** 2 + (fy - coalesce(py, 0)) ** 2 + (fz - coalesce(pz, 0)) ** 2), 1) AS residual FROM v_atoms a LEFT JOIN v_af f ON a.frame_id = f.frame_id AND a.atom_id = f.atom_id GROUP BY ROLLUP (type)")
 def a22(spark, d):
     out = forces.residuals(A.atoms(spark, d).select("frame_id", "atom_id", "type", "fx", "fy", "fz"), _forces(spark, d))
@@ -176,32 +172,6 @@ def _targets(spark, d):
     return A.atoms(spark, d).select("frame_id", "atom_id", axes.alias("s")).select("frame_id", "atom_id", "s.*")
 
 
-@query("A20", PAIRS, JAC, select="SELECT p, axis, round(sum(j * j), 1) AS square FROM v_jr GROUP BY 1, 2")
-def a20(spark, d):
-    return _jacobian(spark, d).groupBy("p", "axis").agg(F.round(F.sum(F.col("j") * F.col("j")), 1).alias("square"))
-
-
-@query("A21", PAIRS, JAC, select="SELECT a.p, b.p AS q, round(sum(a.w * a.j * b.j), 1) + 0.0 AS jtj FROM v_jr a JOIN v_jr b ON a.frame_id = b.frame_id AND a.atom_id = b.atom_id AND a.axis = b.axis AND a.p <= b.p GROUP BY 1, 2")
-def a21(spark, d):
-    gram, _ = forces.normal_equations(_jacobian(spark, d), _targets(spark, d))
-    return gram.select("p", "q", (F.round("jtj", 1) + 0.0).alias("jtj"))
-
-
-@query("M02", PAIRS, JAC, select="SELECT p, round(sum(w * j * CASE axis WHEN 'x' THEN fx WHEN 'y' THEN fy ELSE fz END), 1) + 0.0 AS jty FROM v_jr r JOIN v_atoms a USING (frame_id, atom_id, w) GROUP BY 1")
-def m02(spark, d):
-    """At zero parameters the gradient of the loss is minus this."""
-    _, right = forces.normal_equations(_jacobian(spark, d), _targets(spark, d))
-    return right.select("p", (F.round("jty", 1) + 0.0).alias("jty"))
-
-
-@query("M01")
-def m01(spark, d):
-    """Ridge force-matching fit: the statistics are distributed, the 9 x 9 solve is on the driver."""
-    gram, right = forces.normal_equations(_jacobian(spark, d), _targets(spark, d))
-    c = forces.solve_ridge(gram, right, 9, 1e-6)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "p int, c double")
-
-
 @query("A24", BONDS, HAT, select="SELECT key, frame_id, w, round(sum(g), 3) AS g FROM v_g GROUP BY 1, 2, 3 HAVING sum(g) > 0")
 def a24(spark, d):
     return _gradients(spark, d).filter("g > 0").groupBy("key", "frame_id", "w").agg(F.round(F.sum("g"), 3).alias("g"))
@@ -314,25 +284,6 @@ def w10(spark, d):
     return sites.select("frame_id", "mol_id", "site", (F.row_number().over(W.partitionBy("frame_id").orderBy("mol_id", "site")) - 1).cast("long").alias("number"))
 
 
-def _noise(seed: int, sigma: float, *ids):
-    """Normal deviates as a function of ids alone, so they do not depend on partitioning; two numbers of 52 bits from one MD5."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]))
-    u = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / 2.0**52
-    return sigma * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(17))
-
-
-def noisy_copies(atoms, n: int, sigma: float, seed: int):
-    """n Gaussian copies of each frame with displacements ``nx, ny, nz``."""
-    copies = atoms.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return copies.withColumns({f"n{a}": _noise(seed + k, sigma, F.col("frame_id"), F.col("atom_id"), F.col("copy")) for k, a in enumerate("xyz")})
-
-
-@query("N01", copies_sql("v_copy", 2, 0.1, 3), select="SELECT frame_id, CAST(copy AS INTEGER) AS copy, round(avg(nx), 6) + 0.0 AS mean, round(stddev(nx), 6) AS spread FROM v_copy GROUP BY 1, 2")
-def n01(spark, d):
-    c = noisy_copies(A.atoms(spark, d), 2, 0.1, 3)
-    return c.groupBy("frame_id", "copy").agg((F.round(F.avg("nx"), 6) + 0.0).alias("mean"), F.round(F.stddev("nx"), 6).alias("spread"))
-
-
 @query("N02", copies_sql("v_copy", 2, 0.1, 3), select="SELECT frame_id, atom_id, CAST(copy AS INTEGER) AS copy, round(0.5 * fx - 0.5 * nx / (1.68 * 0.01), 5) + 0.0 AS target FROM v_copy WHERE type <> 'R'")
 def n02(spark, d):
     """Mixed targets (1 - a) y - a delta / (beta sigma^2) of the selected atoms of noisy copies."""

@@ -286,22 +286,6 @@ def test_fits_of_the_registered_tables_equal_numpy(spark):
     assert len(sums) and np.allclose(sums, 0, atol=1e-3)
 
 
-@needs_data
-def test_force_matching_fit_solves_its_normal_equations(spark):
-    from mesospark.operators import forces
-    from mesospark.plans.trajectory_more import _jacobian, _targets
-
-    gram, right = (t.toPandas() for t in forces.normal_equations(_jacobian(spark, DATA), _targets(spark, DATA)))
-    a, b = np.zeros((9, 9)), np.zeros(9)
-    a[gram.p, gram.q] = a[gram.q, gram.p] = gram.jtj
-    b[right.p] = right.jty
-    c = QUERIES["M01"](spark, DATA).toPandas().sort_values("p").c.to_numpy()
-    scale = np.sqrt(np.diag(a))
-    assert np.allclose(a @ c + 1e-6 * scale**2 * c, b, atol=1e-6 * np.abs(b).max())
-    noise = QUERIES["N03"](spark, DATA).toPandas().set_index("p")
-    assert np.allclose(noise.jtj, np.diag(a)[noise.index] * 1.68**2, rtol=1e-3)
-
-
 @needs_data
 def test_mode_cutoff_equals_numpy(spark):
     c = _coefficients(spark, DATA, 16).toPandas()

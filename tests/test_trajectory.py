@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mesospark.functions import potentials as P
 from mesospark.operators import neighbors, stats, tables, topology
 from mesospark.operators.components import connected_components
-from mesospark.plans import trajectory_fits, trajectory_models, trajectory_more  # noqa: F401  (registers)
+from mesospark.plans import trajectory_fits, trajectory_forces, trajectory_models, trajectory_more, trajectory_tables  # noqa: F401  (registers)
 from mesospark.plans.trajectory import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
