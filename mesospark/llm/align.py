@@ -47,6 +47,28 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+#: Fixed value: how a byte-level pre-tokenizer parts text into words.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = re.compile(r"\s{10000}")  # runs for which its look-ahead takes too many steps
+
+
+def _by_rank(file: dict, token_bytes: list[bytes]):
+    """An encoder that merges by id, where that is the file's own rule; else None.
+
+    It is if the text is taken as it is, and each merge makes the next id, so that the
+    earliest merge that applies is the one with the least id.
+    """
+    import tiktoken
+
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not file.get("normalizer")
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    single = len(model["vocab"]) - len(pairs)
+    if not plain or single != 256 or any(model["vocab"].get(a + b) != single + i for i, (a, b) in enumerate(pairs)):
+        return None
+    return tiktoken.Encoding("file", pat_str=_WORDS, mergeable_ranks={token_bytes[i]: i for i in model["vocab"].values()}, special_tokens={})
+
+
 class Vocabularies:
     """Both tokenizers, with the bytes of each of their ids."""
 
@@ -57,18 +79,19 @@ class Vocabularies:
 
         self.a, self.b = Tokenizer.from_buffer(a_file), SentencePieceProcessor(model_proto=b_file)
         self.a.encode_special_tokens = True
-        byte = _byte_of_character()
-        entries = {i: token for token, i in json.loads(a_file)["model"]["vocab"].items()}
+        byte, file = _byte_of_character(), json.loads(a_file)
+        entries = {i: token for token, i in file["model"]["vocab"].items()}
         self.a_bytes = [bytes(byte[c] for c in entries[i]) if i in entries and all(c in byte for c in entries[i]) else b"" for i in range(max(entries) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.fast = _by_rank(file, self.a_bytes)
         self.a_length, self.b_length = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         #: Each id as text, once within a group and once as the last of its side.
         self.written = [f"{i}{end}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for end in (",", last)]
 
     def encode(self, texts: list[str]) -> tuple[list, list]:
         """Ids of A (of the text after a blank) and of B; both are empty where the bytes differ."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = [self.fast.encode_ordinary(" " + t) if self.fast and not _BLANKS.search(t) else self.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
         b = self.b.encode(texts, num_threads=1)
         for i, text in enumerate(texts):
             want = b" " + text.encode()
