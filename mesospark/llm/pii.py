@@ -1,17 +1,19 @@
 """PII surrogates: keyed, type-consistent replacements of detected entities.
 
 Digits, letters and hex digits of an entity are replaced by a keyed Feistel
-network over positions of the same kind, so a replacement has the entity's
-format, equal entities get equal replacements anywhere (coreference), and
-distinct entities of one format get distinct ones, as the network is a
-permutation. Valid card numbers, account numbers and addresses stay valid, and
+network over positions of the same kind, so equal entities get equal replacements
+anywhere (coreference), and distinct entities of one kind distinct ones, as the network is a
+permutation. What counts is the entity, not how it is written: telephone and card
+numbers are their digits (North American ones with or without the country's 1),
+mail addresses their lower case; IPv6 addresses count as they are spelt. A replacement is
+written as the entity was. Valid card numbers, account numbers and addresses stay valid, and
 others stay invalid.
 
 Names are replaced by names of the same gender and script from keyed lists. As
 such lists are short, names that meet in one choice are numbered over the whole
 corpus, and all but the first get further syllables that tell their number; no
 two names of a corpus share a replacement, whatever the title before them. A
-name's gender is what its titles say anywhere in the corpus. Documents without
+titled last word of one full name of the text is that name. A name's gender is what its titles say anywhere in the corpus. Documents without
 a titled name take no part in this.
 
 Defined cases: null and empty texts pass through with no entities; repeated
@@ -58,7 +60,7 @@ PATTERN = re.compile(
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{6,39}(?![\w:]))"
     r"|(?P<name>(?=[A-ZÀ-ÞА-Я])(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bProf\. )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bMme )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=г-н )|(?<=г-жа ))"
-    r"[A-ZÀ-ÞА-Я][\w'’]*(?: [A-ZÀ-ÞА-Я][\w'’]*)?)"
+    r"[A-ZÀ-ÞА-Я][\w'’]*(?:-[A-ZÀ-ÞА-Я][\w'’]*)?(?: [A-ZÀ-ÞА-Я][\w'’]*(?:-[A-ZÀ-ÞА-Я][\w'’]*)?)?)"
 )
 #: Every entity holds an @ or a digit, or stands after one of these.
 _SIGN = re.compile(r"[@\d]|(?i:passw|pwd)")
@@ -155,13 +157,24 @@ def _valid_ip(entity: str) -> bool:
     return all(str(int(x)) == x and int(x) < 256 for x in entity.split("."))
 
 
+def _in_place(entity: str, digits: str) -> str:
+    """The entity with other digits in the places of its own."""
+    new = iter(digits)
+    return "".join(next(new) if c in "0123456789" else c for c in entity)
+
+
 def surrogate(key: bytes, kind: str, entity: str) -> str:
     """The replacement of an entity that is no name."""
     if kind == "email":
-        local, _, domain = entity.rpartition("@")
+        local, _, domain = entity.lower().rpartition("@")
         labels = domain.split(".")
         host = ".".join([*(permuted(key, "domain", x) for x in labels[:-1]), labels[-1]])
-        return f"{permuted(key, kind + domain, local)}@{host}"
+        out = f"{permuted(key, kind + domain, local)}@{host}"
+        return "".join(n.upper() if c.isupper() else n for n, c in zip(out, entity, strict=True))
+    if kind == "phone":
+        digits = re.sub("[^0-9]", "", entity)
+        country = digits[:1] if len(digits) == 11 and re.match(r"\+?1", entity) else ""
+        return _in_place(entity, country + permuted(key, kind, digits[len(country) :]))
     if kind == "ip":
         if not _valid_ip(entity):
             out = permuted(key, kind, entity)
@@ -176,15 +189,14 @@ def surrogate(key: bytes, kind: str, entity: str) -> str:
                 octets[o] = (octets[o] + (mask >> (8 * i))) % 256
         return ".".join(map(str, octets))
     if kind == "card":
-        digits = re.sub(r"\D", "", entity)
+        digits = re.sub("[^0-9]", "", entity)
         if _luhn(digits[:-1]) == int(digits[-1]):
-            at = max(i for i, c in enumerate(entity) if c.isdigit())
-            head = permuted(key, kind + "valid", entity[:at])
-            return head + str(_luhn(re.sub(r"\D", "", head))) + entity[at + 1 :]
-        out = permuted(key, kind, entity)
-        while _luhn(re.sub(r"\D", "", out)[:-1]) == int(out[-1]):  # valid ones belong to valid cards: walk on
+            head = permuted(key, kind + "valid", digits[:-1])
+            return _in_place(entity, head + str(_luhn(head)))
+        out = permuted(key, kind, digits)
+        while _luhn(out[:-1]) == int(out[-1]):  # valid ones belong to valid cards: walk on
             out = permuted(key, kind, out)
-        return out
+        return _in_place(entity, out)
     if kind == "iban":
         rest = permuted(key, kind + entity[:2], entity[4:])
         return entity[:2] + _iban_check(entity[:2], rest.replace(" ", "")) + rest
@@ -196,6 +208,15 @@ def surrogate(key: bytes, kind: str, entity: str) -> str:
     return permuted(key, kind, entity, hexadecimal=kind == "secret" and bool(re.fullmatch("[0-9a-f]+", entity)))
 
 
+def _owners(names) -> dict[str, str]:
+    """The full name of each name of one word that is the last word of that one alone."""
+    whole: dict[str, set] = {}
+    for n in names:
+        if " " in n:
+            whole.setdefault(n.rpartition(" ")[2], set()).add(n)
+    return {n: next(iter(whole[n])) for n in names if len(whole.get(n, ())) == 1}
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and text of each entity, in order. Further mentions of a titled name count too;
     one by the last word alone is of kind ``last`` and has the whole name as its text."""
@@ -213,7 +234,10 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         if kind == "name":
             names[entity] = None
         out.append((start, end, kind, entity))
-    return _with_mentions(text, out, names) if names else out
+    owners = _owners(names)
+    if owners:
+        out = [(a, b, "last", owners[e]) if kind == "name" and e in owners else (a, b, kind, e) for a, b, kind, e in out]
+    return _with_mentions(text, out, [n for n in names if n not in owners]) if names else out
 
 
 def genders(text: str | None) -> dict[str, str]:
@@ -223,10 +247,16 @@ def genders(text: str | None) -> dict[str, str]:
         if m.lastgroup == "name":
             title = _TITLE.search(text[max(0, m.start("name") - 8) : m.start("name")])
             gender, before = TITLES.get(title[1] if title else "", "n"), names.get(m["name"], "n")
-            names[m["name"]] = gender if before in ("n", gender) else before if gender == "n" else "x"
+            names[m["name"]] = _agreed(gender, before)
+    for word, whole in _owners(names).items():
+        names[whole] = _agreed(names.pop(word), names[whole])
     return names
 
 
+def _agreed(gender: str, before: str) -> str:
+    return gender if before in ("n", gender) else before if gender == "n" else "x"
+
+
 def _with_mentions(text: str, out: list, names) -> list:
     mentions = {n: ("name", n) for n in names}
     last: dict[str, set] = {}

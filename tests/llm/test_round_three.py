@@ -95,6 +95,13 @@ def test_alignment_equals_brute_force(docs, vocabularies):
     assert by_id[100][1:] == by_id[101][1:] == (0, 0, 0, 0, 0, 0, "") and by_id[104][1] == 0 and by_id[103][1] > 0  # U+2581 isn't given back as it was
 
 
+def test_merging_by_id_is_the_tokenizer_of_the_file(docs, vocabularies):
+    rng = np.random.RandomState(9)
+    texts = [t or "" for _, t, _ in _rows(docs)] + ["".join(map(chr, rng.choice([*range(32, 0x500), *range(0x2000, 0x2100), *range(0x3040, 0x3100), *range(0x1F600, 0x1F640)], 300))) for _ in range(200)]
+    texts += [" " * 20_000 + "x" + " " * 9_000, "\u3000" * 500, "a'll'd 's", "\x85\xa0\u2028 x"]
+    assert vocabularies.fast and vocabularies.encode(texts)[0] == [ids if t and vocabularies.encode([t])[1][0] else [] for t in texts for ids in [vocabularies.a.encode(" " + t, add_special_tokens=False).ids]]
+
+
 def test_alignment_is_the_same_from_any_lanes(docs, vocabularies):
     texts = [t or "" for _, t, _ in _rows(docs)]
     whole, lanes = align.Aligned(vocabularies, texts, 1 << 30), align.Aligned(vocabularies, texts, 7)
@@ -248,3 +255,33 @@ def test_near_duplicates_lose_no_link_of_an_id_with_several_texts(spark):
     assert len(got) == 160 and {(r.doc_id, r.class_id) for r in got} == {(3 * i + k, 3 * i) for i in range(40) for k in range(3)}
     named = docs.selectExpr("concat('d', lpad(doc_id, 4, '0')) AS doc_id", "text")
     assert {(r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(named).collect()} == {(f"d{3 * i + k:04}", f"d{3 * i:04}") for i in range(40) for k in range(3)}
+
+
+# --- surrogates by what an entity is, not how it is written ---
+
+
+def test_one_entity_in_several_formats_has_one_surrogate(spark):
+    from mesospark.llm import pii
+
+    key = b"k"
+    digits = lambda t: re.sub(r"\D", "", t)
+    phones = [pii.surrogate(key, "phone", t) for t in ("555-123-4567", "(555) 123-4567", "+1 555-123-4567", "1 555 123 4567", "555.123.4567")]
+    assert len({digits(t)[-10:] for t in phones}) == 1 and phones[2].startswith("+1 ") and phones[1][0] == "(" and digits(phones[0]) != "5551234567"
+    cards = [pii.surrogate(key, "card", t) for t in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111")]
+    assert len({digits(t) for t in cards}) == 1 and pii._luhn(digits(cards[0])[:-1]) == int(cards[0][-1]) and cards[1][4] == "-"
+    mails = [pii.surrogate(key, "email", t) for t in ("John.Doe@Example.com", "john.doe@example.com")]
+    assert mails[0].lower() == mails[1] and mails[0][0].isupper() and mails[0].endswith(".com")
+    assert len({digits(pii.surrogate(key, "phone", f"555-123-{i:04}")) for i in range(2000)}) == 2000
+    assert len({pii.surrogate(key, "email", f"u{i}@x.org") for i in range(500)}) == 500
+
+
+def test_a_titled_last_word_is_the_full_name(spark):
+    from mesospark.llm import pii
+
+    rows = [(1, "Mr Alan Kay met Mrs Kim Bell. Mr Kay spoke; Kay left. Mrs Bell stayed."), (2, "Dr Kay and Ms José García-López; García-López wrote."), (3, "Mr Tom Kay, Mr Alan Kay and Mr Kay.")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    first = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)\. Mr (\w+) spoke; (\w+) left\. Mrs (\w+) stayed\.", got[1])
+    assert first and first[2] == first[5] == first[6] != "Kay" and first[4] == first[7] != "Bell"
+    assert "Garc" not in got[2] and "pez" not in got[2]
+    third = re.fullmatch(r"Mr (\w+ \w+), Mr (\w+ \w+) and Mr (\w+)\.", got[3])
+    assert third and len({third[1], third[2], third[3]}) == 3 and third[2] == f"{first[1]} {first[2]}"
