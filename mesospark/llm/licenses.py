@@ -5,7 +5,9 @@ is a unit, from one sentence to the whole text. A unit of a bigrams reaches a Di
 ``a`` lies between ``b t / (2 - t)`` and ``b (2 - t) / t`` and at least
 ``b t / (2 - t)`` bigrams are shared; a text that shares fewer is left at once
 for that template. Only units that begin and end with a shared bigram's
-part are scored, as cutting other parts off can't lower the score.
+part are scored, as cutting other parts off can't lower the score. A unit matches a
+GNU notice only if it holds the words that tell it from the family's others: which
+licence, and which version.
 
 Defined cases: null, empty and wordless texts match nothing; a unit of one word
 has that word as its only "bigram"; repeated rows are scanned each; null ids
@@ -28,6 +30,10 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
@@ -39,6 +45,20 @@ for _name in FULL_TEXTS:
     TEMPLATES.setdefault(_name, []).append(pkgutil.get_data(__package__, f"license_texts/{_name}.txt").decode())
 
 
+#: Notices of one family differ in a word or two, which decide: the name after GNU, and the version.
+FAMILY = ("AGPL-", "GPL-", "LGPL-")
+NOTICE = 80  # words; longer templates are full texts
+
+
+def deciding(name: str, words: list) -> set:
+    """The bigrams that a text must hold to be matched with a notice, however alike it is otherwise."""
+    if not name.startswith(FAMILY) or len(words) > NOTICE:
+        return set()
+    version = [k for k, w in enumerate(words[:-1]) if w == b"version" and words[k + 1].isdigit()]
+    after = {(words[k + 1], words[k + 2]) for k in version if k + 2 < len(words) and words[k + 2].isdigit()}
+    return {(words[k], words[k + 1]) for k in version} | after | {p for p in zip(words, words[1:], strict=False) if p[0] == b"gnu"}
+
+
 PARTS = re.compile(r"\n|(?<=[.;:!?])\s+")
 
 
@@ -50,6 +70,7 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], threshold: float):
         self.threshold = threshold
         self.templates = [(name, bigrams(words_of(t))) for name, texts in sorted(templates.items()) for t in texts]
+        self.deciding = [deciding(name, words_of(t)) for name, texts in sorted(templates.items()) for t in texts]
         self.of = defaultdict(list)
         for i, (_, b) in enumerate(self.templates):
             for x in b:
@@ -80,6 +101,9 @@ class Scanner:
         ids: dict = {}
         pair = [ids.setdefault(x, len(ids)) for x in zip(words, words[1:], strict=False)]
         hit = {k for x, k in ids.items() if x in template}
+        if not all(x in ids for x in self.deciding[i]):
+            return 0.0, set()
+        decide = {ids[x] for x in self.deciding[i]}
         # the pairs of lines a to b are those from begin[a] to last[b] - 1
         begin, last, at = [], [], 0
         for line in lines:
@@ -117,7 +141,7 @@ class Scanner:
                         break
                     if j in ends and len(own) != size:
                         size, score = len(own), 2 * n / (len(own) + len(template))
-                        if score >= self.threshold:
+                        if score >= self.threshold and decide <= own:
                             best = max(best, score)
                             if j == k:
                                 alone.add(k)

@@ -285,3 +285,22 @@ def test_a_titled_last_word_is_the_full_name(spark):
     assert "Garc" not in got[2] and "pez" not in got[2]
     third = re.fullmatch(r"Mr (\w+ \w+), Mr (\w+ \w+) and Mr (\w+)\.", got[3])
     assert third and len({third[1], third[2], third[3]}) == 3 and third[2] == f"{first[1]} {first[2]}"
+
+
+# --- licence versions ---
+
+
+def test_every_notice_names_its_own_licence_alone():
+    from mesospark.llm import licenses
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            if name.startswith(licenses.FAMILY) and len(text.split()) < licenses.NOTICE:
+                for written in (text, "# " + text.replace("; ", ";\n# "), f"Some words before. {text} And some after."):
+                    assert list(scanner.scan(written)[0]) == [name], (name, written)
+    assert scanner.scan("This work is licensed under the GNU General Public License, version 7.")[0] == {}
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1"):
+        assert max((found := scanner.scan(licenses.TEMPLATES[name][-1])[0]), key=found.get) == name
+    both = f"{licenses.TEMPLATES['GPL-2.0'][0]}\n{licenses.TEMPLATES['GPL-3.0'][0]}"
+    assert {"GPL-2.0", "GPL-3.0"} <= set(scanner.scan(both)[0])
