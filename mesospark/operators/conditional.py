@@ -33,14 +33,16 @@ def conditional_gradients(frames: DataFrame, jacobian: DataFrame, model: DataFra
 def conditional_step(by_condition: DataFrame, *, clip_ratio: float | None = None, latent: tuple[int, ...] = (), mode: str = "reinforce") -> DataFrame:
     """``p, direct, reinforce, gradient``: means over conditions, a parameter that a condition lacks counting 0.
 
+    Conditions weigh alike, or by the column ``wx`` (one value a condition) if there is one.
     The reinforce part is shortened to ``clip_ratio`` times the norm of the direct
     part. Parameters that act on latent sites alone cannot be told in direct mode
     and are frozen there. The two norms are all that comes to the driver.
     """
     if mode not in ("direct", "reinforce"):
         raise ValueError("mode is direct or reinforce")
-    n = by_condition.select("x").distinct().count()
-    mean = by_condition.groupBy("p").agg(*[(F.sum(c) / n).alias(c) for c in ("direct", "reinforce")])
+    weighed = by_condition if "wx" in by_condition.columns else by_condition.withColumn("wx", F.lit(1.0))
+    total = weighed.groupBy("x").agg(F.first("wx").alias("wx")).agg(F.sum("wx")).first()[0]
+    mean = weighed.groupBy("p").agg(*[(F.sum(F.col("wx") * F.col(c)) / F.lit(total)).alias(c) for c in ("direct", "reinforce")])
     norms = mean.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))) for c in ("direct", "reinforce")]).first()
     scale = 1.0
     if clip_ratio is not None and norms[0] and norms[1] > clip_ratio * norms[0]:

@@ -1,5 +1,6 @@
 """Periodic neighbour joins and exclusions."""
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -82,11 +83,11 @@ def exclude_groups(pairs: DataFrame, group: str | None) -> DataFrame:
 
 def exclude_bonded(pairs: DataFrame, *terms: DataFrame) -> DataFrame:
     """Without pairs that are the ends of a given bonded term (tables with ``frame_id, a1, a<n>``)."""
-    for t in terms:
-        last = max(c for c in t.columns if c[0] == "a" and c[1:].isdigit())
-        ends = t.select("frame_id", F.least("a1", last).alias("i"), F.greatest("a1", last).alias("j")).distinct()
-        pairs = pairs.join(ends, ["frame_id", "i", "j"], "left_anti")
-    return pairs
+    if not terms:
+        return pairs
+    last = [max(c for c in t.columns if c[0] == "a" and c[1:].isdigit()) for t in terms]
+    ends = [t.select("frame_id", F.least("a1", c).alias("i"), F.greatest("a1", c).alias("j")) for t, c in zip(terms, last, strict=True)]
+    return pairs.join(reduce(DataFrame.unionAll, ends), ["frame_id", "i", "j"], "left_anti")  # the pairs are dealt once, whatever the number of tables
 
 
 def routed(pairs: DataFrame, keys: DataFrame | None = None) -> DataFrame:

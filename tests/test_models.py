@@ -205,6 +205,10 @@ def test_conditional_gradients_and_step_equal_numpy(spark):
     r = r * min(1, 0.1 * np.linalg.norm(d) / np.linalg.norm(r))
     step = {s.p: s for s in conditional.conditional_step(found, clip_ratio=0.1).collect()}
     assert all(step[p].gradient == pytest.approx(d[p] + r[p]) for p in range(params))
+    weighed = {s.p: s.direct for s in conditional.conditional_step(found.withColumn("wx", 1.0 + F.col("x"))).collect()}
+    seen = found.collect()
+    total = sum(1.0 + x for x in {r.x for r in seen})
+    assert all(v == pytest.approx(sum((1.0 + r.x) * r.direct for r in seen if r.p == p) / total) for p, v in weighed.items())
     frozen = {s.p: s.gradient for s in conditional.conditional_step(found, latent=(1,), mode="direct").collect()}
     assert frozen[1] == 0 and frozen[0] == pytest.approx(d[0])
 
