@@ -54,6 +54,13 @@ def basis_array(x: np.ndarray, knots: Sequence[float], degree: int) -> np.ndarra
     return np.stack([np.zeros(len(x)) if c is None else c for c in columns], 1)
 
 
+def basis_slope_array(x: np.ndarray, knots: Sequence[float], degree: int) -> np.ndarray:
+    """Rows x derivatives of the bases."""
+    below = basis_array(x, knots, degree - 1)
+    over = [degree / (knots[i + degree] - knots[i]) if knots[i] < knots[i + degree] else 0.0 for i in range(below.shape[1])]
+    return below[:, :-1] * over[:-1] - below[:, 1:] * over[1:]
+
+
 def spline(x: Column, knots: Sequence[float], coefficients: Sequence[float], degree: int) -> Column:
     """Sum of the bases times their coefficients."""
     return sum((c * basis(x, knots, i, degree) for i, c in enumerate(coefficients) if c), F.lit(0.0))
@@ -74,6 +81,24 @@ def spline_rest(x: Column, knots: Sequence[float], coefficients: Sequence[float]
     return total[-1] - spline(held, wider, total, degree + 1)
 
 
+def compact_knots(lo: float, hi: float, n: int, degree: int) -> list[float]:
+    """Even knots of the n + 1 bases behind ``n`` coefficients of a dihedral force that ends smoothly at lo and hi.
+
+    The last basis takes the negative sum of the coefficients (``compact_coefficients``),
+    so the integral is zero; ``spline`` and ``spline_rest`` then are force and energy.
+    """
+    if degree < 2:
+        raise ValueError("a force that ends smoothly needs degree 2 at least")
+    if not -180 <= lo < hi <= 180 or hi - lo >= 360:
+        raise ValueError(f"the range from {lo} to {hi} is not narrower than a period")
+    parts = n + 1 + degree
+    return [lo + (hi - lo) * k / parts for k in range(parts)] + [hi]
+
+
+def compact_coefficients(coefficients: Sequence[float]) -> list[float]:
+    return [*coefficients, -sum(coefficients)]
+
+
 def periodic_basis(x, k: int, n: int, where=None):
     """Cubic basis number k of n on degrees, folded into one period, less its mean, so that its integral is zero.
 

@@ -66,39 +66,61 @@ def uniform_map(groups: DataFrame, coordinate: DataFrame) -> DataFrame:
     return touched.join(groups, ["template", "group"]).select("template", "site", "atom", F.lit(1.0).alias("weight"))
 
 
-def optimal_map(moments: DataFrame, coordinate: DataFrame, *, l2: float = 0.0, tolerance: float = 1e-7) -> DataFrame:
-    """``template, site, atom, weight, objective, given_objective, consistency``: least tr(W Q W') with W C' = I.
-
-    ``objective`` and ``given_objective`` (a site's forces are those of its own
-    atoms, each in full) are the quadratic forms of the whole template. A position
-    map of less than full rank, or one that W misses by more than the tolerance, is
-    an error. Templates are solved in parallel.
+def grouped_moments(moments: DataFrame, groups: DataFrame) -> DataFrame:
+    """``template, i, j, q`` (i <= j): moments of the sums of the forces in each constraint group, named by its least atom."""
+    side = lambda c, name: groups.select("template", F.col("atom").alias(c), F.col("group").alias(name))
+    met = moments.join(side("i", "gi"), ["template", "i"]).join(side("j", "gj"), ["template", "j"])
+    twice = F.when((F.col("gi") == F.col("gj")) & (F.col("i") != F.col("j")), 2.0).otherwise(1.0)
+    return met.groupBy("template", F.least("gi", "gj").alias("i"), F.greatest("gi", "gj").alias("j")).agg(F.sum(twice * F.col("q")).alias("q"))
+
+
+def least_map(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """W of least tr(W P W') with W C' = I, also for a singular P: one solution, less what the null space of C can take off."""
+    start, null = np.linalg.pinv(c).T, np.linalg.svd(c)[2][len(c) :].T
+    return start - start @ p @ null @ np.linalg.pinv(null.T @ p @ null, rcond=1e-12, hermitian=True) @ null.T
+
+
+def optimal_map(moments: DataFrame, coordinate: DataFrame, groups: DataFrame | None = None, *, l2: float = 0.0, tolerance: float = 1e-7) -> DataFrame:
+    """``template, site, atom, weight, objective, given_objective, uniform_objective, consistency``: least tr(W Q W') with W C' = I.
+
+    With ``groups`` (``template, atom, group``) the atoms of a constraint group share
+    one weight, as only the sum of their forces is known; atoms without one stand alone.
+    ``objective``, ``given_objective`` (a site's forces are those of its own atoms, each in
+    full) and ``uniform_objective`` (those of all groups that it touches) are the quadratic
+    forms of the whole template. ``l2`` is in units of the mean square of an atom's
+    force. A position map of less than full rank over the groups, or one that W
+    misses by more than the tolerance, is an error. Templates are solved in parallel.
     """
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["template", "site", "atom", "weight", "objective", "given_objective", "consistency"]
+        names = ["template", "site", "atom", "weight", "objective", "given_objective", "uniform_objective", "consistency"]
+        held, right = right[right.site.isna()], right[right.site.notna()]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in names})
-        atoms, sites = np.unique(np.concatenate([left.i, left.j])), np.unique(right.site)
+        atoms, sites = np.unique(np.concatenate([left.i, left.j])), np.unique(right.site).astype(int)
         q, c = np.zeros((len(atoms),) * 2), np.zeros((len(sites), len(atoms)))
         i, j = np.searchsorted(atoms, left.i), np.searchsorted(atoms, left.j)
         q[i, j] = q[j, i] = left.q
         c[np.searchsorted(sites, right.site), np.searchsorted(atoms, right.atom)] = right.c
-        if np.linalg.matrix_rank(c) < len(sites):
+        named = dict(zip(held.atom, held.group, strict=True))
+        of = np.array([named.get(a, a) for a in atoms])
+        share = (of[:, None] == np.unique(of)).astype(float)
+        if np.linalg.matrix_rank(c @ share) < len(sites):
             raise ValueError(f"template {left.template.iloc[0]}: sites are not independent")
-        p = q / max(np.trace(q) / len(q), 1e-300) + (l2 + 1e-12) * np.eye(len(q))
-        half = np.linalg.solve(p, c.T)
-        w = np.linalg.solve(c @ half, half.T)
+        p = q / max(np.trace(q) / len(q), 1e-300) + l2 * np.eye(len(q))
+        w = least_map(share.T @ p @ share, c @ share) @ share.T
         miss = float(np.abs(w @ c.T - np.eye(len(sites))).max())
         if miss > tolerance:
             raise ValueError(f"template {left.template.iloc[0]}: the map misses its condition by {miss:g}")
-        own = (c != 0).astype(float)
         rows = [(left.template.iloc[0], s, a, w[x, y]) for x, s in enumerate(sites) for y, a in enumerate(atoms)]
-        out = pd.DataFrame(rows, columns=names[:4])
-        return out.assign(objective=float(np.trace(w @ q @ w.T)), given_objective=float(np.trace(own @ q @ own.T)), consistency=miss)
-
-    schema = "template long, site long, atom long, weight double, objective double, given_objective double, consistency double"
-    apart = coordinate.select(F.col("template").alias("of"), "site", "atom", "c")
+        forms = [float(np.trace(m @ q @ m.T)) for m in (w, (c != 0).astype(float), ((c != 0) @ share > 0) @ share.T)]
+        return pd.DataFrame(rows, columns=names[:4]).assign(objective=forms[0], given_objective=forms[1], uniform_objective=forms[2], consistency=miss)
+
+    schema = "template long, site long, atom long, weight double, objective double, given_objective double, uniform_objective double, consistency double"
+    none = lambda kind: F.lit(None).cast(kind)
+    apart = coordinate.select(F.col("template").alias("of"), "site", "atom", "c", none("long").alias("group"))
+    if groups is not None:
+        apart = apart.unionByName(groups.select(F.col("template").alias("of"), none("long").alias("site"), "atom", none("double").alias("c"), "group"))
     return moments.groupBy("template").cogroup(apart.groupBy("of")).applyInPandas(solve, schema)
 
 
