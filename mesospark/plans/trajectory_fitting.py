@@ -12,11 +12,11 @@ assert table_fits  # its fitters are registered by name
 
 @query("A34_groups", "RECURSIVE", TEMPLATE, DISTANCES, GROUPS,
  """v_sum AS (SELECT m.template, frame_id, mol_id, g."group" AS g, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM v_mol m JOIN v_group g ON m.template = g.template AND m.ord = g.atom GROUP BY 1, 2, 3, 4)""",
- select="SELECT a.template, a.g AS i, b.g AS j, round(sum(a.fx * b.fx + a.fy * b.fy + a.fz * b.fz), 3) + 0.0 AS q FROM v_sum a JOIN v_sum b ON a.frame_id = b.frame_id AND a.mol_id = b.mol_id AND a.g <= b.g GROUP BY 1, 2, 3")
+ select="SELECT a.template, a.g AS i, b.g AS j, round(sum(a.fx * b.fx + a.fy * b.fy + a.fz * b.fz), 4) + 0.0 AS q FROM v_sum a JOIN v_sum b ON a.frame_id = b.frame_id AND a.mol_id = b.mol_id AND a.g <= b.g GROUP BY 1, 2, 3")
 def a34_groups(spark, d):
     """Force moments in coordinates of constraint groups."""
     atoms = _molecules(spark, d)
-    return force_maps.grouped_moments(force_maps.force_moments(atoms), _groups(atoms)).select("template", "i", "j", (F.round("q", 3) + 0.0).alias("q"))
+    return force_maps.grouped_moments(force_maps.force_moments(atoms), _groups(atoms)).select("template", "i", "j", (F.round("q", 4) + 0.0).alias("q"))
 
 
 @query("M07_constrained")
