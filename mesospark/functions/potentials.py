@@ -21,6 +21,24 @@ class Potential:
     force: Callable[..., Column]
     gradient: Callable[..., dict[str, Column]]
     hessian: Callable[..., dict[tuple[str, str], Column]] | None = None  # second derivatives that are not zero; None of a family linear in all parameters
+    bounds: dict[str, tuple[float | None, float | None]] | None = None  # parameter -> least and greatest value; None is open
+    frozen: tuple[str, ...] = ()  # parameters that no fit moves
+
+    def clamped(self, **parameters: float) -> dict[str, float]:
+        """Parameters held inside their bounds; one of another name is an error."""
+        unknown = set(parameters) - set(self.names)
+        if unknown:
+            raise ValueError(f"no parameters named {sorted(unknown)}; there are {self.names}")
+        inside = {}
+        for name, value in parameters.items():
+            least, greatest = (self.bounds or {}).get(name, (None, None))
+            value = value if least is None else max(value, least)
+            inside[name] = value if greatest is None else min(value, greatest)
+        return inside
+
+    def free_gradient(self, x: Column, **parameters) -> dict[str, Column]:
+        """The gradient by the parameters that are not frozen."""
+        return {n: g for n, g in self.gradient(x, **parameters).items() if n not in self.frozen}
 
 
 def _lennard_jones(m: int) -> Potential:

@@ -88,9 +88,21 @@ def fit_tables(tables: DataFrame, name: str, **options) -> DataFrame:
     return tables.groupBy("key").applyInPandas(run, f"key string, {fitter.schema}").select("key", *[c.split()[0] for c in fitter.schema.split(", ")])
 
 
-def basis_values(x: Column, name: str, n: int) -> Column:
-    """``array<double>`` of the n functions of a registered basis at x."""
-    evaluate = BASES[name]
+@dataclass(frozen=True)
+class Basis:
+    """``evaluate(x, n)`` and ``derivative(x, n)``: a batch of coordinates to rows x functions."""
+
+    evaluate: Callable[[np.ndarray, int], np.ndarray]
+    derivative: Callable[[np.ndarray, int], np.ndarray] | None = None
+
+
+def basis_values(x: Column, name: str, n: int, *, derivative: bool = False) -> Column:
+    """``array<double>`` of the n functions of a registered basis at x, or of their derivatives."""
+    held = BASES[name]
+    held = held if isinstance(held, Basis) else Basis(held)
+    evaluate = held.derivative if derivative else held.evaluate
+    if evaluate is None:
+        raise ValueError(f"basis {name} has no derivative")
 
     @pandas_udf("array<double>")
     def values(s: pd.Series) -> pd.Series:
@@ -176,7 +188,17 @@ POTENTIALS.add("morse", Potential(
         "a": 2 * d * (1 - F.exp(-a * (r - r0))) * F.exp(-a * (r - r0)) * (r - r0),
         "r0": -2 * d * a * (1 - F.exp(-a * (r - r0))) * F.exp(-a * (r - r0)),
     },
+    bounds={"d": (0.0, None), "a": (0.0, 3.0), "r0": (0.5, 2.0)},
+    frozen=("r0",),
 ))
 
-#: Chebyshev polynomials of the first kind on coordinates in [0, 2].
-BASES.add("chebyshev", lambda x, n: np.cos(np.arange(n) * np.arccos(np.clip(x[:, None] - 1, -1, 1))))
+
+def _chebyshev_slope(x: np.ndarray, n: int) -> np.ndarray:
+    t, k = x[:, None] - 1, np.arange(n)
+    theta = np.arccos(np.clip(t, -1, 1))
+    inner = k * np.sin(k * theta) / np.where(np.abs(t) < 1, np.sin(theta), 1.0)
+    return np.where(np.abs(t) < 1, inner, np.where(np.abs(t) == 1, k * k * np.where(t < 0, -1.0, 1.0) ** (k + 1), 0.0))
+
+
+#: Chebyshev polynomials of the first kind on coordinates in [0, 2], constant beyond.
+BASES.add("chebyshev", Basis(lambda x, n: np.cos(np.arange(n) * np.arccos(np.clip(x[:, None] - 1, -1, 1))), _chebyshev_slope))

@@ -11,6 +11,39 @@ def adapter_map(atoms: DataFrame) -> DataFrame:
     return atoms.select("frame_id", "atom_id", "mol_id", F.floor((F.col("ord") - 1) / 2.0).cast("long").alias("site"), F.col("mass").alias("wx"), F.lit(1.0).alias("wf"))
 
 
+def made_whole(atoms: DataFrame, reference: str | int | DataFrame | None = "first") -> DataFrame:
+    """Atoms with ``x, y, z`` at the image nearest to a reference atom of their molecule.
+
+    ``reference``: "first" (the least ``ord`` of the molecule), a number (the atom with
+    that ``ord``), a table of anchors ``mol_id, anchor`` (an ``ord`` for each molecule),
+    "site" (the first atom of the atom's own ``site``) or None (places stay). A molecule
+    without its reference atom is an error.
+    """
+    if reference is None:
+        return atoms
+    columns, keys = atoms.columns, ["frame_id", "mol_id"] + (["site"] if isinstance(reference, str) and reference == "site" else [])
+    place = F.struct("x", "y", "z")
+    if isinstance(reference, str):
+        if reference not in ("first", "site"):
+            raise ValueError(f"no reference named {reference}")
+        found = F.min_by(place, "ord")
+    elif isinstance(reference, int):
+        found = F.max(F.when(F.col("ord") == reference, place))
+    else:
+        atoms = atoms.join(reference.select("mol_id", F.col("anchor").alias("_anchor")), "mol_id", "left")
+        found = F.max(F.when(F.col("ord") == F.col("_anchor"), place))
+    told = F.coalesce("_ref", F.raise_error(F.concat(F.lit("no reference atom in molecule "), F.col("mol_id").cast("string"))).cast("struct<x: double, y: double, z: double>"))
+    met = atoms.join(atoms.groupBy(*keys).agg(found.alias("_ref")), keys).withColumn("_ref", told)
+    return met.withColumns({a: F.col(f"_ref.{a}") + minimum_image(F.col(a) - F.col(f"_ref.{a}"), F.col(f"l{a}")) for a in "xyz"}).select(*columns)
+
+
+def map_velocities(atoms: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``frame_id, mol_id, site, vx, vy, vz``: means of the atoms' velocities with the weights of the positions, not imaged; null where these add up to 0."""
+    moving = atoms.select("frame_id", "mol_id", "atom_id", "vx", "vy", "vz")
+    met = moving.join(mapping.select("frame_id", "atom_id", "site", "wx"), ["frame_id", "atom_id"])
+    return met.groupBy("frame_id", "mol_id", "site").agg(*[(F.sum(F.col("wx") * F.col(f"v{a}")) / F.nullif(F.sum("wx"), F.lit(0.0))).alias(f"v{a}") for a in "xyz"])
+
+
 def map_sites(atoms: DataFrame, mapping: DataFrame) -> DataFrame:
     """``frame_id, mol_id, site, x, y, z, fx, fy, fz, n``.
 

@@ -34,6 +34,26 @@ def equilibrium(tables: DataFrame) -> DataFrame:
     return best.select("key", F.when((vertex >= F.col("xl")) & (vertex <= F.col("xr")), vertex).otherwise(F.col("x")).alias("x0"))
 
 
+def on_grid(tables: DataFrame, n: int) -> DataFrame:
+    """``key, i, x, f, v``: tables (with ``v``) at n even points between their ends, linear between their knots."""
+    ends = tables.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    points = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    x = F.when(F.col("i") == n - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (n - 1))
+    found = lookup_uneven(points.select("key", "i", x.alias("x")), tables)
+    return found.select("key", "i", "x", F.col("force").alias("f"), F.col("energy").alias("v"))
+
+
+def manifest(tables: DataFrame) -> DataFrame:
+    """``key, lo, hi, n, eq, slope_lo, slope_hi``: range, points, equilibrium and, of bonds and angles, the slopes of the force at both ends.
+
+    A table of one point has no slopes; an empty table has no row.
+    """
+    sloped = slopes(tables)
+    ends = sloped.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.min_by("slope", "x").alias("slope_lo"), F.max_by("slope", "x").alias("slope_hi"))
+    bonded = F.substring_index("key", ":", 1).isin("bond", "angle")
+    return ends.join(equilibrium(tables), "key").select("key", "lo", "hi", "n", F.col("x0").alias("eq"), *[F.when(bonded, F.col(c)).alias(c) for c in ("slope_lo", "slope_hi")])
+
+
 def trimmed(tables: DataFrame, style: str) -> DataFrame:
     """From the first positive force on; for bonds to the last negative one; everything where there is none."""
     marks = tables.groupBy("key").agg(F.min(F.when(F.col("f") > 0, F.col("x"))).alias("lo"), F.max(F.when(F.col("f") < 0, F.col("x"))).alias("hi"))
