@@ -1,6 +1,7 @@
 """Coarse sites from atoms: positions, forces and velocities."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions.imaging import minimum_image, wrap
@@ -11,6 +12,29 @@ def adapter_map(atoms: DataFrame) -> DataFrame:
     return atoms.select("frame_id", "atom_id", "mol_id", F.floor((F.col("ord") - 1) / 2.0).cast("long").alias("site"), F.col("mass").alias("wx"), F.lit(1.0).alias("wf"))
 
 
+def expanded(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``frame_id, site, atom_id, w``: nested groups as one row for each site and atom.
+
+    groups: ``frame_id, grp, anchor, repeats, step, sites``, the sites an array of structs
+    ``anchor, index, w`` with arrays of atoms and weights; anchor, repeats and step are 0,
+    1 and 0 where null. An atom is the group's anchor + repeat x step + site's anchor + index. Sites are
+    numbered from 0 in a frame by group, repeat and place; an index that comes twice
+    in a site adds up. sizes: ``frame_id, n``, the atoms of each frame; an atom not from 0
+    to n - 1 is an error, as are index and weights of different lengths.
+    """
+    held = groups.withColumns({"anchor": F.coalesce("anchor", F.lit(0)), "repeats": F.coalesce("repeats", F.lit(1)), "step": F.coalesce("step", F.lit(0)), "each": F.size("sites")})
+    earlier = W.partitionBy("frame_id").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)
+    held = held.withColumn("before", F.coalesce(F.sum(F.col("repeats") * F.col("each")).over(earlier), F.lit(0)).cast("long"))
+    repeats = held.filter("repeats > 0").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats").cast("long") - 1)))
+    sites = repeats.select("frame_id", "before", "r", "each", (F.col("anchor") + F.col("r") * F.col("step")).alias("base"), F.posexplode("sites").alias("u", "s"))
+    even = F.when(F.size("s.index") == F.size("s.w"), F.arrays_zip(F.col("s.index").alias("index"), F.col("s.w").alias("w"))).otherwise(F.raise_error(F.lit("a site has another number of weights than of atoms")))
+    rows = sites.select("frame_id", (F.col("before") + F.col("r") * F.col("each") + F.col("u")).alias("site"), (F.col("base") + F.coalesce("s.anchor", F.lit(0))).alias("base"), F.explode(even).alias("k"))
+    rows = rows.select("frame_id", "site", (F.col("base") + F.col("k.index")).cast("long").alias("atom_id"), F.col("k.w").alias("w")).join(sizes.select("frame_id", "n"), "frame_id", "left")
+    inside = (F.col("atom_id") >= 0) & (F.col("atom_id") < F.coalesce("n", F.lit(0)))
+    told = F.when(inside, F.col("atom_id")).otherwise(F.raise_error(F.concat(F.lit("no atom "), F.col("atom_id").cast("string"), F.lit(" in frame "), F.col("frame_id").cast("string"))).cast("long"))
+    return rows.withColumn("atom_id", told).groupBy("frame_id", "site", "atom_id").agg(F.sum("w").alias("w"))
+
+
 def made_whole(atoms: DataFrame, reference: str | int | DataFrame | None = "first") -> DataFrame:
     """Atoms with ``x, y, z`` at the image nearest to a reference atom of their molecule.
 

@@ -1,5 +1,6 @@
 """Registered queries: references for whole molecules, mapped velocities, exported tables and their manifest, parts of users with all they give."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.operators import extensions, mapping, tables
@@ -8,6 +9,7 @@ from mesospark.plans.trajectory import BONDS, TABLE, W01_SQL, _bonds, _table, qu
 from mesospark.plans.trajectory_more import _scratch
 from mesospark.plans.trajectory_tables import _EQ, _lookup_sql
 from mesospark.sources import adapters as A
+from mesospark.sources.frame_files import listed, paired
 from mesospark.sources.table_files import load_tables, write_tables
 
 _KINDS = ("first", "third", "anchor", "site")
@@ -73,3 +75,25 @@ def x04_slopes(spark, d):
     rows = _bonds(spark, d).select("key", extensions.basis_values(F.col("value"), "chebyshev", 4, derivative=True).alias("b"))
     sums = rows.groupBy("key").agg(F.array(*[F.sum(F.col("b")[k]) for k in range(4)]).alias("s"))
     return sums.select("key", F.posexplode("s").alias("m", "s")).select("key", "m", (F.round("s", 3) + 0.0).alias("s"))
+
+
+@query("S11_expansion", """v_rank AS (SELECT frame_id, mol_id, mass, ord, row_number() OVER (PARTITION BY frame_id ORDER BY mol_id, ord) - 1 AS atom_id, floor((ord - 1) / 2.0) AS s, count(*) OVER (PARTITION BY frame_id, mol_id) AS size FROM v_atoms)""",
+ select="""SELECT frame_id, CAST(dense_rank() OVER (PARTITION BY frame_id ORDER BY mol_id, s) - 1 AS BIGINT) AS site, CAST(atom_id AS BIGINT) AS atom_id, CASE WHEN ord % 2 = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS w FROM v_rank WHERE s < floor(size / 2)""")
+def s11_expansion(spark, d):
+    """Each molecule is a group of repeated pairs: anchor, repeats and offsets come from the table, and the atoms are those of its frames."""
+    size = A.atoms(spark, d).groupBy("frame_id", F.col("mol_id").alias("grp")).agg(F.count("*").alias("size"))
+    earlier = W.partitionBy("frame_id").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)
+    pair = F.array(F.struct(F.lit(None).cast("long").alias("anchor"), F.array(F.lit(0), F.lit(1)).alias("index"), F.array(F.lit(0.25), F.lit(0.75)).alias("w")))
+    groups = size.select("frame_id", "grp", F.sum("size").over(earlier).alias("anchor"), F.floor(F.col("size") / 2).alias("repeats"), F.lit(2).alias("step"), pair.alias("sites"))
+    return mapping.expanded(groups, size.groupBy("frame_id").agg(F.sum("size").alias("n")))
+
+
+@query("J10_files", select="SELECT frame_id, 'frame_' || frame_id || '.data' AS data, 'force_' || frame_id || '.txt' AS force FROM v_frames")
+def j10_files(spark, d):
+    """Configurations and forces of every frame, written as files of single frames, listed and paired by the ids in their names."""
+    path, atoms = _scratch(spark, "frames"), A.atoms(spark, d)
+    for kind, columns, before, after in (("data", "xyz", "frame_", ".data"), ("force", ("fx", "fy", "fz"), "force_", ".txt")):
+        name = F.concat(F.lit(before), F.col("frame_id").cast("string"), F.lit(after)).alias("name")
+        rows = atoms.repartition("frame_id").select(name, F.concat_ws(" ", "atom_id", *columns).alias("value"))
+        rows.write.partitionBy("name").text(f"{path}/{kind}")
+    return paired(listed(spark, f"{path}/data"), listed(spark, f"{path}/force"))

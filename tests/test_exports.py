@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mesospark.functions.potentials import Potential
 from mesospark.operators import extensions, mapping, tables
+from mesospark.sources import frame_files
 
 ATOM = "frame_id long, mol_id long, atom_id long, ord long, site long, x double, y double, z double, lx double, ly double, lz double"
 
@@ -70,3 +71,38 @@ def test_slopes_of_a_basis_are_differences(spark):
     assert row.select(extensions.basis_values(F.col("x"), "powers of the test", 3).alias("b")).first().b == [1.0, 2.0, 4.0]
     with pytest.raises(ValueError, match="no derivative"):
         extensions.basis_values(F.col("x"), "powers of the test", 3, derivative=True)
+
+
+GROUP = "frame_id long, grp long, anchor long, repeats long, step long, sites array<struct<anchor: long, index: array<long>, w: array<double>>>"
+
+
+def test_nested_groups_expand_in_order(spark):
+    sites = [(1, [0, 2, 0], [0.5, 0.25, 0.25]), (None, [3], [1.0])]
+    groups = spark.createDataFrame([(0, 5, 10, 2, 4, sites), (0, 1, None, None, None, [(0, [7], [2.0])]), (1, 1, 0, 0, 3, sites), (1, 2, 0, 1, 0, [(0, [1], [1.0])])], GROUP)
+    sizes = spark.createDataFrame([(0, 19), (1, 2)], "frame_id long, n long")
+    got = sorted(tuple(r) for r in mapping.expanded(groups, sizes).collect())
+    assert got == [(0, 0, 7, 2.0), (0, 1, 11, 0.75), (0, 1, 13, 0.25), (0, 2, 13, 1.0), (0, 3, 15, 0.75), (0, 3, 17, 0.25), (0, 4, 17, 1.0), (1, 0, 1, 1.0)]
+    with pytest.raises(Exception, match="no atom 17 in frame 0"):
+        mapping.expanded(groups, sizes.replace(19, 17)).collect()
+    with pytest.raises(Exception, match="another number of weights"):
+        mapping.expanded(spark.createDataFrame([(0, 1, 0, 1, 0, [(0, [1, 2], [1.0])])], GROUP), sizes).collect()
+    assert mapping.expanded(groups.limit(0), sizes).count() == 0
+
+
+def _names(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+def test_files_pair_by_frame(spark, tmp_path):
+    for n in ("frame_3.data", "frame_12.data", "notes.txt"):
+        (tmp_path / n).write_text("x")
+    data = frame_files.listed(spark, str(tmp_path))
+    assert sorted(r.name for r in data.collect()) == ["frame_12.data", "frame_3.data", "notes.txt"]
+    got = {tuple(r) for r in frame_files.paired(data, _names(spark, "f12_12.txt", "force.3.dat")).collect()}
+    assert got == {(3, "frame_3.data", "force.3.dat"), (12, "frame_12.data", "f12_12.txt")}
+
+
+@pytest.mark.parametrize("force, what", [(["a3"], "no force file of frame 12"), (["a3", "a12", "a4"], "no data file of frame 4"), (["a3", "a12", "b12"], "several files of frame 12"), (["a3", "a12_4"], "no single number in a12_4"), (["a3", "abc"], "no single number in abc")])
+def test_files_that_do_not_pair_are_errors(spark, force, what):
+    with pytest.raises(Exception, match=what):
+        frame_files.paired(_names(spark, "frame_3.data", "frame_12.data"), _names(spark, *force)).collect()
