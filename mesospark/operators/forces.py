@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mesospark.operators.neighbors import sites_of
+
 
 def pair_forces(pairs: DataFrame, force: Column) -> DataFrame:
     """``frame_id, atom_id, fx, fy, fz``: -dU/dr along each pair's vector (a to b), opposite on the two atoms."""
@@ -13,6 +15,16 @@ def pair_forces(pairs: DataFrame, force: Column) -> DataFrame:
     return rows.groupBy("frame_id", F.col("s.atom_id").alias("atom_id")).agg(*[F.sum(F.col("s.sign") * F.col(c)).alias(c) for c in ("fx", "fy", "fz")])
 
 
+def site_rows(pairs: DataFrame, force: Column) -> DataFrame:
+    """``frame_id, atom_id``, the fields of ``own`` and the model's force ``mfx, mfy, mfz`` (null without a pair) of every atom.
+
+    pairs are neighbours with each atom's row with itself (``alone``), which carry that struct: no
+    atom is met by a join, and nothing is dealt again.
+    """
+    found = sites_of(pairs, tuple(force / F.nullif(F.col("r"), F.lit(0.0)) * F.col(f"d{a}") for a in "xyz"))
+    return found.withColumnsRenamed({f"s{a}": f"mf{a}" for a in "xyz"})
+
+
 def hat_jacobian(pairs: DataFrame, lo: float, step: float, n: int) -> DataFrame:
     """``frame_id, w, atom_id, axis, p, j``: dF/dc of a force that is a sum of hats; a pair touches two parameters at most."""
     at = F.floor((F.col("r") - lo) / step).cast("int")
@@ -44,7 +56,12 @@ def solve_ridge(gram: DataFrame, right: DataFrame, n: int, ridge: float) -> np.n
 
 def residuals(forces: DataFrame, model: DataFrame) -> DataFrame:
     """By type and overall: rows, target, model and residual sums of squares, and the unexplained fraction."""
-    joined = forces.join(model.select("frame_id", "atom_id", *[F.col(c).alias("m" + c) for c in ("fx", "fy", "fz")]), ["frame_id", "atom_id"], "left").fillna(0.0)
+    return residual_sums(forces.join(model.select("frame_id", "atom_id", *[F.col(c).alias("m" + c) for c in ("fx", "fy", "fz")]), ["frame_id", "atom_id"], "left"))
+
+
+def residual_sums(rows: DataFrame) -> DataFrame:
+    """The same of atoms that have their target ``fx, fy, fz`` and the model's ``mfx, mfy, mfz`` beside them."""
+    joined = rows.fillna(0.0)
     square = lambda cs: sum((c * c for c in cs[1:]), cs[0] * cs[0])
     y, m = [F.col(c) for c in ("fx", "fy", "fz")], [F.col("m" + c) for c in ("fx", "fy", "fz")]
     sums = joined.rollup("type").agg(F.count("*").alias("n"), F.sum(square(y)).alias("target"), F.sum(square(m)).alias("model"), F.sum(square([a - b for a, b in zip(y, m, strict=True)])).alias("residual"))
