@@ -17,10 +17,10 @@ def residue_topology(residues: DataFrame, templates: DataFrame, links: DataFrame
     that a residue names are used. links: ``name, site, next_site``: what binds a
     residue to the next one of its frame.
     """
-    inner = residues.join(templates, "name").select("frame_id", (F.col("first") + F.col("i")).alias("i"), (F.col("first") + F.col("j")).alias("j"), F.lit("template").alias("origin"))
+    inner = residues.join(F.broadcast(templates), "name").select("frame_id", (F.col("first") + F.col("i")).alias("i"), (F.col("first") + F.col("j")).alias("j"), F.lit("template").alias("origin"))
     if links is not None:
         following = residues.withColumn("next", F.lead("first").over(W.partitionBy("frame_id").orderBy("residue"))).filter("next IS NOT NULL")
-        inner = inner.union(following.join(links, "name").select("frame_id", F.col("first") + F.col("site"), F.col("next") + F.col("next_site"), F.lit("link")))
+        inner = inner.union(following.join(F.broadcast(links), "name").select("frame_id", F.col("first") + F.col("site"), F.col("next") + F.col("next_site"), F.lit("link")))
     return inner.select("frame_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "origin")
 
 
@@ -35,7 +35,7 @@ def append_sites(residues: DataFrame, sites: DataFrame, labels: DataFrame, last:
     """
     nth = F.row_number().over(W.partitionBy("frame_id").orderBy("residue", "site_name"))
     codes = sites.select("site_name").distinct().withColumn("code", F.dense_rank().over(W.orderBy("site_name")).cast("int"))
-    added = residues.join(sites, "name").withColumn("nth", nth).join(last, "frame_id").join(codes, "site_name")
+    added = residues.join(F.broadcast(sites), "name").withColumn("nth", nth).join(last, "frame_id").join(F.broadcast(codes), "site_name")
     added = added.select("frame_id", "residue", "site_name", "bond_to", (F.col("last") + F.col("nth")).alias("atom_id"), "code")
     met = added.join(labels.select("frame_id", "residue", F.col("label").alias("bond_to"), F.col("atom_id").alias("to")), ["frame_id", "residue", "bond_to"], "left")
     there = F.when(F.col("to").isNull(), F.raise_error(F.concat(F.lit("no atom is labelled "), "bond_to"))).otherwise(F.col("to"))
@@ -194,13 +194,13 @@ def next_residues(residues: DataFrame) -> DataFrame:
     return residues.withColumn("next_mol", following).filter("next_mol IS NOT NULL")
 
 
-def seeded_sites(atoms: DataFrame, distance: float) -> DataFrame:
-    """``frame_id, mol_id, n, ax, ay, az, vx, vy, vz``: a site for each molecule, off its first atom and away from its centre.
+def seeded_sites(atoms: DataFrame, distance: float, per_frame: tuple[str, ...] = ()) -> DataFrame:
+    """``frame_id, mol_id, n, ax, ay, az, vx, vy, vz`` and the per-frame columns: a site for each molecule, off its first atom and away from its centre.
 
     Where the two coincide the site lies along x.
     """
     places = [F.avg(f"u{x}").alias(f"c{x}") for x in "xyz"] + [F.min_by(f"u{x}", "ord").alias(f"a{x}") for x in "xyz"]
-    a = atoms.groupBy("frame_id", "mol_id").agg(F.count("*").alias("n"), *places)
+    a = atoms.groupBy("frame_id", "mol_id").agg(F.count("*").alias("n"), *places, *[F.first(c).alias(c) for c in per_frame])
     size = F.sqrt(sum(((F.col(f"a{x}") - F.col(f"c{x}")) * (F.col(f"a{x}") - F.col(f"c{x}")) for x in "xyz"), F.lit(0.0)))
     step = {x: F.coalesce(distance * (F.col(f"a{x}") - F.col(f"c{x}")) / F.nullif(size, F.lit(0.0)), F.lit(distance if x == "x" else 0.0)) for x in "xyz"}
     return a.withColumns({f"v{x}": F.col(f"a{x}") + step[x] for x in "xyz"}).drop("cx", "cy", "cz")
