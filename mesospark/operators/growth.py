@@ -55,12 +55,12 @@ def template_terms(residues: DataFrame, templates: DataFrame, linkers: DataFrame
     molecule's template is such terms alone). A site that is not there is an error.
     Empty tables give no terms; terms that come twice are kept once, the template's first.
     """
-    inside = residues.join(templates, "name")
+    inside = residues.join(F.broadcast(templates), "name")  # a join dealt by a few names has as many tasks; what stands for a name is small
     held = F.transform("sites", lambda s: F.when((s < 1) | (s > F.col("size")), F.raise_error(F.concat(F.lit("no such site in residue "), F.col("name").cast("string")))).otherwise(F.col("first") + s))
     made = inside.withColumn("s", held).select("frame_id", "style", F.lit("template").alias("origin"), *[F.get("s", F.lit(k)).alias(f"a{k + 1}") for k in range(4)])
     if linkers is not None:
         by = W.partitionBy("frame_id", "molecule").orderBy("residue")
-        known = residues.join(linkers.select("name", "left", "right"), "name", "left")
+        known = residues.join(F.broadcast(linkers.select("name", "left", "right")), "name", "left")
         ends = known.select("frame_id", "molecule", (F.col("first") + F.col("right")).alias("i"), F.lead(F.col("first") + F.col("left")).over(by).alias("j"), F.lead("first").over(by).isNotNull().alias("followed"))
         mixed = F.col("followed") & (F.col("i").isNull() != F.col("j").isNull())
         told = F.when(mixed, F.raise_error(F.concat(F.lit("of two residues of molecule "), F.col("molecule").cast("string"), F.lit(" only one is linkable")))).when(F.col("followed") & F.col("i").isNotNull(), F.struct("i", "j"))
@@ -73,7 +73,7 @@ def template_terms(residues: DataFrame, templates: DataFrame, linkers: DataFrame
         made = made.union(links)
     if extra is not None:
         numbered = extra.withColumn("term", F.monotonically_increasing_id())
-        wanted = residues.select("frame_id", "molecule", "kind").distinct().join(numbered, "kind").select("frame_id", "molecule", "term", "style", F.posexplode("parts").alias("at", "p")).select("*", "p.nth", "p.site").drop("p")
+        wanted = residues.select("frame_id", "molecule", "kind").distinct().join(F.broadcast(numbered), "kind").select("frame_id", "molecule", "term", "style", F.posexplode("parts").alias("at", "p")).select("*", "p.nth", "p.site").drop("p")
         sites = unit_sites(residues)
         keys = ["frame_id", "molecule"]
         direct = wanted.filter("nth IS NOT NULL").join(sites.drop("unit"), [*keys, "nth", "site"], "left").select(*keys, "term", "style", "at", "site", "atom_id")
@@ -97,18 +97,18 @@ def labelled_terms(residues: DataFrame, specs: DataFrame, labels: DataFrame, add
     """
     names = added.select(F.col("site_name").alias("label")).distinct().withColumn("taken", F.lit(True))
     free = F.when(F.col("taken"), F.raise_error(F.concat(F.lit("the source has an atom labelled "), F.col("label")))).otherwise(F.col("label"))
-    source = labels.join(names, "label", "left").select("frame_id", "residue", free.alias("label"), "atom_id", "type")
+    source = labels.join(F.broadcast(names), "label", "left").select("frame_id", "residue", free.alias("label"), "atom_id", "type")
     every = source.union(added.select("frame_id", "residue", "site_name", "atom_id", "site_name"))
     count = F.when(F.col("style") == "bond", 2).when(F.col("style") == "angle", 3).when(F.col("style") == "dihedral", 4)
     right = F.when(F.size("labels") == count, F.col("labels")).otherwise(F.raise_error(F.concat(F.lit("wrong number of labels in a term of style "), F.col("style"))))
-    wanted = residues.join(specs.withColumn("term", F.monotonically_increasing_id()), "name").select("frame_id", "residue", "term", "style", F.posexplode(right).alias("at", "label"))
+    wanted = residues.join(F.broadcast(specs.withColumn("term", F.monotonically_increasing_id())), "name").select("frame_id", "residue", "term", "style", F.posexplode(right).alias("at", "label"))
     met = wanted.join(every, ["frame_id", "residue", "label"], "left")
     there = _or_error(F.col("atom_id"), F.lit("no atom is labelled "), F.col("label"))
     terms = _in_order(met.withColumn("a", there).withColumn("t", F.col("type")), ["frame_id", "residue", "term", "style"], "a", "t")
     key = F.coalesce(*[F.when(F.col("style") == s, canonical_key(s, *[F.col(f"t{k + 1}") for k in range(n)])) for s, n in STYLES.items() if s != "pair"])
     keyed = terms.withColumn("key", key)
     ids = keyed.select("style", "key").distinct().withColumn("type_id", F.dense_rank().over(W.partitionBy("style").orderBy("key")))
-    return keyed.join(ids, ["style", "key"]).select("frame_id", "residue", "style", "a1", "a2", "a3", "a4", "key", "type_id")
+    return keyed.join(F.broadcast(ids), ["style", "key"]).select("frame_id", "residue", "style", "a1", "a2", "a3", "a4", "key", "type_id")
 
 
 def _hashed(seed: int, what: str, *ids: Column) -> Column:
