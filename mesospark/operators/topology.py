@@ -1,11 +1,12 @@
 """Graph-shaped joins over bonds, topologies from templates, added sites, and making components whole."""
 
-from pyspark.sql import DataFrame, Observation
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mesospark.functions.imaging import minimum_image
-from mesospark.operators.components import connected_components
 from mesospark.plans.lineage import cut
 
 
@@ -42,11 +43,18 @@ def append_sites(residues: DataFrame, sites: DataFrame, labels: DataFrame, last:
     return added.drop("bond_to"), met.select("frame_id", there.alias("i"), F.col("atom_id").alias("j"))
 
 
+#: Bits of an atom id within its block; a block's atoms are tied together in one group, links between blocks are followed by joins.
+BLOCK_BITS = 16
+
+
+def _none() -> Column:
+    return F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
+
+
 def bonded_components(bonds: DataFrame) -> DataFrame:
     """``frame_id, atom_id, component``: atoms that bonds ``frame_id, i, j`` hold together, named by the least atom; frames apart."""
-    node = lambda c: F.struct("frame_id", F.col(c).alias("atom_id"))
-    found = connected_components(cut(bonds.select(node("i").alias("u"), node("j").alias("v"))))
-    return found.select("id.frame_id", "id.atom_id", F.col("component.atom_id").alias("component"))
+    links = cut(bonds.select("frame_id", "i", "j"))
+    return made_whole(links.select("*", _none().alias("v"), _none().alias("at_i"), _none().alias("at_j"))).select("frame_id", "atom_id", "component")
 
 
 def _joined_to(hooks: DataFrame, end: str) -> DataFrame:
@@ -55,14 +63,16 @@ def _joined_to(hooks: DataFrame, end: str) -> DataFrame:
 
 
 def _sum(u, v, sign: int = 1):
-    return F.struct(*[(F.col(f"{u}.{a}") + sign * F.coalesce(F.col(f"{v}.{a}"), F.lit(0.0))).alias(a) for a in "xyz"])
+    """No vector ``v`` counts as 0; one that is not known leaves the sum unknown."""
+    return F.struct(*[(F.col(f"{u}.{a}") + sign * F.when(F.col(v).isNull(), 0.0).otherwise(F.col(f"{v}.{a}"))).alias(a) for a in "xyz"])
 
 
 def _hooks(links: DataFrame) -> DataFrame:
-    """``node, on, off``: each node with a lesser neighbour hangs on its least one, with the vector from there; cut. None is left when links are empty."""
+    """``node, on, off``: each node with a lesser neighbour hangs on its least one, with the vector from there, a known one if there are several; cut. None is left when links are empty."""
     up = F.col("i") > F.col("j")
     ends = links.select("frame_id", F.when(up, F.col("i")).otherwise(F.col("j")).alias("node"), F.when(up, F.col("j")).otherwise(F.col("i")).alias("on"), F.struct(*[F.when(up, -F.col(f"v.{a}")).otherwise(F.col(f"v.{a}")).alias(a) for a in "xyz"]).alias("off"))
-    least = ends.groupBy("frame_id", "node").agg(F.min(F.struct("on", "off")).alias("h"))
+    unknown = F.isnull(F.col("off.x") + F.col("off.y") + F.col("off.z")).alias("unknown")
+    least = ends.groupBy("frame_id", "node").agg(F.min(F.struct("on", unknown, "off")).alias("h"))
     return cut(least.select("frame_id", "node", "h.on", "h.off"))
 
 
@@ -78,37 +88,116 @@ def _to_the_top(hooks: DataFrame, max_passes: int) -> DataFrame:
     raise RuntimeError(f"chains still double after {max_passes} passes")
 
 
-def unwrapped(atoms: DataFrame, bonds: DataFrame, components: DataFrame, max_passes: int = 60) -> DataFrame:
-    """``frame_id, atom_id, component, x, y, z``: components made whole, each placed where its least atom is.
+def _forest(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of links i-j in order, where among them the least node is that each is tied to, and the vector from there.
 
-    Every atom carries its vector from the node that it hangs on. A round hangs
-    each node on its least neighbour, follows chains to their tops by doubling, and
-    goes on with the links between tops; so a chain of n atoms takes about log2(n)
-    passes, each a join that is cut. In a ring round the cell, which has no whole, the
-    vectors through least neighbours count.
+    A round hangs each node on its least neighbour, follows chains to their tops by
+    doubling, and goes on with the links between tops.
     """
-    place = atoms.select("frame_id", "atom_id", F.struct("x", "y", "z").alias("at"), F.struct("lx", "ly", "lz").alias("edge"))
-    members = cut(components.join(place, ["frame_id", "atom_id"]))
-    end = lambda c: members.select("frame_id", F.col("atom_id").alias(c), F.col("at").alias(f"at_{c}"), F.col("edge").alias(f"edge_{c}"))
-    vector = F.struct(*[minimum_image(F.col(f"at_j.{a}") - F.col(f"at_i.{a}"), F.col(f"edge_i.l{a}")).alias(a) for a in "xyz"])
-    links = cut(bonds.select("frame_id", "i", "j").join(end("i"), ["frame_id", "i"]).join(end("j"), ["frame_id", "j"]).select("frame_id", "i", "j", vector.alias("v")).filter("i <> j"))
-    none = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
-    tree = members.select("frame_id", "atom_id", F.col("atom_id").alias("top"), none.alias("off"))
+    nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = ends[: len(i)], ends[len(i) :]
+    top, off = np.arange(len(nodes)), np.zeros((len(nodes), 3))
+    while (apart := i != j).any():
+        i, j, v = i[apart], j[apart], v[apart]
+        low, high, v = np.minimum(i, j), np.maximum(i, j), np.where((i > j)[:, None], -v, v)
+        order = np.lexsort((v[:, 2], v[:, 1], v[:, 0], np.isnan(v).any(axis=1), low, high))
+        least = order[np.unique(high[order], return_index=True)[1]]
+        on, hung = np.arange(len(nodes)), np.zeros((len(nodes), 3))
+        on[high[least]], hung[high[least]] = low[least], v[least]
+        while (on[on] != on).any():
+            hung, on = hung + hung[on], on[on]
+        top, off = on[top], off + hung[top]
+        i, j, v = on[low], on[high], v + hung[low] - hung[high]
+    return nodes, top, off
+
+
+def _tied(rows: pd.DataFrame) -> pd.DataFrame:
+    """The atoms of one block, each with its top, its vector from there and where the top is."""
+    i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+    nodes, top, off = _forest(i, j, rows[["vx", "vy", "vz"]].to_numpy())
+    at = np.empty_like(off)
+    for node, end in ((i, "i"), (j, "j")):
+        at[np.searchsorted(nodes, node)] = rows[[f"{a}{end}" for a in "xyz"]].to_numpy()
+    vectors = {f"{a}{k}": m[:, n] for k, m in (("off", off), ("top", at[top])) for n, a in enumerate("xyz")}
+    return pd.DataFrame({"frame_id": rows["frame_id"].iloc[0], "atom_id": nodes, "top": nodes[top], **vectors})
+
+
+def _tied_in_blocks(links: DataFrame) -> DataFrame:
+    """``frame_id, atom_id, top, off, start``: the atoms of links within blocks, each with its vector from its top and where the top is."""
+    flat = [F.col(f"{c}.{a}").alias(k.format(a)) for c, k in (("v", "v{}"), ("at_i", "{}i"), ("at_j", "{}j")) for a in "xyz"]
+    rows = links.select("frame_id", F.shiftright("i", BLOCK_BITS).alias("block"), "i", "j", *flat)
+    schema = f"frame_id {dict(links.dtypes)['frame_id']}, atom_id long, top long, " + ", ".join(f"{a}{k} double" for k in ("off", "top") for a in "xyz")
+    tied = rows.groupBy("frame_id", "block").applyInPandas(_tied, schema)
+    return tied.select("frame_id", "atom_id", "top", *[F.struct(*[F.col(f"{a}{k}").alias(a) for a in "xyz"]).alias(c) for k, c in (("off", "off"), ("top", "start"))])
+
+
+def _between_tops(links: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Links moved from their ends to what these hang on; those within a tree go."""
+    moved = links.join(_joined_to(hooks, "i"), ["frame_id", "i"], "left").join(_joined_to(hooks, "j"), ["frame_id", "j"], "left")
+    moved = moved.withColumn("v", _sum("v", "i_off")).withColumn("v", _sum("v", "j_off", -1))
+    return cut(moved.select("frame_id", F.coalesce("i_on", "i").alias("i"), F.coalesce("j_on", "j").alias("j"), "v").filter("i <> j"))
+
+
+def _tied_across(tree: DataFrame, across: DataFrame, max_passes: int) -> DataFrame:
+    """The tree of the blocks with the links between them followed, by joins that are cut."""
+    ends = across.select("frame_id", F.explode(F.array(*[F.struct(F.col(e).alias("atom_id"), F.col(f"at_{e}").alias("start")) for e in "ij"])).alias("e"))
+    alone = ends.select("frame_id", "e.atom_id", F.col("e.atom_id").alias("top"), _none().alias("off"), "e.start")
+    tied = tree.unionByName(alone).groupBy("frame_id", "atom_id").agg(F.min_by(F.struct("top", "off", "start"), "top").alias("t"))
+    tree = cut(tied.select("frame_id", "atom_id", "t.*"))
+    starts = tree.filter("atom_id = top").select("frame_id", "top", "start")
+    links = _between_tops(across.select("frame_id", "i", "j", "v"), tree.filter("atom_id <> top").select("frame_id", F.col("atom_id").alias("node"), F.col("top").alias("on"), "off"))
+    tree = tree.drop("start")
     for _ in range(max_passes):
         hooks = _hooks(links)
         if hooks.isEmpty():
-            break
+            return tree.join(starts, ["frame_id", "top"])
         hooks = _to_the_top(hooks, max_passes)
         hung = tree.join(_joined_to(hooks, "top"), ["frame_id", "top"], "left")
         tree = cut(hung.select("frame_id", "atom_id", F.coalesce("top_on", "top").alias("top"), _sum("off", "top_off").alias("off")))
-        moved = links.join(_joined_to(hooks, "i"), ["frame_id", "i"], "left").join(_joined_to(hooks, "j"), ["frame_id", "j"], "left")
-        moved = moved.withColumn("v", _sum("v", "i_off")).withColumn("v", _sum("v", "j_off", -1))
-        links = cut(moved.select("frame_id", F.coalesce("i_on", "i").alias("i"), F.coalesce("j_on", "j").alias("j"), "v").filter("i <> j"))
-    else:
-        raise RuntimeError(f"components still join after {max_passes} passes")
-    tops = members.select("frame_id", F.col("atom_id").alias("top"), F.col("at").alias("start"))
-    out = tree.join(tops, ["frame_id", "top"]).join(members.select("frame_id", "atom_id", "component"), ["frame_id", "atom_id"])
-    return out.select("frame_id", "atom_id", "component", *[(F.col(f"start.{a}") + F.col(f"off.{a}")).alias(a) for a in "xyz"])
+        links = _between_tops(links, hooks)
+    raise RuntimeError(f"components still join after {max_passes} passes")
+
+
+def made_whole(links: DataFrame, max_passes: int = 60) -> DataFrame:
+    """``frame_id, atom_id, component, x, y, z``: what links hold together, made whole and placed where its least atom is, whose id names it.
+
+    links: ``frame_id, i, j, v`` (vector from i to j), ``at_i, at_j`` (where the ends
+    are); read twice. Every atom carries its vector from the node that it hangs on.
+    Atoms of a block of 2^16 ids are tied together where their frame is, so molecules
+    of near ids are neither joined nor written. Only links from block to block are
+    followed by joins: each node hangs on its least neighbour, chains are followed by
+    doubling, about log2(n) passes for a chain through n blocks, each cut. In a ring round the
+    cell, which has no whole, the vectors within blocks and then those through least
+    neighbours count. Atoms of no link, and those linked to themselves alone, are absent; beyond
+    a vector that is not known, places are null.
+    """
+    xyz = lambda c: F.struct(*[F.col(f"{c}.{a}").cast("double").alias(a) for a in "xyz"]).alias(c)
+    links = links.filter("frame_id IS NOT NULL AND i <> j").select("frame_id", *[F.col(c).cast("long").alias(c) for c in "ij"], xyz("v"), xyz("at_i"), xyz("at_j"))
+    same = F.shiftright("i", BLOCK_BITS) == F.shiftright("j", BLOCK_BITS)
+    tree, across = _tied_in_blocks(links.filter(same)), links.filter(~same)
+    if not across.isEmpty():
+        tree = _tied_across(tree, cut(across), max_passes)
+    return tree.select("frame_id", "atom_id", F.col("top").alias("component"), *[(F.col(f"start.{a}") + F.col(f"off.{a}")).alias(a) for a in "xyz"])
+
+
+def image_vector(i: str, j: str, edge: str) -> Column:
+    """The vector from the place in column ``i`` to that in ``j``, as its nearest image in a rectangular cell."""
+    return F.struct(*[minimum_image(F.col(f"{j}.{a}") - F.col(f"{i}.{a}"), F.col(f"{edge}.l{a}")).alias(a) for a in "xyz"])
+
+
+def unwrapped(atoms: DataFrame, bonds: DataFrame, components: DataFrame, max_passes: int = 60) -> DataFrame:
+    """``frame_id, atom_id, component, x, y, z``: given components made whole, each placed where its least atom is.
+
+    For bonds without places, which take them from the atoms by joins; else as ``made_whole``.
+    """
+    place = atoms.select("frame_id", "atom_id", F.struct("x", "y", "z").alias("at"), F.struct("lx", "ly", "lz").alias("edge"))
+    members = cut(components.join(place, ["frame_id", "atom_id"]))
+    end = lambda c: members.select("frame_id", F.col("atom_id").alias(c), F.col("at").alias(f"at_{c}"), F.col("edge").alias(f"edge_{c}"))
+    links = bonds.select("frame_id", "i", "j").join(end("i"), ["frame_id", "i"]).join(end("j"), ["frame_id", "j"])
+    whole = made_whole(cut(links.select("frame_id", "i", "j", image_vector("at_i", "at_j", "edge_i").alias("v"), "at_i", "at_j")), max_passes)
+    met = members.join(whole.select("frame_id", "atom_id", F.struct("x", "y", "z").alias("to")), ["frame_id", "atom_id"], "left")
+    at = F.when(F.col("to").isNotNull(), F.col("to")).otherwise(F.col("at"))
+    return met.select("frame_id", "atom_id", "component", *[at[a].alias(a) for a in "xyz"])
 
 
 def refitted_z(whole: DataFrame, atoms: DataFrame, lo: float, hi: float) -> DataFrame:
