@@ -112,23 +112,23 @@ def _forest(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _tied(rows: pd.DataFrame) -> pd.DataFrame:
-    """The atoms of one block, each with its top, its vector from there and where the top is."""
+    """The atoms of one block, each with its top, its vector from there, where the top is and where it is itself."""
     i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
     nodes, top, off = _forest(i, j, rows[["vx", "vy", "vz"]].to_numpy())
     at = np.empty_like(off)
     for node, end in ((i, "i"), (j, "j")):
         at[np.searchsorted(nodes, node)] = rows[[f"{a}{end}" for a in "xyz"]].to_numpy()
-    vectors = {f"{a}{k}": m[:, n] for k, m in (("off", off), ("top", at[top])) for n, a in enumerate("xyz")}
+    vectors = {f"{a}{k}": m[:, n] for k, m in (("off", off), ("top", at[top]), ("at", at)) for n, a in enumerate("xyz")}
     return pd.DataFrame({"frame_id": rows["frame_id"].iloc[0], "atom_id": nodes, "top": nodes[top], **vectors})
 
 
 def _tied_in_blocks(links: DataFrame) -> DataFrame:
-    """``frame_id, atom_id, top, off, start``: the atoms of links within blocks, each with its vector from its top and where the top is."""
+    """``frame_id, atom_id, top, off, start, at``: the atoms of links within blocks, each with its vector from its top, where the top is and where it is itself."""
     flat = [F.col(f"{c}.{a}").alias(k.format(a)) for c, k in (("v", "v{}"), ("at_i", "{}i"), ("at_j", "{}j")) for a in "xyz"]
     rows = links.select("frame_id", F.shiftright("i", BLOCK_BITS).alias("block"), "i", "j", *flat)
-    schema = f"frame_id {dict(links.dtypes)['frame_id']}, atom_id long, top long, " + ", ".join(f"{a}{k} double" for k in ("off", "top") for a in "xyz")
+    schema = f"frame_id {dict(links.dtypes)['frame_id']}, atom_id long, top long, " + ", ".join(f"{a}{k} double" for k in ("off", "top", "at") for a in "xyz")
     tied = rows.groupBy("frame_id", "block").applyInPandas(_tied, schema)
-    return tied.select("frame_id", "atom_id", "top", *[F.struct(*[F.col(f"{a}{k}").alias(a) for a in "xyz"]).alias(c) for k, c in (("off", "off"), ("top", "start"))])
+    return tied.select("frame_id", "atom_id", "top", *[F.struct(*[F.col(f"{a}{k}").alias(a) for a in "xyz"]).alias(c) for k, c in (("off", "off"), ("top", "start"), ("at", "at"))])
 
 
 def _between_tops(links: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -140,9 +140,9 @@ def _between_tops(links: DataFrame, hooks: DataFrame) -> DataFrame:
 
 def _tied_across(tree: DataFrame, across: DataFrame, max_passes: int) -> DataFrame:
     """The tree of the blocks with the links between them followed, by joins that are cut."""
-    ends = across.select("frame_id", F.explode(F.array(*[F.struct(F.col(e).alias("atom_id"), F.col(f"at_{e}").alias("start")) for e in "ij"])).alias("e"))
-    alone = ends.select("frame_id", "e.atom_id", F.col("e.atom_id").alias("top"), _none().alias("off"), "e.start")
-    tied = tree.unionByName(alone).groupBy("frame_id", "atom_id").agg(F.min_by(F.struct("top", "off", "start"), "top").alias("t"))
+    ends = across.select("frame_id", F.explode(F.array(*[F.struct(F.col(e).alias("atom_id"), F.col(f"at_{e}").alias("at")) for e in "ij"])).alias("e"))
+    alone = ends.select("frame_id", "e.atom_id", F.col("e.atom_id").alias("top"), _none().alias("off"), F.col("e.at").alias("start"), "e.at")
+    tied = tree.unionByName(alone).groupBy("frame_id", "atom_id").agg(F.min_by(F.struct("top", "off", "start", "at"), "top").alias("t"))
     tree = cut(tied.select("frame_id", "atom_id", "t.*"))
     starts = tree.filter("atom_id = top").select("frame_id", "top", "start")
     links = _between_tops(across.select("frame_id", "i", "j", "v"), tree.filter("atom_id <> top").select("frame_id", F.col("atom_id").alias("node"), F.col("top").alias("on"), "off"))
@@ -153,13 +153,13 @@ def _tied_across(tree: DataFrame, across: DataFrame, max_passes: int) -> DataFra
             return tree.join(starts, ["frame_id", "top"])
         hooks = _to_the_top(hooks, max_passes)
         hung = tree.join(_joined_to(hooks, "top"), ["frame_id", "top"], "left")
-        tree = cut(hung.select("frame_id", "atom_id", F.coalesce("top_on", "top").alias("top"), _sum("off", "top_off").alias("off")))
+        tree = cut(hung.select("frame_id", "atom_id", F.coalesce("top_on", "top").alias("top"), _sum("off", "top_off").alias("off"), "at"))
         links = _between_tops(links, hooks)
     raise RuntimeError(f"components still join after {max_passes} passes")
 
 
 def made_whole(links: DataFrame, max_passes: int = 60) -> DataFrame:
-    """``frame_id, atom_id, component, x, y, z``: what links hold together, made whole and placed where its least atom is, whose id names it.
+    """``frame_id, atom_id, component, x, y, z, at``: what links hold together, made whole and placed where its least atom is, whose id names it; ``at`` is where the atom stood.
 
     links: ``frame_id, i, j, v`` (vector from i to j), ``at_i, at_j`` (where the ends
     are); read twice. Every atom carries its vector from the node that it hangs on.
@@ -177,7 +177,7 @@ def made_whole(links: DataFrame, max_passes: int = 60) -> DataFrame:
     tree, across = _tied_in_blocks(links.filter(same)), links.filter(~same)
     if not across.isEmpty():
         tree = _tied_across(tree, cut(across), max_passes)
-    return tree.select("frame_id", "atom_id", F.col("top").alias("component"), *[(F.col(f"start.{a}") + F.col(f"off.{a}")).alias(a) for a in "xyz"])
+    return tree.select("frame_id", "atom_id", F.col("top").alias("component"), *[(F.col(f"start.{a}") + F.col(f"off.{a}")).alias(a) for a in "xyz"], "at")
 
 
 def image_vector(i: str, j: str, edge: str) -> Column:
@@ -200,17 +200,21 @@ def unwrapped(atoms: DataFrame, bonds: DataFrame, components: DataFrame, max_pas
     return met.select("frame_id", "atom_id", "component", *[at[a].alias(a) for a in "xyz"])
 
 
-def refitted_z(whole: DataFrame, atoms: DataFrame, lo: float, hi: float) -> DataFrame:
+def refitted_z(whole: DataFrame, atoms: DataFrame | None, lo: float, hi: float) -> DataFrame:
     """``frame_id, atom_id, component, shift, z, image``: components moved along z into [lo, hi), as little as can be.
 
-    ``whole``: components made whole; ``atoms``: where their atoms stood. A
+    ``whole``: components made whole, read several times; ``atoms``: where their atoms
+    stood, None if ``whole`` has it in ``at`` and need not be joined. A
     component that fits as it is stays. Else its shift is, of the two that put it
     at either end and those that leave one of its atoms in place (held between
     the two), that which moves the fewest atoms, then the least in sum, then the
     shortest. One that is longer than the box is an error.
     """
     key = ["frame_id", "component"]
-    rows = whole.select("frame_id", "atom_id", "component", F.col("z").alias("u")).join(atoms.select("frame_id", "atom_id", F.col("z").alias("z0")), ["frame_id", "atom_id"])
+    if atoms is None:
+        rows = whole.select("frame_id", "atom_id", "component", F.col("z").alias("u"), F.col("at.z").alias("z0"))
+    else:
+        rows = whole.select("frame_id", "atom_id", "component", F.col("z").alias("u")).join(atoms.select("frame_id", "atom_id", F.col("z").alias("z0")), ["frame_id", "atom_id"])
     span = rows.groupBy(*key).agg((F.lit(lo) - F.min("u")).alias("low"), (F.lit(hi) - F.max("u")).alias("high"))
     span = span.withColumn("low", F.when(F.col("low") > F.col("high"), F.raise_error(F.lit("a component is longer than the box"))).otherwise(F.col("low")))
     still = span.filter("low <= 0 AND high >= 0").select(*key, F.lit(0.0).alias("shift"))

@@ -83,3 +83,24 @@ def test_unwrapped_keeps_given_components_and_atoms_without_bonds(spark):
     bonds = spark.createDataFrame([(0, 1, 2), (0, 2, 7)], "frame_id long, i long, j long")
     got = topology.unwrapped(atoms, bonds, atoms.select("frame_id", "atom_id", F.lit(7).alias("component")))
     assert {r.atom_id: (r.component, r.x) for r in got.collect()} == {1: (7, 9.5), 2: (7, 10.5), 3: (7, 4.0)}
+
+
+def test_g05_writes_once_and_takes_places_from_its_rows(spark, monkeypatch):
+    """The atoms were written, dealt and joined again for where they stood."""
+    written = []
+    cut = trajectory_models.cut
+    for module in (topology, trajectory_models):
+        monkeypatch.setattr(module, "cut", lambda df: (written.append(df.columns), cut(df))[1])
+    QUERIES["G05"](spark, SMALL)
+    assert written == [["frame_id", "atom_id", "component", "z", "at"]]
+
+
+@pytest.mark.parametrize("bits", [1, 16])
+def test_atoms_keep_where_they_stood(spark, monkeypatch, bits):
+    monkeypatch.setattr(topology, "BLOCK_BITS", bits)
+    places = {k: (1.0, 2.0, 7.5 + k) for k in range(1, 7)}
+    whole = topology.made_whole(_links(spark, [(0, k, k + 1) for k in range(1, 6)], places)).localCheckpoint()
+    assert {r.atom_id: (r.z, r.at.z) for r in whole.collect()} == {k: (7.5 + k, (7.5 + k) % 10) for k in places}
+    atoms = whole.select("frame_id", "atom_id", F.col("at.z").alias("z"))
+    rows = [sorted(topology.refitted_z(whole, given, 2.0, 12.0).collect()) for given in (None, atoms)]
+    assert rows[0] == rows[1] and len(rows[0]) == 6
