@@ -65,7 +65,7 @@ def q01_overwrite(spark, d):
 @query("V02_added", select="SELECT frame_id, count(*) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy FROM v_atoms GROUP BY 1")
 def v02_added(spark, d):
     """Sites added beside the first atom of each molecule make room by moving; the atoms of the frames, whose places are returned, stay."""
-    atoms = A.atoms(spark, d)
+    atoms = A.atoms(spark, d, A.ATOMS_A_TASK // 5)  # chained passes hold the cells of a task several times
     sites = topology.seeded_sites(atoms, 0.5, ("lx", "ly", "lz"))
     placed = [F.pmod(F.col(f"v{a}"), F.col(f"l{a}")).alias(a) for a in "xyz"]
     every = atoms.select("frame_id", "atom_id", "x", "y", "z", "lx", "ly", "lz").unionByName(sites.select("frame_id", (F.col("mol_id") % 250 + 1_000_000).alias("atom_id"), *placed, "lx", "ly", "lz"))
